@@ -14,6 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from joblattice.functions.vectors import unit_vector
 from joblattice.session import scratch_dir
@@ -80,6 +81,7 @@ def _nearest_in_one_pass(
     dims = vectors.shape[1]
     shared = listings.sparkSession.sparkContext.broadcast((list(keys), vectors))
     id_type = listings.schema["id"].dataType.simpleString()
+    key_type = to_arrow_type(question_type)
     schema = f"question_id {question_type.simpleString()}, id {id_type}, distance double"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +97,7 @@ def _nearest_in_one_pass(
         for question, ids, distances in zip(question_ids, nearest.ids, nearest.distance):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([question] * len(ids)),
+                    pa.array([question] * len(ids), type=key_type),
                     pa.array(ids.tolist(), type=arrow_id),
                     pa.array(distances, mask=np.isinf(distances)),
                 ],

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.json.enablePartialResults": "true",
 }
 
+_SHIPPED: dict[str, str] = {}
+
 CLUSTER_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -25,13 +29,24 @@ def build_session(app_name: str = "joblattice") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**CLUSTER_CONF, **RUNTIME_CONF}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per Spark application."""
+    context = spark.sparkContext
+    if _SHIPPED.get("app") != context.applicationId:
+        root = Path(__file__).resolve().parent
+        target = str(Path(tempfile.mkdtemp(prefix="joblattice-")) / "joblattice")
+        context.addPyFile(shutil.make_archive(target, "zip", root.parent, root.name))
+        _SHIPPED["app"] = context.applicationId
     return spark
 
 
