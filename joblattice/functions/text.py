@@ -74,22 +74,17 @@ def epoch_to_iso(c: Column) -> Column:
     10000, comes back as it is.
     """
     text = c.cast("string")
-    number = F.when(
-        F.trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
-        F.trim(text).try_cast("double"),
-    )
-    seconds = F.when(number > 10_000_000_000, number / 1000).otherwise(number)
-    in_range = seconds.between(-62135596800.0, 253402300799.0)
-    safe = F.when(in_range, seconds)
-    whole = F.when(safe >= 0, F.floor(safe)).otherwise(F.ceil(safe))
-    micros = whole * 1_000_000 + F.rint((safe - whole) * 1e6).cast("long")
-    moment = F.timestamp_micros(micros)
-    iso = F.when(
-        micros % 1_000_000 == 0, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
-    ).otherwise(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    return F.when(F.nullif(text, F.lit("")).isNull(), F.lit(None).cast("string")).otherwise(
-        F.coalesce(F.concat(iso, F.lit("+00:00")), text)
+    parsed = F.trim(text).try_cast("double")
+    is_date = F.trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & parsed.between(
+        -62135596800.0, 253402300799999.0
     )
+    number = F.when(is_date, parsed)
+    seconds = number / F.when(number > 10_000_000_000, 1000.0).otherwise(1.0)
+    whole = seconds.cast("long")
+    micros = whole * 1_000_000 + F.rint((seconds - whole) * 1e6).cast("long")
+    iso = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    iso = F.concat(F.regexp_replace(iso, r"\.000000$", ""), F.lit("+00:00"))
+    return F.coalesce(iso, F.nullif(text, F.lit("")))
 
 
 def comma_values(c: Column, defaults: Sequence[str]) -> Column:
