@@ -70,7 +70,7 @@ def enriched_by_terms(rows: DataFrame) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enriched_by_terms(raw(spark, sf_dir))
+    return enriched_by_terms(raw_from(spread(table(spark, sf_dir, "documents"))))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +101,12 @@ def skill_text(skills: Column | str = "skills") -> Column:
 
 def normalize_text(spark, sf_dir):
     normal = t.normalize_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(normal).alias("digest"), F.length(normal).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(normal).alias("digest"), F.length(normal).cast("long").alias("n"))
 
 
 def collapse_ws(spark, sf_dir):
     clean = t.collapse_ws(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("digest"), F.length(clean).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n"))
 
 
 def embedding_text(spark, sf_dir):
@@ -161,7 +161,8 @@ def drop_known(spark, sf_dir):
 
 
 def _plan(spark, sf_dir) -> ingest.IngestPlan:
-    return ingest.plan_ingest(raw(spark, sf_dir), stored(spark, sf_dir), enriched_by_terms)
+    rows = raw_from(spread(table(spark, sf_dir, "documents")))
+    return ingest.plan_ingest(rows, stored(spark, sf_dir), enriched_by_terms)
 
 
 def ingest_outcomes(spark, sf_dir):
@@ -176,7 +177,7 @@ def ingest_new_listings(spark, sf_dir):
 def ingest_batch_store(spark, sf_dir):
     """The batch job into a fresh store, read back."""
     root = f"{scratch_dir(prepare(spark))}/store-{uuid.uuid4().hex}"
-    ingest.ingest_batch(raw(spark, sf_dir), root, "run", embedder=ingest.default_embedder(DIMS), min_confidence=0.4)
+    ingest.ingest_batch(raw_from(spread(table(spark, sf_dir, "documents"))), root, "run", embedder=ingest.default_embedder(DIMS), min_confidence=0.4)
     return _store_view(spark, root)
 
 
@@ -199,7 +200,7 @@ def _store_view(spark, root):
 def ingest_run_log(spark, sf_dir):
     root = f"{scratch_dir(prepare(spark))}/store-{uuid.uuid4().hex}"
     for run in ("run1", "run2"):
-        ingest.ingest_batch(raw(spark, sf_dir), root, run, embedder=ingest.default_embedder(DIMS), min_confidence=0.4)
+        ingest.ingest_batch(raw_from(spread(table(spark, sf_dir, "documents"))), root, run, embedder=ingest.default_embedder(DIMS), min_confidence=0.4)
     return read_runs(spark, root).drop("started_at", "written_at", "errors", "error_count")
 
 
@@ -438,7 +439,7 @@ def _pages(spark, sf_dir):
 def strip_html(spark, sf_dir):
     text = clean_html_text(F.col("html"))
     rows = _pages(spark, sf_dir).withColumn("text", text)
-    return rows.select("page_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
+    return rows.select("page_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
 
 
 def page_titles(spark, sf_dir):

@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblattice.functions.text import collapse_ws, text_or_empty
+from joblattice.functions.once import once_per_row
 
 
-@F.pandas_udf(T.StringType())
+@once_per_row(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unescape(t) if t is not None and "&" in t else t)
 
 
-@F.pandas_udf(T.StringType())
+@once_per_row(T.StringType())
 def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
     def joined(b, h):
         if h is None:
@@ -85,6 +86,7 @@ class TreeWalker(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[Element] = []
         self._pending: list[str] = []
+        self._in_body = False
 
     def opened(self, element: Element) -> None:
         pass
@@ -117,23 +119,21 @@ class TreeWalker(HTMLParser):
         self.stack.append(element)
         self.opened(element)
 
-    def _has_body(self) -> bool:
-        return any(e.tag == "body" for e in self.stack)
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
 
-    def _imply_body(self) -> None:
+    def _open_body(self, attrs=()) -> None:
         while self.stack and self.stack[-1].tag != "html":
             self._pop()
-        self._push(Element("body", []))
+        self._push(Element("body", attrs))
+        self._in_body = True
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        if tag not in HEAD_ONLY and tag != "body" and not self._has_body():
-            self._imply_body()
-        elif tag == "body":
-            if self._has_body():
-                return
-            while self.stack and self.stack[-1].tag != "html":
-                self._pop()
+        if not self._in_body and (tag == "body" or tag not in HEAD_ONLY):
+            self._open_body(attrs if tag == "body" else ())
+        if tag == "body":
+            return
         while self.stack and (
             (self.stack[-1].tag == "p" and tag in CLOSES_P)
             or tag in CLOSED_BY.get(self.stack[-1].tag, ())
@@ -164,10 +164,10 @@ class TreeWalker(HTMLParser):
         self._flush()
 
     def handle_data(self, data):
-        if not self._has_body() and data.strip() and (
+        if not self._in_body and data.strip() and (
             not self.stack or self.stack[-1].tag in ("html", "head")
         ):
-            self._imply_body()
+            self._open_body()
             self._push(Element("p", []))
         self._pending.append(data)
 
@@ -256,7 +256,7 @@ def read_page(html: str) -> tuple:
     return (*firsts, *[joined(t) for t in texts])
 
 
-@F.pandas_udf(PAGE_SCHEMA)
+@once_per_row(PAGE_SCHEMA)
 def page_fields(html: pd.Series) -> pd.DataFrame:
     """First direct text node per selector, and the joined text of the long selectors.
 
@@ -333,16 +333,23 @@ LINK_SCHEMA = T.ArrayType(
 
 
 def _board_links(html: str) -> list[dict]:
+    if "/jobs/" not in html:
+        return []
     links = LinkReader().walk(html).board
     return [{"href": link["href"], "title": " ".join(link["texts"]).strip()} for link in links]
 
 
 def _result_links(html: str) -> list[dict]:
+    if "result__a" not in html:
+        return []
     links = LinkReader().walk(html).results
     return [{"href": link["href"], "title": (link["title"] or "").strip()} for link in links]
 
 
 def _card_links(html: str) -> list[dict]:
+    if "job_seen_beacon" not in html:
+        return []
+
     def text(card, name):
         return card.get(name, "").strip()
 
@@ -367,7 +374,7 @@ def _link_udf(links_of, absolute: bool):
             link = {**link, "href": urljoin(base or "", href)}
         return {name: link.get(name) for name in names}
 
-    @F.pandas_udf(LINK_SCHEMA)
+    @once_per_row(LINK_SCHEMA)
     def links(base: pd.Series, html: pd.Series) -> pd.Series:
         found = [
             None if page is None else [resolve(url, link) for link in links_of(page)]

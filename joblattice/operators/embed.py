@@ -9,9 +9,9 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from joblattice.functions.once import once_per_row
 from joblattice.schema import EMBEDDING_DIMS
 
 VECTOR = T.ArrayType(T.FloatType())
@@ -32,7 +32,7 @@ def hash_vector(text: str, dims: int) -> np.ndarray:
 def hash_embed(text: Column, dims: int = EMBEDDING_DIMS) -> Column:
     """Built-in embedding that needs no model."""
 
-    @F.pandas_udf(VECTOR)
+    @once_per_row(VECTOR)
     def embed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: hash_vector(t or "", dims).astype("float32"))
 
@@ -51,7 +51,7 @@ def embed_with(
     length, and a vector of another width fails the job.
     """
 
-    @F.pandas_udf(VECTOR)
+    @once_per_row(VECTOR)
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for texts in batches:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblattice.functions.text import text_or_empty
+from joblattice.functions.once import computed_once, once_per_row
 
 # The skill dictionary, the role words and the three confidence levels.
 SKILLS = (
@@ -37,13 +38,11 @@ WITH_SKILLS, ROLE_ONLY, NEITHER = 0.8, 0.75, 0.45
 _SEPARATOR = "\x01"
 
 
-def extract_skills(description: Column, skills: Sequence[str] = SKILLS) -> Column:
-    """Dictionary terms found in the text, as distinct titles in code-point order.
+def _lowered(description: Column) -> Column:
+    return F.lower(text_or_empty(description))
 
-    The dictionary is sorted and merged by title up front, so the per-row work is one
-    lower() and a ``contains`` per term, all of it inside generated code.
-    """
-    text = F.lower(text_or_empty(description))
+
+def _skills_in(text: Column, skills: Sequence[str]) -> Column:
     terms_of: dict[str, list[str]] = {}
     for term in skills:
         terms_of.setdefault(term.title() if term.islower() else term, []).append(term)
@@ -57,33 +56,49 @@ def extract_skills(description: Column, skills: Sequence[str] = SKILLS) -> Colum
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, _SEPARATOR))
 
 
+def extract_skills(description: Column, skills: Sequence[str] = SKILLS) -> Column:
+    """Dictionary terms found in the text, as distinct titles in code-point order.
+
+    The dictionary is sorted and merged by title up front, so the per-row work is one
+    lower() and a ``contains`` per term, all of it inside generated code.
+    """
+    return _skills_in(_lowered(description), skills)
+
+
 def role_word_pattern(words: Sequence[str]) -> str:
     """Whole-word match where letters and digits of any script, and ``_``, make words."""
     alternatives = "|".join(words)
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{alternatives})(?![\p{{L}}\p{{N}}_])"
 
 
-def score_confidence(
-    skills: Column, description: Column, role_words: Sequence[str] = ROLE_WORDS
-) -> Column:
-    names_role = F.lower(text_or_empty(description)).rlike(role_word_pattern(role_words))
+def _confidence(skills: Column, text: Column, role_words: Sequence[str]) -> Column:
+    # A plain substring search spares most texts the pattern.
+    mentioned = F.lit(False)
+    for word in role_words:
+        mentioned = mentioned | text.contains(word)
     return (
         F.when(F.size(skills) > 0, F.lit(WITH_SKILLS))
-        .when(names_role, F.lit(ROLE_ONLY))
+        .when(mentioned & text.rlike(role_word_pattern(role_words)), F.lit(ROLE_ONLY))
         .otherwise(F.lit(NEITHER))
     )
 
 
+def score_confidence(
+    skills: Column, description: Column, role_words: Sequence[str] = ROLE_WORDS
+) -> Column:
+    return _confidence(skills, _lowered(description), role_words)
+
+
 def enrich(
     rows: DataFrame, skills: Sequence[str] = SKILLS, role_words: Sequence[str] = ROLE_WORDS
 ) -> DataFrame:
-    """Add skills, confidence and an (always null) error."""
-    described = F.col("description")
-    return (
-        rows.withColumn("skills", extract_skills(described, skills))
-        .withColumn("confidence", score_confidence(F.col("skills"), described, role_words))
-        .withColumn("error", F.lit(None).cast("string"))
+    """Add skills, confidence and an (always null) error; each text is scanned once."""
+    lowered = computed_once(rows, _text=_lowered(F.col("description")))
+    tagged = computed_once(lowered, skills=_skills_in(F.col("_text"), skills))
+    scored = computed_once(
+        tagged, confidence=_confidence(F.col("skills"), F.col("_text"), role_words)
     )
+    return scored.drop("_text").withColumn("error", F.lit(None).cast("string"))
 
 
 class ModelUnavailable(Exception):
@@ -149,7 +164,7 @@ def enrich_with(
     descriptions to a list of reply texts. Only the description crosses to Python.
     """
 
-    @F.pandas_udf(_REPLY)
+    @once_per_row(_REPLY)
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for texts in batches:

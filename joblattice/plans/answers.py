@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblattice.functions.text import LINE_BREAK, text_or_empty
+from joblattice.functions.once import once_per_row
 from joblattice.operators.enrich import ModelUnavailable, replies_in_batches
 from joblattice.operators.search import TOP_K, rank_per_question
 
@@ -80,7 +81,7 @@ def answer_with(
     A ``ModelUnavailable`` failure gives the fallback answer; any other fails the job.
     """
 
-    @F.pandas_udf(T.StringType())
+    @once_per_row(T.StringType())
     def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load_model()
         for questions, contexts in batches:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblattice.functions.html import absolute_url, clean_html_text
+from joblattice.functions.once import computed_once
 from joblattice.functions.text import (
     board_title, epoch_to_iso, matches_role, non_empty, slugify_title, text_or_empty, truthy,
 )
@@ -31,9 +32,8 @@ def _jobs(captures: DataFrame, source: str, job: str, path: str, role: str, titl
     entries = F.from_json("body", schema)
     for step in path.split(".") if path else []:
         entries = entries[step]
-    jobs = captured(captures, source, "feed").select(
-        "source", "board", "url", "seq", F.posexplode(entries).alias("pos", "job")
-    )
+    parsed = computed_once(captured(captures, source, "feed"), entries=entries)
+    jobs = parsed.select("source", "board", "url", "seq", F.posexplode("entries").alias("pos", "job"))
     return jobs.filter(matches_role(F.col(f"job.{title}"), role))
 
 

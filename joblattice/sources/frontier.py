@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblattice.functions.html import board_links, card_links, result_links
+from joblattice.functions.once import computed_once
 from joblattice.functions.text import (
     comma_values, matches_role, non_empty, query_url, text_or_empty, window_json,
 )
@@ -64,10 +65,8 @@ def sitemap_locs(body: Column) -> Column:
 
 
 def sitemap_urls(captures: DataFrame) -> DataFrame:
-    maps = captures.filter("kind = 'sitemap'")
-    return maps.select(
-        "source", "seq", F.posexplode(sitemap_locs(F.col("body"))).alias("pos", "url")
-    )
+    maps = computed_once(captures.filter("kind = 'sitemap'"), urls=sitemap_locs(F.col("body")))
+    return maps.select("source", "seq", F.posexplode("urls").alias("pos", "url"))
 
 
 def sitemap_cap(max_pages: int = MAX_PAGES) -> int:
@@ -93,8 +92,8 @@ def sitemap_frontier(
     if distinct:
         urls = F.array_distinct(urls)
     urls = F.slice(urls, 1, sitemap_cap() if cap is None else cap)
-    maps = captures.filter("kind = 'sitemap'")
-    return maps.select("source", "seq", F.posexplode(urls).alias("pos", "url"))
+    maps = computed_once(captures.filter("kind = 'sitemap'"), urls=urls)
+    return maps.select("source", "seq", F.posexplode("urls").alias("pos", "url"))
 
 
 def cutshort_frontier(captures: DataFrame, role: str, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -149,10 +148,11 @@ def foundit_pages(captures: DataFrame, role: str, max_pages: int = MAX_PAGES) ->
     state = F.from_json(
         window_json(F.col("body"), FOUNDIT_STATE), "query string, locations string, limit string"
     )
-    searches = captured(captures, "foundit_demo", "search").select("source", "seq", state.alias("state"))
+    searches = computed_once(captured(captures, "foundit_demo", "search"), state=state)
     has_state = F.coalesce("state.query", "state.locations", "state.limit").isNotNull()
     limit = F.coalesce(F.col("state.limit").try_cast("int"), F.lit(FOUNDIT_LIMIT))
-    pages = page_frontier(searches.filter(has_state).withColumn("limit", limit), max_pages, F.col("limit"))
+    known = searches.filter(has_state).select("source", "seq", "state", limit.alias("limit"))
+    pages = page_frontier(known, max_pages, F.col("limit"))
     params = {
         "query": F.coalesce("state.query", F.lit(role)),
         "locations": F.coalesce("state.locations", F.lit("India")),
@@ -167,8 +167,9 @@ def himalayas_next(captures: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame
     total = F.coalesce(
         F.from_json("body", "totalCount string")["totalCount"].try_cast("long"), F.lit(0)
     )
-    following = captured(captures, "himalayas", "feed").select(
-        "source", "seq", (F.col("page") + 1).alias("page"), total.alias("total")
+    counted = computed_once(captured(captures, "himalayas", "feed"), total=total)
+    following = counted.select(
+        "source", "seq", (F.col("page") + 1).alias("page"), "total"
     ).withColumn("start", F.col("page") * HIMALAYAS_PAGE_SIZE)
     params = {"limit": F.lit(HIMALAYAS_PAGE_SIZE), "offset": F.col("start")}
     return following.filter((F.col("page") < max_pages) & (F.col("start") < F.col("total"))).select(
@@ -179,11 +180,10 @@ def himalayas_next(captures: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame
 def arbeitnow_next(captures: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """The next link of each captured page below the page limit; pages count from one."""
     link = F.from_json("body", "links struct<next: string>")["links"]["next"]
-    return (
-        captured(captures, "arbeitnow", "feed")
-        .filter(F.col("page") < max_pages)
-        .select("source", "seq", (F.col("page") + 1).alias("page"), non_empty(link).alias("url"))
-        .filter("url is not null")
+    early = captured(captures, "arbeitnow", "feed").filter(F.col("page") < max_pages)
+    linked = computed_once(early, next=non_empty(link)).filter("next is not null")
+    return linked.select(
+        "source", "seq", (F.col("page") + 1).alias("page"), F.col("next").alias("url")
     )
 
 
