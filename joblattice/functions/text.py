@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Unicode white space plus the four C0 separators, which Python also treats as white space.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+NOT_WHITESPACE = r"(?U)[^\s\x1c-\x1f]"
 # The places where Python's splitlines() breaks.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -38,7 +39,8 @@ def truthy(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (collapse_ws(c) == "")
+    """Null or without a single visible character; stops at the first one."""
+    return ~F.coalesce(c.rlike(NOT_WHITESPACE), F.lit(False))
 
 
 def normalize_text(c: Column) -> Column:

@@ -54,24 +54,34 @@ def validated(raw: DataFrame) -> DataFrame:
     )
 
 
+def without_unused_text(rows: DataFrame) -> DataFrame:
+    """Blank the texts of rows that only carry a count."""
+    texts = ("title", "company", "description", "location", "url", "posted_at")
+    return rows.withColumns({name: F.when(F.col("complete"), F.col(name)) for name in texts})
+
+
 def tagged(enriched: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     return enriched.withColumn("storable", F.col("complete") & (F.col("confidence") >= min_confidence))
 
 
-def id_ledger(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """Per id: copies, storable copies, fetched, errors, and whether the store knows it.
+def per_id_counts(rows: DataFrame) -> DataFrame:
+    """Per id: fetched, copies, storable copies and errors.
 
     Narrow and combined before the shuffle, so neither a hot id nor a hot source gathers
     its rows in one task. Rows without an id are summed per source under a null id.
     """
-    per_id = rows.groupBy("source", "id").agg(
+    return rows.groupBy("source", "id").agg(
         F.sum("fetched").alias("fetched"),
         F.count_if(F.col("complete")).alias("copies"),
         F.count_if(F.col("storable")).alias("storable"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
-    known = known_ids(per_id, store).withColumn("known", F.lit(True))
-    return per_id.join(known, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def with_known(per_id: DataFrame, known: DataFrame) -> DataFrame:
+    """The ledger: per-id counts and whether the store holds the id."""
+    flagged = known.select("id").withColumn("known", F.lit(True))
+    return per_id.join(flagged, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def counters(ledger: DataFrame) -> DataFrame:
@@ -91,22 +101,19 @@ def counters(ledger: DataFrame) -> DataFrame:
     )
 
 
-def winners(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+def winners(rows: DataFrame, known: DataFrame) -> DataFrame:
     """First storable arrival of every id the store does not know.
 
     Only one row per id and task is shuffled, and both sides of the anti join hold an id
     at most once and are spread by id.
     """
-    known = ledger.filter("known").select("id")
-    return first_arrival(rows.filter("storable")).join(known, "id", "left_anti")
+    return first_arrival(rows.filter("storable")).join(known.select("id"), "id", "left_anti")
 
 
 @dataclass
 class IngestPlan:
     new_listings: DataFrame
     counters: DataFrame
-    ledger: DataFrame
-    rows: DataFrame
 
 
 def plan_ingest(
@@ -116,9 +123,10 @@ def plan_ingest(
     min_confidence: float = MIN_CONFIDENCE,
 ) -> IngestPlan:
     """The whole ingest as lazy DataFrames; embedding and appending come after it."""
-    rows = tagged(enricher(validated(raw)), min_confidence)
-    ledger = id_ledger(rows, store)
-    return IngestPlan(winners(rows, ledger), counters(ledger), ledger, rows)
+    checked = validated(raw)
+    known = known_ids(checked.filter("complete").select("id").distinct(), store)
+    rows = tagged(enricher(checked), min_confidence)
+    return IngestPlan(winners(rows, known), counters(with_known(per_id_counts(rows), known)))
 
 
 def embedded(listings: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
@@ -145,16 +153,17 @@ def ingest_batch(
     embedder: Callable[[Column], Column] | None = None,
     min_confidence: float = MIN_CONFIDENCE,
     started_at: Column | None = None,
+    stage_rows: bool = True,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Ingest the raw rows of one or more sources into the store; returns the run-log rows.
 
     ``fetched`` (source, fetched) adds counts made elsewhere, such as search results.
-    Without a model everything up to the winners is JVM work on the input, cheap enough
-    to run twice; the narrow ledger is written to the scratch folder first, so that the
-    counters and the winners come from the same decision. With a model, known ids are
-    dropped first and the replies are written to the scratch folder, so that each text
-    is sent once.
+    The validated rows are written to the scratch folder first, so that pages and feeds
+    are parsed once; ``stage_rows=False`` reads a cheap input again instead. The per-id
+    counts and the known ids are written as well, so the counters and the winners rest on
+    the same decision. With a model, known ids are dropped before it is asked, and its
+    replies are written too, so that each text is sent once.
     """
     spark = prepare(raw.sparkSession)
     run_id = run_id or str(uuid.uuid4())
@@ -164,40 +173,37 @@ def ingest_batch(
     store = tables.read_listings(spark, root, without_batch=batch_id)
     scratch = f"{scratch_dir(spark)}/ingest-{batch_id}-{uuid.uuid4().hex}"
 
-    rows = validated(raw)
-    if model_enricher is None:
-        rows = tagged(enrich(rows), min_confidence)
-        ledger = _staged(id_ledger(rows, store), f"{scratch}/ledger")
+    checked = validated(raw)
+    if stage_rows:
+        checked = _staged(without_unused_text(checked), f"{scratch}/checked")
+    has_model = model_enricher is not None
+    if has_model:
+        rows = checked.withColumns({"storable": F.lit(False), "error": F.lit(None).cast("string")})
     else:
-        complete = rows.filter("complete")
-        fresh = drop_known(complete, store, rows_per_slice=rows_per_slice)
-        answered = _staged(tagged(model_enricher(fresh), min_confidence), f"{scratch}/answered")
-        untouched = rows.withColumn("storable", F.lit(False)).withColumn("error", F.lit(None).cast("string"))
-        before = id_ledger(untouched, store)
-        after = answered.groupBy("id").agg(
+        rows = tagged(enrich(checked), min_confidence)
+    per_id = _staged(per_id_counts(rows), f"{scratch}/per_id")
+    known = _staged(known_ids(per_id, store), f"{scratch}/known")
+    if has_model:
+        fresh = drop_known(checked.filter("complete"), known, rows_per_slice=rows_per_slice)
+        rows = _staged(tagged(model_enricher(fresh), min_confidence), f"{scratch}/answered")
+        answered = rows.groupBy("id").agg(
             F.count_if("storable").alias("_storable"),
             F.count_if(F.col("error").isNotNull()).alias("_errors"),
         )
-        merged = before.join(after, "id", "left").select(
-            "id",
-            "source",
-            "fetched",
-            "copies",
-            F.coalesce("_storable", F.lit(0)).alias("storable"),
-            F.coalesce("_errors", F.lit(0)).alias("errors"),
-            "known",
+        per_id = (
+            per_id.join(answered, "id", "left")
+            .withColumn("storable", F.coalesce("_storable", F.lit(0)))
+            .withColumn("errors", F.coalesce("_errors", F.lit(0)))
         )
-        ledger = _staged(merged, f"{scratch}/ledger")
-        rows = answered
 
-    new = embedded(winners(rows, ledger), embedder or default_embedder())
+    new = embedded(winners(rows, known), embedder or default_embedder())
     new = new.withColumn("ingested_at", F.current_timestamp()).select(*LISTING_COLUMNS)
     tables.write_batch(new, root, "listings", batch_id)
 
     errors = rows.filter(F.col("error").isNotNull()).select(
         F.lit(run_id).alias("run_id"), "source", "error"
     )
-    counts = counters(ledger)
+    counts = counters(with_known(per_id, known))
     if fetched is not None:
         extra = fetched.groupBy("source").agg(F.sum("fetched").alias("_more"))
         counts = (
@@ -206,7 +212,6 @@ def ingest_batch(
             .drop("_more")
             .fillna(0)
         )
-    has_model = model_enricher is not None
     if has_model:
         tables.write_batch(errors, root, "run_errors", batch_id)
     log = run_log_rows(counts, errors if has_model else None, run_id, started_at)
