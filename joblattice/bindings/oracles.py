@@ -200,6 +200,10 @@ ORACLES: dict[str, str] = {
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "role_filter": f"WITH {RAW} SELECT seq, {matches('title', 'of', 'the')} AS of_the, {matches('title', 'tion', 'ther')} AS tion_ther FROM raw",
     "enrich_documents": f"WITH {ENRICHED} SELECT seq, skills, confidence FROM enriched",
+    "enrich_with_model": f"""WITH {ENRICHED} SELECT seq,
+  CASE WHEN contains(description, 'token =') THEN skills ELSE 'size ' || (length(description) // 1000) END AS skills,
+  CASE WHEN contains(description, 'token =') THEN confidence ELSE least(length(description), 1000) / 1000.0::DOUBLE END AS confidence
+FROM enriched""",
     "confidence_kept": f"WITH {ENRICHED} SELECT confidence, count(*) AS n FROM enriched WHERE confidence >= 0.6 GROUP BY confidence",
     "listing_ids_first": f"""WITH {RAW} SELECT sha256('docs:' || url) AS id, url, min(seq) AS seq FROM raw GROUP BY url""",
     "drop_known": f"WITH {TAGGED} SELECT id, seq FROM tagged WHERE NOT known",
@@ -247,11 +251,14 @@ FROM enriched""",
 SELECT id, round(1 - list_cosine_similarity(x, m), 6) AS distance FROM v, q
 ORDER BY round(1 - list_cosine_similarity(x, m), 12), id LIMIT 15""",
     "rank_per_question": f"WITH {LABEL_MEANS} SELECT question_id, id, round(d, 6) AS distance, rank::INTEGER AS rank FROM best",
+    "cosine_distance": f"""WITH {LABEL_MEANS} SELECT id AS vec_id, round(1 - list_cosine_similarity(x, m), 6) AS distance
+FROM v JOIN q ON v.label = q.question_id""",
     "hash_embed": """WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), counts AS (
   SELECT doc_id, ('0x' || substring(md5(token), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM tokens GROUP BY 1, 2)
 SELECT doc_id, bucket::INTEGER AS bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS weight FROM counts""",
     "retrieve": f"WITH {CONTEXTS} SELECT * FROM contexts",
     "answer_fallback": f"WITH {CONTEXTS} SELECT question_id, {fallback_answer('string_split(context, chr(10))')} AS answer FROM contexts",
+    "answer_with_model": f"WITH {CONTEXTS} SELECT question_id, question_id || ': ' || length(context) AS answer FROM contexts",
     "answer_lines": f"""WITH c AS (SELECT doc_id, list_transform(string_split(text, chr(10)),
   lambda l: regexp_replace(l, '^([A-M])', '- \\1')) AS lines FROM documents)
 SELECT doc_id, {fallback_answer('lines')} AS answer FROM c""",

@@ -7,13 +7,14 @@ rows in Spark and parsed back, so the work of each query grows with its tables.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.functions import jsonld
+from joblattice.functions import jsonld, vectors
 from joblattice.functions import text as t
 from joblattice.functions.html import clean_html_text, page_fields
 from joblattice.operators import dedup, enrich, runs, search, stats, validate, views
@@ -145,6 +146,39 @@ def enrich_documents(spark, sf_dir):
     return enriched(spark, sf_dir).select("seq", skill_text().alias("skills"), "confidence")
 
 
+def _load_stub_model():
+    """Stands in for a model: fails on texts with a secret, else scores by length."""
+
+    def reply(texts: list[str]) -> list[str]:
+        if any("token =" in text for text in texts):
+            raise enrich.ModelUnavailable("refused")
+        return [
+            json.dumps({"skills": [f" size {len(text) // 1000} ", ""], "confidence": min(len(text), 1000) / 1000})
+            for text in texts
+        ]
+
+    return reply
+
+
+def enrich_with_model(spark, sf_dir):
+    rows = raw_from(spread(table(spark, sf_dir, "documents")))
+    scored = enrich.enrich_with(rows, _load_stub_model, skills=TERMS, role_words=WORDS)
+    return scored.select("seq", skill_text().alias("skills"), "confidence")
+
+
+def _load_stub_answers():
+    def reply(pairs: list[tuple[str, str]]) -> list[str]:
+        return [f" {question}: {len(context)} " for question, context in pairs]
+
+    return reply
+
+
+def answer_with_model(spark, sf_dir):
+    found = _retrieved(spark, sf_dir)
+    answer = answers.answer_with(F.col("question_id").cast("string"), F.col("context"), _load_stub_answers)
+    return found.select("question_id", answer.alias("answer"))
+
+
 def confidence_kept(spark, sf_dir):
     kept = validate.confidence_filter(enriched(spark, sf_dir))
     return kept.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
@@ -401,13 +435,21 @@ def rank_per_question(spark, sf_dir):
     return ranked.withColumn("distance", F.round("distance", 6))
 
 
+def cosine_distance(spark, sf_dir):
+    """Distance of every vector to the mean of its label, as a Column expression."""
+    means = _mean_vectors(_vector_listings(spark, sf_dir), "label").withColumnRenamed("embedding", "mean")
+    rows = table(spark, sf_dir, "embeddings").join(means, "label")
+    distance = vectors.cosine_distance(F.col("embedding"), F.col("mean"))
+    return rows.select("vec_id", F.round(distance, 6).alias("distance"))
+
+
 def approx_similarity_topk(spark, sf_dir):
     return search.approx_similarity_topk(_vector_listings(spark, sf_dir), _mean_vector(spark, sf_dir))
 
 
 def hash_embed_documents(spark, sf_dir):
-    vectors = spread(table(spark, sf_dir, "documents")).select("doc_id", hash_embed(F.col("text"), DIMS).alias("v"))
-    weights = vectors.select("doc_id", F.posexplode("v").alias("bucket", "weight")).filter("weight > 0")
+    embedded = spread(table(spark, sf_dir, "documents")).select("doc_id", hash_embed(F.col("text"), DIMS).alias("v"))
+    weights = embedded.select("doc_id", F.posexplode("v").alias("bucket", "weight")).filter("weight > 0")
     return weights.withColumn("weight", F.col("weight").cast("double"))
 
 
@@ -584,9 +626,9 @@ def page_ddg(spark, sf_dir):
 
 
 def attach_search_record(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(F.lit("x").alias("source"), "url", "page_id")
+    rows = table(spark, sf_dir, "pages").select(F.lit("x").alias("source"), "url", F.col("page_id").alias("seq"))
     joined = pages.attach_search_record(rows, _search_records(spark, sf_dir, "x"))
-    return joined.select("page_id", F.coalesce("found_title", F.lit("-")).alias("title"))
+    return joined.select(F.col("seq").alias("page_id"), F.coalesce("found_title", F.lit("-")).alias("title"))
 
 
 # Feeds: one payload per document, one job per line of its text
@@ -832,6 +874,7 @@ QUERIES: dict[str, Query] = {
     "required_fields": required_fields,
     "role_filter": role_filter,
     "enrich_documents": enrich_documents,
+    "enrich_with_model": enrich_with_model,
     "confidence_kept": confidence_kept,
     "listing_ids_first": listing_ids_first,
     "drop_known": drop_known,
@@ -861,10 +904,12 @@ QUERIES: dict[str, Query] = {
     "age_label": age_label,
     "similarity_topk": similarity_topk,
     "rank_per_question": rank_per_question,
+    "cosine_distance": cosine_distance,
     "approx_similarity_topk": approx_similarity_topk,
     "hash_embed": hash_embed_documents,
     "retrieve": retrieve,
     "answer_fallback": answer_fallback,
+    "answer_with_model": answer_with_model,
     "answer_lines": answer_lines,
     "strip_html": strip_html,
     "page_titles": page_titles,

@@ -50,9 +50,10 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session()
     embedder = default_embedder(args.dims)
     if args.command == "ingest" and args.checkpoint:
+        searches = read_captures(spark, args.captures).filter("kind in ('search', 'feed')")
         ingest_stream(
             read_captures_stream(spark, args.captures),
-            lambda batch: raw_listings(batch, args.role, args.sources)[0],
+            lambda batch: raw_listings(batch, args.role, args.sources, searches),
             args.store,
             args.checkpoint,
             embedder=embedder,

@@ -32,29 +32,40 @@ def known_ids(ids: DataFrame, store: DataFrame) -> DataFrame:
     return store.select("id").join(ids.select("id"), "id", "left_semi")
 
 
-def drop_known(
+def sliced(
     rows: DataFrame,
-    store: DataFrame,
-    order: Sequence[str] = ARRIVAL,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
     rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Rows whose id is not in the store.
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` with a further key ``_slice``.
 
-    Ids with more than ``rows_per_slice`` copies are cut into slices by arrival, so that
-    no task gets all copies of one id. At most (row count / rows_per_slice) ids can be
-    that frequent, which bounds the broadcast list of slice counts.
+    A key with more than ``rows_per_slice`` rows is cut into slices by arrival, and its
+    one lookup row repeated per slice, so that no task gets all rows of a key. At most
+    (row count / rows_per_slice) keys can be that frequent, which bounds the broadcast
+    list of slice counts. ``lookup`` holds a key at most once.
     """
-    copies = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_copies"))
+    copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     hot = copies.filter(F.col("_copies") > rows_per_slice).select(
-        "id", F.ceil(F.col("_copies") / rows_per_slice).cast("int").alias("_slices")
+        *keys, F.ceil(F.col("_copies") / rows_per_slice).cast("int").alias("_slices")
     )
-    known = known_ids(copies, store).join(F.broadcast(hot), "id", "left")
-    known = known.select(
-        "id",
-        F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)).alias("_slice"),
-    )
-    sliced = rows.join(F.broadcast(hot), "id", "left").withColumn(
+    slices = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)
+    repeated = lookup.join(F.broadcast(hot), [*keys], "left").withColumn("_slice", F.explode(slices))
+    spread = rows.join(F.broadcast(hot), [*keys], "left").withColumn(
         "_slice",
         F.coalesce(F.pmod(F.xxhash64(*order), F.col("_slices")).cast("int"), F.lit(0)),
     )
-    return sliced.join(known, ["id", "_slice"], "left_anti").drop("_slice", "_slices")
+    return spread.drop("_slices"), repeated.drop("_slices")
+
+
+def drop_known(
+    rows: DataFrame,
+    store: DataFrame,
+    order: Sequence[str] = ARRIVAL,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Rows whose id is not in the store, even where one id has very many rows."""
+    known = known_ids(rows.select("id").distinct(), store)
+    left, right = sliced(rows, known, ("id",), order, rows_per_slice)
+    return left.join(right, ["id", "_slice"], "left_anti").drop("_slice")

@@ -22,6 +22,8 @@ from joblattice.session import scratch_dir
 TOP_K = 15
 # Question vectors travel to every task; more than this many bytes go in several passes.
 QUESTION_BYTES = 32 * 1024 * 1024
+# A ranking of at most this many rows is marked small enough to broadcast.
+BROADCAST_ROWS = 200_000
 # Distances this close count as equal, so that equal vectors tie and the id decides.
 DISTANCE_DIGITS = 12
 _CHUNK = 256
@@ -138,7 +140,9 @@ def rank_per_question(
 
     def ranked(keys: list, vectors: np.ndarray) -> DataFrame:
         found = _nearest_in_one_pass(listings, keys, vectors, k, key_type)
-        return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+        best = found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+        # The result has at most k rows per question read here, which Spark cannot know.
+        return F.broadcast(best) if len(keys) * k <= BROADCAST_ROWS else best
 
     blocks = _question_blocks(questions, max_bytes)
     first = next(blocks, None)

@@ -50,11 +50,17 @@ def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def raw_listings(
-    captures: DataFrame, role: str, sources: Sequence[str] = DEFAULT_SOURCES
+    captures: DataFrame,
+    role: str,
+    sources: Sequence[str] = DEFAULT_SOURCES,
+    searches: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Raw rows of the sources, and fetched counts made outside of them.
 
     The counts hold every requested source, so that one without a single row is logged.
+    ``searches`` is where the search records of the pages are looked up, by default the
+    captures themselves; a stream passes the whole capture table, since a page may come
+    in a later micro-batch than the search result that led to it.
     """
     unknown = sorted(set(sources) - set(ALL_SOURCES))
     if unknown:
@@ -68,8 +74,8 @@ def raw_listings(
         if source in DIRECT:
             rows.append(DIRECT[source](captures, role))
             continue
-        found = search_frontier(captures, source, role)
-        records = frontier.search_records(found)
+        looked_up = search_frontier(captures if searches is None else searches, source, role)
+        records = frontier.search_records(looked_up)
         rows.append(_searched(captures, source, records, role))
-        counts.append(frontier.fetched_counts(found))
+        counts.append(frontier.fetched_counts(search_frontier(captures, source, role)))
     return union_sources(rows), union_sources(counts)

@@ -219,6 +219,22 @@ def ingest_batch(
     return tables.read_runs(spark, root).filter(F.col("run_id") == run_id)
 
 
+def insert_if_absent(listings: DataFrame, root: str, batch_id: str) -> DataFrame:
+    """Append finished listings whose id is new; returns every given id and ``inserted``.
+
+    Of several rows of an id in one call the first by ``ingested_at`` counts.
+    """
+    spark = listings.sparkSession
+    tables.ensure_tables(spark, root)
+    store = tables.read_listings(spark, root, without_batch=batch_id)
+    first = first_arrival(listings, order=("ingested_at", "description"))
+    ids = first.select("id")
+    known = _staged(known_ids(ids, store), f"{scratch_dir(spark)}/known-{uuid.uuid4().hex}")
+    tables.write_batch(first.join(known, "id", "left_anti"), root, "listings", batch_id)
+    flagged = known.withColumn("inserted", F.lit(False))
+    return ids.join(flagged, "id", "left").withColumn("inserted", F.col("inserted").isNull())
+
+
 def run_log_rows(
     counts: DataFrame, errors: DataFrame | None, run_id: str, started_at: Column
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from joblattice.functions import jsonld
 from joblattice.functions.html import clean_html_text, page_fields
 from joblattice.functions.text import collapse_ws, matches_role, non_empty, strip_ws, text_or_empty
-from joblattice.operators.dedup import first_arrival
+from joblattice.operators.dedup import ROWS_PER_SLICE, first_arrival, sliced
 from joblattice.schema import RAW_COLUMNS
 from joblattice.sources.feeds import captured
 
@@ -110,11 +110,13 @@ def page_foundit(captures: DataFrame, role: str) -> DataFrame:
     )
 
 
-def attach_search_record(pages: DataFrame, records: DataFrame) -> DataFrame:
+def attach_search_record(
+    pages: DataFrame, records: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Left join of extracted pages with the first search record that led to each.
 
-    Records are unique per page before the join, and the page side holds extracted
-    fields only; a page captured very often is split by the adaptive skew join.
+    Records are unique per page before the join, the page side holds extracted fields
+    only, and a page captured very often is cut into slices.
     """
     first = first_arrival(records, keys=("source", "url"))
     named = first.select(
@@ -125,7 +127,8 @@ def attach_search_record(pages: DataFrame, records: DataFrame) -> DataFrame:
             for name in ("title", "company", "location", "posted_at", "description")
         ],
     )
-    return pages.join(named, ["source", "url"], "left")
+    left, right = sliced(pages, named, ("source", "url"), ("seq",), rows_per_slice)
+    return left.join(right, ["source", "url", "_slice"], "left").drop("_slice")
 
 
 def page_foundit_demo(captures: DataFrame, records: DataFrame, role: str) -> DataFrame:

@@ -12,7 +12,7 @@ from joblattice.plans.ingest import ingest_batch
 
 def ingest_stream(
     captures: DataFrame,
-    adapter: Callable[[DataFrame], DataFrame],
+    adapter: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]],
     root: str,
     checkpoint: str,
     run_prefix: str = "stream",
@@ -22,14 +22,16 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start a query that ingests captured rows as they arrive.
 
-    ``adapter`` turns a micro-batch into raw listing rows. The batch id is derived from
-    the micro-batch number: a micro-batch run again after a failure replaces what its
-    first attempt wrote.
+    ``adapter`` turns a micro-batch into raw listing rows, or into a pair of them and
+    fetched counts. The batch id is derived from the micro-batch number: a micro-batch run
+    again after a failure replaces what its first attempt wrote.
     """
 
     def ingest(batch: DataFrame, number: int) -> None:
         name = f"{run_prefix}-{number:010d}"
-        ingest_batch(adapter(batch), root, run_id=name, batch_id=name, **options)
+        adapted = adapter(batch)
+        raw, fetched = adapted if isinstance(adapted, tuple) else (adapted, None)
+        ingest_batch(raw, root, run_id=name, batch_id=name, fetched=fetched, **options)
 
     trigger = {"availableNow": True} if available_now else {"processingTime": processing_time}
     return (

@@ -157,3 +157,14 @@ def test_indeed_and_ddg(page, records):
     assert rows[0]["description"] == "x cook food js" and rows[0]["location"] == "Unknown"
     rows = rows_of(pages.page_ddg(page("ddg", "<body><p>" + "a" * 5000, url=url), found))
     assert len(rows[0]["description"]) == 4000
+
+
+def test_hot_page_is_cut_into_slices(spark, records):
+    rows = [("x", "hot" if i % 3 else f"u{i % 10}", i) for i in range(900)]
+    frame = spark.createDataFrame(rows, "source string, url string, seq long")
+    found = records(*[("x", u, f"T-{u}", "", "", None, "", 0, 0) for u in ("hot", "u0", "u3", "u6", "gone")])
+    joined = pages.attach_search_record(frame, found, rows_per_slice=50)
+    names = {"hot", "u0", "u3", "u6"}
+    expected = sorted((i, f"T-{u}" if u in names else None) for _, u, i in rows)
+    got = sorted(((r["seq"], r["found_title"]) for r in joined.collect()), key=lambda p: p[0])
+    assert got == expected
