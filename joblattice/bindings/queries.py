@@ -102,12 +102,12 @@ def skill_text(skills: Column | str = "skills") -> Column:
 
 def normalize_text(spark, sf_dir):
     normal = t.normalize_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(normal).alias("digest"), F.length(normal).cast("long").alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(normal).alias("digest"), F.length(normal).cast("long").alias("n"))
 
 
 def collapse_ws(spark, sf_dir):
     clean = t.collapse_ws(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n"))
 
 
 def embedding_text(spark, sf_dir):
@@ -468,7 +468,7 @@ def answer_fallback(spark, sf_dir):
 def answer_lines(spark, sf_dir):
     """The fallback answer over whole texts, whose lines become context lines."""
     context = F.regexp_replace("text", r"(?m)^([A-M])", "- $1")
-    return table(spark, sf_dir, "documents").select("doc_id", answers.answer_fallback(context).alias("answer"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", answers.answer_fallback(context).alias("answer"))
 
 
 # Pages
@@ -513,7 +513,8 @@ def json_ld_postings(spark, sf_dir):
         F.lit("<html><!-- "), _script(F.lit('{"@type":"JobPosting"}')), F.lit(" -->"),
         _script(F.lit('[{"@type":"Organization"}]')), _script(F.lit("{broken")), _script(posting),
     )
-    rows = pages.with_posting(raw(spark, sf_dir).select("seq", body.alias("body")))
+    documents = raw_from(spread(table(spark, sf_dir, "documents")))
+    rows = pages.with_posting(documents.select("seq", body.alias("body")))
     return rows.select(
         "seq", "ld_title", "ld_company", "ld_location", "ld_date",
         F.md5("ld_html").alias("digest"), F.size("blocks").alias("n_blocks"),
@@ -547,7 +548,7 @@ def json_ld_shapes(spark, sf_dir):
         _script(F.lit('{"@graph":"none"}')), _script(graph),
         _script(F.concat(F.lit('{"l":'), location, F.lit(',"c":'), company, F.lit("}"))),
     )
-    rows = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", body.alias("body"))
     blocks = rows.withColumn("blocks", jsonld.json_ld_blocks(jsonld.json_ld_scripts(F.col("body"))))
     last = F.element_at("blocks", -1)
     return blocks.select(

@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from joblattice.functions.text import non_empty
 
+# The script type, and where JSON allows white space.
+LD_TYPE = "application/ld+json"
+JSON_SPACE = " \t\r\n"
 # A comment or a whole script element, whichever starts first, so that neither a
 # commented-out script nor markup quoted inside another script is taken for a block.
-_SCRIPT = r"(?is)<!--.*?-->|<script\b([^>]*)>(.*?)</script"
-_LD_TYPE = r"""(?:^|\s)(?i:type)\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?:\s|/?$))"""
+_ELEMENT = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script"
+_LD_ELEMENT = r"""(?i)^<script[^>]*?\stype\s*=\s*(?-i:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?:\s|/?>))"""
+_CONTENT = r"(?s)^[^>]*>(.*).{8}$"
 
 
 def json_ld_scripts(html: Column) -> Column:
-    """Raw text of every ``application/ld+json`` script, in document order."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)).alias("attrs"),
-        F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(2)).alias("body"),
+    """Raw text of every ``application/ld+json`` script, in document order.
+
+    Pages without the type are not searched.
+    """
+    candidate = F.when(html.contains(LD_TYPE), html)
+    elements = F.filter(
+        F.regexp_extract_all(candidate, F.lit(_ELEMENT), F.lit(0)), lambda e: e.rlike(_LD_ELEMENT)
     )
-    wanted = F.filter(pairs, lambda p: p["attrs"].rlike(_LD_TYPE))
-    return F.transform(wanted, lambda p: p["body"])
+    texts = F.transform(elements, lambda e: F.regexp_extract(e, _CONTENT, 1))
+    return F.coalesce(texts, F.array().cast("array<string>"))
 
 
 def as_list(v: Column) -> Column:
@@ -29,7 +36,7 @@ def as_list(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def field(v: Column, path: str) -> Column:
@@ -40,11 +47,14 @@ def json_ld_blocks(scripts: Column) -> Column:
     """Every JSON object in the scripts; lists are flattened, bad JSON is skipped."""
 
     def parsed(raw: Column) -> Column:
-        whole = raw.rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$")
-        doc = F.try_parse_json(F.when(whole, raw))
-        return F.coalesce(as_list(doc), F.array(doc))
-
-    return F.filter(F.flatten(F.transform(scripts, parsed)), is_object)
+        text = F.btrim(raw, F.lit(JSON_SPACE))
+        braced = text.startswith("{") & text.endswith("}")
+        listed = text.startswith("[") & text.endswith("]")
+        return F.try_parse_json(F.when(braced | listed, text))
+
+    documents = F.transform(scripts, parsed)
+    items = F.transform(documents, lambda doc: F.coalesce(as_list(doc), F.array(doc)))
+    return F.filter(F.flatten(items), is_object)
 
 
 def job_posting(blocks: Column) -> Column:
