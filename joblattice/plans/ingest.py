@@ -30,6 +30,8 @@ from joblattice.sources import store as tables
 
 # Error texts copied into a run-log row; a run with more keeps them in run_errors alone.
 INLINE_ERRORS = 10_000
+# New ids of a batch up to this number are broadcast.
+BROADCAST_IDS = 200_000
 
 
 def with_defaults(raw: DataFrame) -> DataFrame:
@@ -110,6 +112,18 @@ def winners(rows: DataFrame, known: DataFrame) -> DataFrame:
     return first_arrival(rows.filter("storable")).join(known.select("id"), "id", "left_anti")
 
 
+def fresh_winners(rows: DataFrame, fresh: DataFrame, few: bool) -> DataFrame:
+    """First storable arrival of every id in ``fresh``.
+
+    A short list of new ids, the usual case when pages are captured again, is broadcast,
+    and known rows fall out before anything is shuffled.
+    """
+    storable = rows.filter("storable")
+    if few:
+        return first_arrival(storable.join(F.broadcast(fresh), "id", "left_semi"))
+    return first_arrival(storable).join(fresh, "id", "left_semi")
+
+
 @dataclass
 class IngestPlan:
     new_listings: DataFrame
@@ -196,14 +210,18 @@ def ingest_batch(
             .withColumn("errors", F.coalesce("_errors", F.lit(0)))
         )
 
-    new = embedded(winners(rows, known), embedder or default_embedder())
+    ledger = with_known(per_id, known)
+    new_ids = ledger.filter("storable > 0 and not known").select("id")
+    fresh = _staged(new_ids, f"{scratch}/fresh")
+    chosen = fresh_winners(rows, fresh, few=fresh.count() <= BROADCAST_IDS)
+    new = embedded(chosen, embedder or default_embedder())
     new = new.withColumn("ingested_at", F.current_timestamp()).select(*LISTING_COLUMNS)
     tables.write_batch(new, root, "listings", batch_id)
 
     errors = rows.filter(F.col("error").isNotNull()).select(
         F.lit(run_id).alias("run_id"), "source", "error"
     )
-    counts = counters(with_known(per_id, known))
+    counts = counters(ledger)
     if fetched is not None:
         extra = fetched.groupBy("source").agg(F.sum("fetched").alias("_more"))
         counts = (

@@ -240,3 +240,15 @@ def test_run_log_rows(spark):
     )
     assert [r["stored"] for r in latest_run(runs).collect()] == [2]
     assert sorted(r["stored"] for r in latest_run(runs, ("run_id", "source")).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_few_or_many_new_ids_give_the_same_store(spark, raw, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr("joblattice.plans.ingest.BROADCAST_IDS", limit)
+    root = str(tmp_path / "store")
+    ingest_batch(raw(raw_row(1, "a"), raw_row(2, "b")), root, "run1", embedder=EMBED)
+    frame = raw(raw_row(5, "c", title="late"), raw_row(4, "c", title="early"), raw_row(3, "a"), raw_row(6, "d", WEAK))
+    log = log_of(ingest_batch(frame, root, "run2", embedder=EMBED, stage_rows=limit == 0))["s"]
+    assert (log["stored"], log["skipped_dedup"], log["skipped_low_confidence"]) == (1, 2, 1)
+    stored = {r["url"]: r["title"] for r in tables.read_listings(spark, root).collect()}
+    assert stored == {"a": "T", "b": "T", "c": "early"}
