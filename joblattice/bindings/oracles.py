@@ -24,9 +24,9 @@ def matches(c: str, *tokens: str) -> str:
 
 
 def unescaped(c: str) -> str:
-    """The entities that occur in the pages, the ampersand last."""
-    for entity, character in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        c = f"replace({c}, '{entity}', '{character}')"
+    """The entities that occur in the pages, with or without semicolon, the ampersand last."""
+    for entity, character in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{entity};?', '{character}', 'g')"
     return c
 
 
