@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm import bpe_trie, id_files, packing, shards
+from joblattice.llm import bpe_trie, id_files, multi_index, packing, quality, shards, va_file
 from joblattice.llm.common import Scratch
 from joblattice.session import prepare
 
@@ -33,6 +33,16 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("held_out", quality.held_out("doc_id"))
+
+
+def op5_approximation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, end_id=0, capacity=2048)
@@ -48,11 +58,30 @@ def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digests(id_files.write_and_read(table(spark, sf_dir, "documents"), path, end_id=1))
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Query] = {
     "op3_external_shuffle": op3_external_shuffle,
+    "op4_support_vectors": op4_support_vectors,
+    "op5_approximation_file": op5_approximation_file,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_trie_encoding": op8_trie_encoding,
     "op9_bit_planes": op9_bit_planes,
+    "op10_multi_index": op10_multi_index,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_approximation_file": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        ) WHERE rank <= 5
+    """,
+}
