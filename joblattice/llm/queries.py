@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm import bpe_trie, id_files, multi_index, near_dup, packing, quality, shards, va_file
+from joblattice.llm import bpe_trie, id_files, multi_index, near_dup, packing, quality, repeats, shards, va_file
 from joblattice.llm.common import Scratch
 from joblattice.session import prepare
 
@@ -23,6 +23,10 @@ def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_hashed_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = shards.shuffle_to_shards(table(spark, sf_dir, "documents"), Scratch(spark).path("shards"))
     text = F.coalesce("text", F.lit(""))
@@ -68,6 +72,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_prob_minhash": op1_prob_minhash,
+    "op2_hashed_extensions": op2_hashed_extensions,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_support_vectors": op4_support_vectors,
     "op5_approximation_file": op5_approximation_file,
