@@ -19,7 +19,6 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -95,18 +94,21 @@ class Node:
 class WordTrie:
     """Encodings of words; ``kept`` nodes at most are held between two batches."""
 
-    def __init__(self, vocabulary: Vocabulary, kept: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, kept: int = 400_000):
         self.vocabulary, self.kept = vocabulary, kept
         self.root, self.size = Node(), 0
 
-    def _child(self, path: list[Node], prefix: str, end: bool) -> Node:
-        """The node one symbol below ``path[-1]``; ``prefix`` is its text."""
-        vocabulary, depth, tail = self.vocabulary, len(prefix), END if end else ""
-        ids = vocabulary.ids
+    def _child(self, path: list[Node], prefix: str, tail: str) -> Node:
+        """The node one symbol below ``path[-1]``; ``prefix`` is its text, ``tail`` the end mark or nothing."""
+        vocabulary, depth = self.vocabulary, len(prefix)
+        ids, pairs = vocabulary.ids, vocabulary.pairs
         for start in range(max(0, depth - vocabulary.longest), depth):
             token = prefix[start:] + tail
-            if token in ids and vocabulary.stand_together(path[start].last, token):
-                return Node(token, path[start])
+            if token in ids:
+                before = path[start]
+                together = pairs.get((before.last, token))
+                if together or together is None and vocabulary.stand_together(before.last, token):
+                    return Node(token, before)
         raise ValueError(f"no encoding of {prefix!r}")
 
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
@@ -115,20 +117,20 @@ class WordTrie:
             self.root, self.size = Node(), 0
         out, path, previous = {}, [self.root], ""
         for word in sorted(set(words)):
-            shared = len(commonprefix((previous[:-1], word[:-1])))
+            shared = 0
+            for a, b in zip(previous[:-1], word[:-1]):
+                if a != b:
+                    break
+                shared += 1
             del path[shared + 1 :]
             for depth in range(shared + 1, len(word)):
                 node = path[-1].children.get(word[depth - 1])
                 if node is None:
-                    node = self._child(path, word[:depth], False)
+                    node = self._child(path, word[:depth], "")
                     path[-1].children[word[depth - 1]] = node
                     self.size += 1
                 path.append(node)
-            key = word[-1] + END
-            leaf = path[-1].children.get(key)
-            if leaf is None:
-                leaf = path[-1].children[key] = self._child(path, word, True)
-                self.size += 1
+            leaf = self._child(path, word, END)  # the end of a word, which no other word shares
             tokens, node = [], leaf
             while node.before is not None:
                 tokens.append(node.last)
@@ -139,52 +141,68 @@ class WordTrie:
 
 
 class TrieEncoder:
-    """Whole texts to their ids and their decoded text, both as words joined by a space."""
+    """Whole texts to their ids and their decoded text, both as words joined by a space.
 
-    def __init__(self, path: str, kept: int = 500_000):
+    What is known of pieces between white space, and of words, is kept, ``kept`` of each at most.
+    """
+
+    def __init__(self, path: str, kept: int = 700_000):
         self.vocabulary = Vocabulary(path)
         self.trie = WordTrie(self.vocabulary)
         self.kept = kept
         self.pattern = regex.compile(WORD)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
 
     def _words(self, piece: str) -> list[str]:
-        if piece.isascii() and piece.isprintable():
-            return self.pattern.findall(piece.lower())
-        # One character at a time: no rule for a letter at the end of a word.
-        lower = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [w.encode().decode("latin-1").translate(self.vocabulary.letters) for w in self.pattern.findall(lower)]
-
-    def _split(self, piece: str) -> list[tuple[bool, list[str]]]:
-        """Special tokens, and the words between them."""
-        if "<" not in piece:
-            return [(False, self._words(piece))]
+        if piece.isascii():
+            lower = piece.lower()
+        else:  # one character at a time: no rule for a letter at the end of a word
+            lower = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        words = [lower] if lower.isalpha() else self.pattern.findall(lower)
+        if lower.isascii() and lower.isprintable():
+            return words
+        return [w.encode().decode("latin-1").translate(self.vocabulary.letters) for w in words]
+
+    def _split(self, piece: str) -> list[str]:
+        """Words, and special tokens as they are."""
+        if "<|" not in piece:
+            return self._words(piece)
         parts = self.marks.split(piece)
-        return [(i % 2 == 1, [p] if i % 2 else self._words(p)) for i, p in enumerate(parts) if p]
+        return [w for i, p in enumerate(parts) if p for w in ([p] if i % 2 else self._words(p))]
 
     def _learn(self, pieces: Iterable[str]) -> None:
+        known, words, special = self.known, self.words, self.vocabulary.special
         split = {p: self._split(p) for p in pieces}
-        tokens = self.trie.encode(w for parts in split.values() for mark, words in parts if not mark for w in words)
-        ids, special = self.vocabulary.texts, self.vocabulary.special
-        for piece, parts in split.items():
-            names, numbers = [], []
-            for mark, words in parts:
-                for word in words:
-                    found = [word] if mark else tokens[word]
-                    names += found
-                    numbers += [str(special[word])] if mark else [ids[t] for t in found]
-            self.known[piece] = (len(numbers), " ".join(numbers), " ".join(names))
+        for mark, number in special.items():
+            words[mark] = (1, str(number), mark)
+        ids = self.vocabulary.texts
+        for word, tokens in self.trie.encode(w for own in split.values() for w in own if w not in words).items():
+            words[word] = (len(tokens), " ".join([ids[t] for t in tokens]), " ".join(tokens))
+        for piece, own in split.items():
+            if len(own) == 1:
+                known[piece] = words[own[0]]
+            else:
+                found = [words[w] for w in own]
+                known[piece] = (sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of ids, the ids, the decoded text."""
-        if len(self.known) > self.kept:
+        if len(self.known) > self.kept or len(self.words) > self.kept:
             self.known.clear()
+            self.words.clear()
         cut = [[t] if any(c in t for c in ODD_SPACES) else t.split() for t in texts]
         self._learn({p for pieces in cut for p in pieces if p not in self.known})
         for pieces in cut:
-            found = [f for f in map(self.known.__getitem__, pieces) if f[0]]
-            yield sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+            found = list(map(self.known.__getitem__, pieces))
+            if not found:
+                yield 0, "", ""
+                continue
+            counts, ids, tokens = zip(*found)
+            if 0 in counts:  # a text of odd spaces alone has no tokens
+                counts, ids, tokens = zip(*[f for f in found if f[0]] or [(0, "", "")])
+            yield sum(counts), " ".join(ids), " ".join(tokens)
 
 
 @lru_cache(maxsize=2)
