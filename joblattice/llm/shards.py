@@ -41,13 +41,17 @@ def shuffle_to_shards(
     offsets = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
 
     record = F.struct(place.alias("place"), F.struct(*docs.columns).alias("row"))
-    scattered = docs.select(bucket.alias("bucket"), record.alias("record")).repartitionById(buckets, F.col("bucket"))
+    records = docs.select(bucket.alias("bucket"), record.alias("record"), F.lit(None).cast("long").alias("base"))
+    # a bucket's offset travels with its records: texts are exchanged once
+    numbers = offsets.select("bucket", F.lit(None).cast(records.schema["record"].dataType).alias("record"), "base")
+    scattered = records.union(numbers).repartitionById(buckets, F.col("bucket"))
     # sorted first: what a bucket receives comes in any order, its shuffle is always the same
-    drawn = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records")).select(
-        "bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("at", "record"))
-    numbered = drawn.join(offsets, "bucket").withColumn("n", F.col("base") + F.col("at"))
-    exact = F.expr(f"cast(n * {shards} div {max(rows, 1)} as int)")
+    drawn = scattered.groupBy("bucket").agg(
+        F.sort_array(F.collect_list("record")).alias("records"), F.max("base").alias("base")).select(
+        "base", F.posexplode(F.shuffle("records", F.lit(seed))).alias("at", "record"))
+    numbered = drawn.withColumn("n", F.col("base") + F.col("at"))
+    shard = F.expr(f"cast(n * {shards} div {max(rows, 1)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {rows} + {shards - 1}) div {shards}")
-    placed = numbered.withColumn("shard", exact).select("record.row.*", "shard", (F.col("n") - first).alias("slot"))
+    placed = numbered.withColumn("shard", shard).select("record.row.*", "shard", (F.col("n") - first).alias("slot"))
     placed.write.mode("overwrite").partitionBy("shard").parquet(path)
     return spark.read.schema(placed.schema).parquet(path)
