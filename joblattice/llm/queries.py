@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblattice.llm import bpe_trie, id_files, multi_index, near_dup, packing, quality, repeats, shards, va_file
+from joblattice.llm import bpe_trie, id_files, line_runs, multi_index, near_dup, packing, quality, repeats, shards, va_file
 from joblattice.llm.common import Scratch
 from joblattice.session import prepare
 
@@ -56,6 +56,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, end_id=0, capacity=2048)
 
 
+def op7_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_trie_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe_trie.encoded_digests(table(spark, sf_dir, "documents"), path)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op4_support_vectors": op4_support_vectors,
     "op5_approximation_file": op5_approximation_file,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_suffixes": op7_line_suffixes,
     "op8_trie_encoding": op8_trie_encoding,
     "op9_bit_planes": op9_bit_planes,
     "op10_multi_index": op10_multi_index,
@@ -94,4 +99,26 @@ ORACLES: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         ) WHERE rank <= 5
     """,
+    "op7_line_suffixes": """
+        WITH t AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), l AS (
+            SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t
+        ), w AS (
+            SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM l
+        ), c AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, i) AS nth
+            FROM w WHERE following IS NOT NULL
+        ), g AS (
+            SELECT doc_id, i FROM c WHERE nth > 1 UNION SELECT doc_id, i + 1 FROM c WHERE nth > 1
+        ), m AS (
+            SELECT l.*, g.i IS NOT NULL AS gone,
+                   coalesce(lag(g.i IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.i), FALSE) AS before
+            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i
+        )
+        SELECT doc_id, count(*)::INTEGER AS n_lines, count(*) FILTER (gone)::INTEGER AS n_removed,
+               count(*) FILTER (gone AND NOT before)::INTEGER AS n_runs,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
