@@ -310,8 +310,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Characters of which only a part is repeated stay.
     """
     spans, _, scratch = repeated_spans(docs, window, id_col, text_col)
-    columns = [*docs.columns, "__starts", "__ends"]
-    place = docs.columns.index(text_col)
+    names, schema = docs.columns, docs.schema
+    place = names.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -327,8 +327,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                         own.append((start, end))
                     text = kept_bytes(content, own).decode()
                 texts.append(text)
-            own = batch.select(docs.columns)
+            own = batch.select(names)
             yield own.set_column(place, own.schema.field(place), pa.array(texts, own.schema.field(place).type))
 
     found = spans.select(F.col("key").alias("__key"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left").select(columns).mapInArrow(run, docs.schema)
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left").select(
+        *names, "__starts", "__ends").mapInArrow(run, schema)
