@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-KEPT = 400_000
+KEPT = 1_000_000
 # Control characters that str.split() takes for white space and the vocabularies don't.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
