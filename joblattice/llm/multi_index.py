@@ -39,6 +39,8 @@ def nearest_centroid(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def k_means(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """At most k centroids; distinct points are the first ones."""
+    if not len(points):
+        return np.zeros((1, points.shape[1]))
     distinct = np.unique(points, axis=0)
     draw = np.random.default_rng(7)
     centroids = distinct[np.sort(draw.permutation(len(distinct))[:k])].copy()
@@ -65,10 +67,10 @@ def fit_centroids(vectors: DataFrame, length: int, k: int, sample_rows: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([h]) for h in halves], names=["a", "b"])
 
     row = sample.repartition(1).mapInArrow(run, "a binary, b binary").first()
+    widths = (half, length - half)
     if row is None:
-        return np.zeros((1, half)), np.zeros((1, length - half))
-    return (np.frombuffer(row["a"]).reshape(-1, half) if half else np.zeros((1, 0)),
-            np.frombuffer(row["b"]).reshape(-1, length - half))
+        return tuple(np.zeros((1, w)) for w in widths)
+    return tuple(np.frombuffer(row[c]).reshape(-1, w) if w else np.zeros((1, 0)) for c, w in zip("ab", widths))
 
 
 def visited(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:

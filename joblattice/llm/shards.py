@@ -54,4 +54,4 @@ def shuffle_to_shards(
     first = F.expr(f"(cast(shard as bigint) * {rows} + {shards - 1}) div {shards}")
     placed = numbered.withColumn("shard", shard).select("record.row.*", "shard", (F.col("n") - first).alias("slot"))
     placed.write.mode("overwrite").partitionBy("shard").parquet(path)
-    return spark.read.schema(placed.schema).parquet(path)
+    return spark.read.schema(placed.schema).parquet(path).select(placed.columns)

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 KEPT = 1_000_000
 # Control characters that str.split() takes for white space and the vocabularies don't.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
+MARKS = frozenset(",.;:!?")
 
 
 def load(path: str) -> Tokenizer:
@@ -62,9 +63,14 @@ class PieceEncoder:
                     found = pieces
             out.append(self._whole(text) if found is None else found)
         if fresh:
-            names = list(fresh)
+            # a mark after letters is a token of its own, so "word" serves "word," and "word."
+            marked = [p for p in fresh if p[-1:] in MARKS and p[:-1].lstrip(" ").isalpha()]
+            whole = fresh.keys() - set(marked)
+            names = [p for p in {*whole, *(p[:-1] for p in marked), *(p[-1] for p in marked)} if p not in known]
             for name, encoding in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
                 known[name] = np.asarray(encoding.ids, "<u4").tobytes()
+            for piece in marked:
+                known[piece] = known[piece[:-1]] + known[piece[-1]]
         return [
             o if isinstance(o, bytes) else b"".join([known[p] if isinstance(p, str) else p for p in o]) for o in out
         ]
