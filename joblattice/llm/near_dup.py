@@ -9,12 +9,13 @@ plain Jaccard similarity, is formed where a run repeats. Bands of registers brin
 together; a link is a pair whose probability Jaccard or plain Jaccard, computed from all runs,
 is at least ``similarity``.
 
-Texts of equal words are one node. In a bucket of a band, each node is compared with the
-bucket's least node first. Then, in buckets that still hold several classes, each node is
-compared with the least node of each other class; and last, nodes of two classes with each
-other, unless the triangle inequality, which both distances obey, rules a link out. So no link
-between members of a bucket is lost, and a large class costs one comparison a member. The
-chance that a pair at the threshold shares no bucket is (1 - s**4)**24, about 3 in a million.
+Texts of equal words are one node. A bucket of a band compares its nodes with a hub: the node
+whose buckets hold the most nodes, which in a family of edited copies is the text they stem
+from. Nodes that the hub doesn't draw into its class get a hub among themselves, ``rounds``
+times over. So a bucket costs at most ``rounds`` comparisons a node, however large it is, and
+never all of its pairs. Two linked nodes share about ten of the 24 buckets at the threshold
+(the chance that they share none is (1 - s**4)**24, 3 in a million), and each has hubs of its
+own; README.md says what this leaves.
 
 Null texts and texts without words are alone in their class. Null ids take part; a class has
 the least id that isn't null. Repeated rows are copies like any other. Extra columns are
@@ -37,7 +38,7 @@ from joblattice.llm.quality import mixed
 from joblattice.llm.tokens import slices
 
 WORDS = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS, ROUNDS = 24, 4, 3
 KEPT = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0xD6E8FEB86659FD93)
@@ -216,66 +217,44 @@ def compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
         "a", "b", "runs_a", "counts_a", "runs_b", "counts_b").mapInArrow(run, "a binary, b binary, weighted double, plain double")
 
 
-def links_of(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(a, b) of the linked texts, enough of them that no two linked texts are in different classes."""
+def links_of(
+    docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, similarity: float, rounds: int,
+) -> DataFrame:
+    """(a, b) of the linked texts, enough of them to hold the classes together."""
     linked = (F.col("weighted") >= similarity) | (F.col("plain") >= similarity)
     slots = scratch.table("slots", found.filter("digest is not null").groupBy("digest").agg(
         F.min("key").alias("key"), F.first("bands").alias("bands")).select("digest", "key", F.explode("bands").alias("band")))
-    least = slots.groupBy("band").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.table("members", slots.join(least.select("band", "hub"), "band").select("band", "digest", "key", "hub"))
-    lists = scratch.table("lists", run_lists(docs, members.select("key").distinct(), id_col, text_col, words))
+    sizes = slots.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = scratch.table("members", slots.join(sizes, "band"))
     scratch.drop("slots")
-
-    pairs = members.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
-    first = scratch.table("first", compared(pairs, lists))
-    roots = scratch.table("roots1", connected_classes(first.filter(linked).select("a", "b"), scratch))
-
-    def classed(roots):
-        known = members.select("band", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-        return known.select("band", "digest", F.coalesce("root", "digest").alias("root"))
-
-    def several(rows):
-        """(band, root, hub) of each class in the buckets that hold more than one."""
-        held = rows.groupBy("band", "root").agg(F.min("digest").alias("hub"))
-        many = held.groupBy("band").count().filter("count > 1").select("band")
-        return held.join(many, "band", "left_semi")
-
-    # every node with the least node of each other class of its bucket
-    rows = scratch.table("classed1", classed(roots))
-    others = several(rows)
-    crossed = rows.join(others.select("band", F.col("root").alias("other"), "hub"), "band").filter("root <> other")
-    second = crossed.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weighted", "plain")
-    second = scratch.table("second", compared(second.join(known, ["a", "b"], "left_anti"), lists))
-    known = known.unionByName(second)
-    roots = scratch.table("roots2", connected_classes(known.filter(linked).select("a", "b"), scratch))
-
-    # nodes of two classes of a bucket, where their distances to one hub don't rule a link out
-    rows = scratch.table("classed2", classed(roots))
-    measured = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "weighted", "plain"))
-    hubs = several(rows).withColumnRenamed("root", "other")
-    far = rows.join(hubs, "band").filter("digest <> hub").join(
-        measured.select(F.col("a").alias("digest"), F.col("b").alias("hub"), "weighted", "plain"), ["digest", "hub"], "left")
-    far = scratch.table("far", far.select("band", "digest", "root", "other", "weighted", "plain"))
-    outside = far.filter("root <> other")
-    inside = far.filter("root = other").select(
-        "band", "other", F.col("digest").alias("y"), F.col("weighted").alias("weighted_y"), F.col("plain").alias("plain_y"))
-    room = 1.0 - similarity + 1e-9
-    possible = (
-        (F.col("weighted_y") - F.col("weighted") <= room) | (F.col("plain_y") - F.col("plain") <= room)
-        | F.col("weighted_y").isNull() | F.col("weighted").isNull())
-    third = outside.join(inside, ["band", "other"]).filter(possible)
-    third = third.select(F.least("digest", "y").alias("a"), F.greatest("digest", "y").alias("b")).distinct()
-    third = scratch.table("third", compared(third.join(known.select("a", "b"), ["a", "b"], "left_anti"), lists))
-    return known.unionByName(third).filter(linked).select("a", "b")
-
-
-def _classed(docs, id_col, text_col, words, bands, rows, similarity):
+    lists = scratch.table("lists", run_lists(docs, members.select("key").distinct(), id_col, text_col, words))
+    weights = members.groupBy("digest").agg(F.sum("n").alias("weight"))
+    waiting = scratch.table("waiting0", members.select("band", "digest").join(weights, "digest"))
+    links = None
+    for number in range(1, rounds + 1):
+        hubs = waiting.groupBy("band").agg(F.max(F.struct("weight", "digest"))["digest"].alias("hub"))
+        beside = scratch.table(f"beside{number}", waiting.join(hubs, "band").filter("digest <> hub"))
+        pairs = beside.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
+        fresh = compared(pairs, lists).filter(linked).select("a", "b")
+        links = scratch.table(f"links{number}", fresh if links is None else fresh.union(links))
+        if number < rounds:
+            roots = scratch.table(f"roots{number}", connected_classes(links, scratch))
+            left = beside.join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(
+                roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+            left = left.filter(F.coalesce(F.col("root") != F.col("hub_root"), F.lit(True)))
+            # a node that is left alone in its bucket has nothing to meet
+            left = left.select("band", "digest", "weight")
+            several = left.groupBy("band").count().filter("count > 1").select("band")
+            waiting = scratch.table(f"waiting{number}", left.join(several, "band", "left_semi"))
+    return links.distinct()
+
+
+def _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds):
     scratch = Scratch(docs.sparkSession)
     found = scratch.table("features", features(docs, id_col, text_col, words, bands, rows))
-    links = scratch.table("links", links_of(docs, found, scratch, id_col, text_col, words, similarity))
+    links = scratch.table("links", links_of(docs, found, scratch, id_col, text_col, words, similarity, rounds))
     roots = scratch.table("roots", connected_classes(links, scratch))
-    scratch.drop("members", "lists", "first", "second", "third", "far", "classed1", "classed2", "roots1", "roots2")
+    scratch.drop("members", "lists", *(f"{n}{i}" for i in range(rounds + 1) for n in ("waiting", "beside", "links", "roots")))
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
     nodes = found.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
@@ -287,14 +266,14 @@ def _classed(docs, id_col, text_col, words, bands, rows, similarity):
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS,
-    rows: int = ROWS, similarity: float = 0.8,
+    rows: int = ROWS, similarity: float = 0.8, rounds: int = ROUNDS,
 ) -> DataFrame:
     """(doc_id, class_id, n_links) of every row.
 
     ``class_id`` is the least id of the class; ``n_links`` counts the verified links of the
     row's text to other texts, of which a class has enough to hold together.
     """
-    found, nodes = _classed(docs, id_col, text_col, words, bands, rows, similarity)
+    found, nodes = _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds)
     return found.join(nodes, "digest", "left").select(
         "doc_id",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
@@ -304,10 +283,10 @@ def classes(
 
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS,
-    rows: int = ROWS, similarity: float = 0.8,
+    rows: int = ROWS, similarity: float = 0.8, rounds: int = ROUNDS,
 ) -> DataFrame:
     """The documents without all but the first of each class; texts without words all stay."""
-    found, nodes = _classed(docs, id_col, text_col, words, bands, rows, similarity)
+    found, nodes = _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds)
     heads = nodes.select(F.col("head.key").alias("__head")).distinct()
     alone = found.filter("digest is null").select(F.col("key").alias("__head")).distinct()
     keyed = docs.withColumn("__head", row_key(id_col, text_col))
