@@ -365,17 +365,28 @@ SELECT 'greenhouse_playwright' AS source, page_id AS seq, (row_number() OVER (PA
   {stripped('line')} AS title, src AS company, lang AS location, 1 AS fetched FROM lines""",
 }
 
-# A first arrival is stored whatever the default dictionary says of it: the threshold is
-# 0.4 in these runs and the lowest score 0.45.
-_FIRST = f"""{RAW}, first AS (SELECT *, sha256(source || ':' || url) AS id,
-  row_number() OVER (PARTITION BY source, url ORDER BY seq) AS arrival FROM raw)"""
-ORACLES["ingest_batch"] = ORACLES["ingest_stream"] = (
-    f"WITH {_FIRST} SELECT id, source, url, md5(description) AS digest FROM first WHERE arrival = 1"
+# Into an empty store: storable rows in order of arrival, and whether an id has one.
+_RANKED = f"""{ENRICHED}, ranked AS (SELECT *, confidence >= 0.6 AS storable,
+  CASE WHEN confidence >= 0.6 THEN row_number() OVER (PARTITION BY id, confidence >= 0.6 ORDER BY seq) END AS arrival,
+  bool_or(confidence >= 0.6) OVER (PARTITION BY id) AS held FROM enriched)"""
+ORACLES["ingest_batch"] = ORACLES["ingest_stream"] = ORACLES["ingest_two_streams"] = (
+    f"WITH {_RANKED} SELECT id, source, url, md5(description) AS digest, skills, confidence, location FROM ranked WHERE arrival = 1"
 )
-ORACLES["ingest_run_log"] = f"""WITH {_FIRST} SELECT run_id, source, count(*) AS fetched,
+ORACLES["ingest_run_log"] = f"""WITH {_RANKED} SELECT run_id, source, count(*) AS fetched,
   count(*) FILTER (arrival = 1 AND run_id = 'run1') AS stored,
-  count(*) FILTER (arrival > 1 OR run_id = 'run2') AS skipped_dedup, 0::BIGINT AS skipped_low_confidence
-FROM first, (SELECT unnest(['run1', 'run2']) AS run_id) r GROUP BY run_id, source"""
+  count(*) FILTER (CASE WHEN run_id = 'run1' THEN arrival > 1 ELSE held END) AS skipped_dedup,
+  count(*) FILTER (NOT CASE WHEN run_id = 'run1' THEN storable ELSE held END) AS skipped_low_confidence
+FROM ranked, (SELECT unnest(['run1', 'run2']) AS run_id) r GROUP BY run_id, source"""
+ORACLES["ingest_per_source"] = f"""WITH {_RANKED} SELECT 'run' AS run_id, source, count(*) AS fetched,
+  count(*) FILTER (arrival = 1) AS stored, count(*) FILTER (arrival > 1) AS skipped_dedup,
+  count(*) FILTER (NOT storable) AS skipped_low_confidence, count(*) FILTER (arrival = 1) AS listings
+FROM ranked GROUP BY source"""
+ORACLES["ingest_errors"] = f"""WITH {RAW}, judged AS (
+  SELECT source, length(description) % 2 = 1 AS odd, 'enrich:' || url || '#' || seq || ':odd length' AS error FROM raw), counts AS (
+  SELECT source, count(*) FILTER (NOT odd) AS stored, count(*) FILTER (odd) AS error_count FROM judged GROUP BY source)
+SELECT 'run' AS run_id, c.source, stored, error_count, j.error
+FROM counts c LEFT JOIN (SELECT * FROM judged WHERE odd) j ON j.source = c.source"""
+ORACLES["insert_if_absent"] = f"WITH {TAGGED} SELECT DISTINCT id, NOT known AS inserted FROM tagged"
 
 # The page's own text plus, on English pages, the script with its posting: 4000 characters.
 _POSTING = """'{"@type":"JobPosting","title":"' || role || '","description":' || to_json(html) ||

@@ -23,7 +23,7 @@ from joblattice.plans import answers, ingest
 from joblattice.plans.adapters import union_sources
 from joblattice.session import prepare, scratch_dir
 from joblattice.sources import feeds, frontier, pages
-from joblattice.sources.store import read_listings, read_runs
+from joblattice.sources.store import read_listings, read_run_errors, read_runs
 from joblattice.streaming.ingest import ingest_stream
 
 TERMS = ("that", "with", "this", "from", "tion")
@@ -208,34 +208,91 @@ def ingest_new_listings(spark, sf_dir):
     return new.select("id", "seq", "source", "url", "location", "confidence", skill_text().alias("skills"))
 
 
+INGEST = {"enricher": enriched_by_terms, "embedder": ingest.default_embedder(DIMS), "min_confidence": 0.6}
+
+
+def _fresh_root(spark, name: str) -> str:
+    return f"{scratch_dir(prepare(spark))}/{name}-{uuid.uuid4().hex}"
+
+
 def ingest_batch_store(spark, sf_dir):
     """The batch job into a fresh store, read back."""
-    root = f"{scratch_dir(prepare(spark))}/store-{uuid.uuid4().hex}"
-    ingest.ingest_batch(raw_from(spread(table(spark, sf_dir, "documents"))), root, "run", embedder=ingest.default_embedder(DIMS), min_confidence=0.4)
+    root = _fresh_root(spark, "store")
+    ingest.ingest_batch(raw_from(spread(table(spark, sf_dir, "documents"))), root, "run", **INGEST)
     return _store_view(spark, root)
 
 
+def _stream(spark, sf_dir, adapter, store, checkpoint):
+    documents = spark.readStream.schema(TABLE_COLUMNS["documents"]).parquet(f"{sf_dir}/documents*.parquet")
+    ingest_stream(documents, adapter, store, checkpoint, **INGEST).awaitTermination()
+
+
 def ingest_stream_store(spark, sf_dir):
     """The streaming job over the documents file into a fresh store, read back."""
-    base = f"{scratch_dir(prepare(spark))}/stream-{uuid.uuid4().hex}"
-    documents = spark.readStream.schema(TABLE_COLUMNS["documents"]).parquet(f"{sf_dir}/documents*.parquet")
-    ingest_stream(
-        documents, raw_from, f"{base}/store", f"{base}/checkpoint",
-        embedder=ingest.default_embedder(DIMS), min_confidence=0.4,
-    ).awaitTermination()
+    base = _fresh_root(spark, "stream")
+    _stream(spark, sf_dir, raw_from, f"{base}/store", f"{base}/checkpoint")
+    return _store_view(spark, f"{base}/store")
+
+
+def ingest_two_streams(spark, sf_dir):
+    """Two streams with checkpoints of their own into one store: the listings of both stay."""
+    base = _fresh_root(spark, "streams")
+    for name, condition in (("first", "lang = 'en'"), ("second", "lang <> 'en'")):
+        _stream(spark, sf_dir, lambda batch, c=condition: raw_from(batch.filter(c)), f"{base}/store", f"{base}/{name}")
     return _store_view(spark, f"{base}/store")
 
 
+def ingest_per_source(spark, sf_dir):
+    """One run, ingested source by source: log row and stored listings of every source."""
+    root = _fresh_root(spark, "store")
+    rows = raw_from(table(spark, sf_dir, "documents"))
+    for source in ("de", "en", "es", "fr"):
+        ingest.ingest_batch(rows.filter(F.col("source") == source), root, "run", **INGEST)
+    held = read_listings(spark, root).groupBy("source").agg(F.count(F.lit(1)).alias("listings"))
+    log = read_runs(spark, root).drop("started_at", "written_at", "error_count")
+    return log.join(held, "source", "left").withColumn("listings", F.coalesce("listings", F.lit(0)))
+
+
+def ingest_errors(spark, sf_dir):
+    """All error rows of a run whose model refuses texts, read beside their run row."""
+    root = _fresh_root(spark, "store")
+    rows = raw_from(spread(table(spark, sf_dir, "documents"))).withColumn("url", F.concat_ws("#", "url", "seq"))
+    ingest.ingest_batch(
+        rows, root, "run", embedder=ingest.default_embedder(DIMS),
+        model_enricher=lambda r: enrich.enrich_with(r, _load_failing_model))
+    found = runs.runs_with_errors(read_runs(spark, root), read_run_errors(spark, root))
+    return found.select("run_id", "source", "stored", "error_count", "error")
+
+
+def _load_failing_model():
+    def reply(texts: list[str]) -> list[str]:
+        if any(len(text) % 2 for text in texts):
+            raise RuntimeError("odd length")
+        return [json.dumps({"skills": ["even"], "confidence": 0.9}) for _ in texts]
+
+    return reply
+
+
+def insert_if_absent(spark, sf_dir):
+    """Finished listings inserted where the id is new, after those of the labelled documents."""
+    root = _fresh_root(spark, "store")
+    rows = listings(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    known = stored(spark, sf_dir)
+    ingest.insert_if_absent(rows.join(known, "id", "left_semi"), root)
+    return ingest.insert_if_absent(rows, root)
+
+
 def _store_view(spark, root):
     kept = read_listings(spark, root).filter(F.size("embedding") == DIMS)
-    return kept.select("id", "source", "url", F.md5("description").alias("digest"))
+    return kept.select(
+        "id", "source", "url", F.md5("description").alias("digest"), skill_text().alias("skills"), "confidence", "location")
 
 
 def ingest_run_log(spark, sf_dir):
-    root = f"{scratch_dir(prepare(spark))}/store-{uuid.uuid4().hex}"
+    root = _fresh_root(spark, "store")
     for run in ("run1", "run2"):
-        ingest.ingest_batch(raw_from(spread(table(spark, sf_dir, "documents"))), root, run, embedder=ingest.default_embedder(DIMS), min_confidence=0.4)
-    return read_runs(spark, root).drop("started_at", "written_at", "errors", "error_count")
+        ingest.ingest_batch(raw_from(spread(table(spark, sf_dir, "documents"))), root, run, **INGEST)
+    return read_runs(spark, root).drop("started_at", "written_at", "error_count")
 
 
 # Counts and views
@@ -443,10 +500,6 @@ def cosine_distance(spark, sf_dir):
     return rows.select("vec_id", F.round(distance, 6).alias("distance"))
 
 
-def approx_similarity_topk(spark, sf_dir):
-    return search.approx_similarity_topk(_vector_listings(spark, sf_dir), _mean_vector(spark, sf_dir))
-
-
 def hash_embed_documents(spark, sf_dir):
     embedded = spread(table(spark, sf_dir, "documents")).select("doc_id", hash_embed(F.col("text"), DIMS).alias("v"))
     weights = embedded.select("doc_id", F.posexplode("v").alias("bucket", "weight")).filter("weight > 0")
@@ -898,6 +951,10 @@ QUERIES: dict[str, Query] = {
     "listing_preview": listing_preview,
     "run_counters": run_counters,
     "run_errors": run_errors,
+    "ingest_two_streams": ingest_two_streams,
+    "ingest_per_source": ingest_per_source,
+    "ingest_errors": ingest_errors,
+    "insert_if_absent": insert_if_absent,
     "latest_run": latest_run,
     "last_runs": last_runs,
     "run_card": run_card,
@@ -906,7 +963,6 @@ QUERIES: dict[str, Query] = {
     "similarity_topk": similarity_topk,
     "rank_per_question": rank_per_question,
     "cosine_distance": cosine_distance,
-    "approx_similarity_topk": approx_similarity_topk,
     "hash_embed": hash_embed_documents,
     "retrieve": retrieve,
     "answer_fallback": answer_fallback,

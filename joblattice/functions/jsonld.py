@@ -77,18 +77,23 @@ def _address_text(address: Column) -> Column:
     )
 
 
-def _place_text(place: Column) -> Column:
-    # Entries of an address list are read as places again: each needs its own address.
+# Lists within lists, and address lists within address lists, are followed this deep.
+NESTED = 3
+
+
+def _place_text(place: Column, depth: int = NESTED) -> Column:
+    """A place's address as text; an address that is a list holds places again."""
     address = F.try_variant_get(place, "$.address", "variant")
-    inner = F.transform(
-        as_list(address),
-        lambda entry: _address_text(F.try_variant_get(entry, "$.address", "variant")),
-    )
-    return F.coalesce(_joined(inner), _address_text(address))
+    own = _address_text(address)
+    if depth == 0:
+        return own
+    inner = F.transform(as_list(address), lambda entry: _place_text(entry, depth - 1))
+    nested = F.transform(as_list(place), lambda entry: _place_text(entry, depth - 1))
+    return F.coalesce(_joined(nested), _joined(inner), own)
 
 
 def extract_location(location: Column) -> Column:
-    return F.coalesce(_joined(F.transform(as_list(location), _place_text)), _place_text(location))
+    return _place_text(location)
 
 
 def _organization_text(v: Column) -> Column:
@@ -97,8 +102,11 @@ def _organization_text(v: Column) -> Column:
     )
 
 
-def extract_company(organization: Column) -> Column:
-    names = F.transform(as_list(organization), _organization_text)
+def extract_company(organization: Column, depth: int = NESTED) -> Column:
+    """The first name in a list of organizations, or in lists within it."""
+    if depth == 0:
+        return _organization_text(organization)
+    names = F.transform(as_list(organization), lambda entry: extract_company(entry, depth - 1))
     first_name = F.coalesce(F.get(F.filter(names, lambda n: n != ""), F.lit(0)), F.lit(""))
     return F.when(names.isNotNull(), first_name).otherwise(_organization_text(organization))
 

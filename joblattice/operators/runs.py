@@ -31,6 +31,14 @@ def run_errors(events: DataFrame, outcome: Column, message: Column) -> DataFrame
     return events.filter(outcome == "error").select("run_id", "source", message.alias("error"))
 
 
+def runs_with_errors(runs: DataFrame, errors: DataFrame) -> DataFrame:
+    """Every run row beside each of its error texts; a run without errors has one row.
+
+    A run may have any number of errors, so they are rows and never one list.
+    """
+    return runs.join(errors.select("run_id", "source", "error"), ["run_id", "source"], "left")
+
+
 def latest_run(
     runs: DataFrame, keys: Sequence[str] = ("run_id",), written_at: str = "written_at"
 ) -> DataFrame:

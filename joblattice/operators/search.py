@@ -1,4 +1,4 @@
-"""Exact and approximate nearest listings, for one question or many."""
+"""Nearest listings, for one question or many."""
 
 from __future__ import annotations
 
@@ -8,15 +8,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from joblattice.functions.vectors import unit_vector
 from joblattice.session import scratch_dir
 
 TOP_K = 15
@@ -106,8 +102,9 @@ def _nearest_in_one_pass(
                 names=["question_id", "id", "distance"],
             )
 
-    fitting = has_embedding(listings).filter(F.size("embedding") == dims)
-    return fitting.select("id", "embedding").mapInArrow(search, schema)
+    wrong = F.concat(F.lit(f"the question has {dims} dimensions, a listing has "), F.size("embedding"))
+    fitting = F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(F.raise_error(wrong))
+    return has_embedding(listings).select("id", fitting.alias("embedding")).mapInArrow(search, schema)
 
 
 def _question_blocks(questions: DataFrame, max_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
@@ -165,30 +162,3 @@ def similarity_topk(listings: DataFrame, vector: Sequence[float], k: int = TOP_K
     question = np.array([list(vector)], "float64")
     nearest = _nearest_in_one_pass(listings, [0], question, k, T.IntegerType())
     return nearest.select("id", "distance").orderBy(F.asc_nulls_last("distance"), "id").limit(k)
-
-
-def approx_similarity_topk(
-    listings: DataFrame,
-    vector: Sequence[float],
-    k: int = TOP_K,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    seed: int = 42,
-) -> DataFrame:
-    """Nearest listings by locality-sensitive hashing on unit vectors.
-
-    On unit vectors the Euclidean order is the cosine order, and half the squared
-    Euclidean distance is the cosine distance.
-    """
-    unit = has_embedding(listings).select(
-        "id", array_to_vector(unit_vector(F.col("embedding"))).alias("unit")
-    )
-    hashing = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    question = np.asarray(list(vector), "float64")
-    question = question / np.linalg.norm(question)
-    nearest = hashing.fit(unit).approxNearestNeighbors(unit, Vectors.dense(question), k)
-    return nearest.select(
-        "id", (F.col("distCol") * F.col("distCol") / 2).alias("distance")
-    )

@@ -25,11 +25,9 @@ from joblattice.operators.embed import hash_embed
 from joblattice.operators.enrich import enrich
 from joblattice.operators.validate import reject_reason, with_identity
 from joblattice.schema import EMBEDDING_DIMS, LISTING_COLUMNS, MIN_CONFIDENCE
-from joblattice.session import prepare, scratch_dir
+from joblattice.session import delete_folder, prepare, scratch_dir
 from joblattice.sources import store as tables
 
-# Error texts copied into a run-log row; a run with more keeps them in run_errors alone.
-INLINE_ERRORS = 10_000
 # New ids of a batch up to this number are broadcast.
 BROADCAST_IDS = 200_000
 
@@ -169,9 +167,17 @@ def ingest_batch(
     started_at: Column | None = None,
     stage_rows: bool = True,
     rows_per_slice: int = ROWS_PER_SLICE,
+    enricher: Callable[[DataFrame], DataFrame] = enrich,
 ) -> DataFrame:
     """Ingest the raw rows of one or more sources into the store; returns the run-log rows.
 
+    A run may be made of several calls, for instance one per source. Each call is a batch of
+    its own unless ``batch_id`` names it: a call with the id of an earlier batch is taken as
+    that batch tried again and replaces it.
+
+    ``enricher`` is the dictionary rule (``enrich`` with other skills and role words, say);
+    ``model_enricher`` asks a model instead.
+
     ``fetched`` (source, fetched) adds counts made elsewhere, such as search results.
     The validated rows are written to the scratch folder first, so that pages and feeds
     are parsed once; ``stage_rows=False`` reads a cheap input again instead. The per-id
@@ -181,7 +187,7 @@ def ingest_batch(
     """
     spark = prepare(raw.sparkSession)
     run_id = run_id or str(uuid.uuid4())
-    batch_id = batch_id or run_id
+    batch_id = batch_id or f"{run_id}-{uuid.uuid4().hex}"
     started_at = F.current_timestamp() if started_at is None else started_at
     tables.ensure_tables(spark, root)
     store = tables.read_listings(spark, root, without_batch=batch_id)
@@ -194,7 +200,7 @@ def ingest_batch(
     if has_model:
         rows = checked.withColumns({"storable": F.lit(False), "error": F.lit(None).cast("string")})
     else:
-        rows = tagged(enrich(checked), min_confidence)
+        rows = tagged(enricher(checked), min_confidence)
     per_id = _staged(per_id_counts(rows), f"{scratch}/per_id")
     known = _staged(known_ids(per_id, store), f"{scratch}/known")
     if has_model:
@@ -230,19 +236,19 @@ def ingest_batch(
             .drop("_more")
             .fillna(0)
         )
-    if has_model:
-        tables.write_batch(errors, root, "run_errors", batch_id)
-    log = run_log_rows(counts, errors if has_model else None, run_id, started_at)
-    tables.write_batch(log, root, "run_log", batch_id)
+    tables.write_batch(errors, root, "run_errors", batch_id)
+    tables.write_batch(run_log_rows(counts, run_id, started_at), root, "run_log", batch_id)
+    delete_folder(spark, scratch)
     return tables.read_runs(spark, root).filter(F.col("run_id") == run_id)
 
 
-def insert_if_absent(listings: DataFrame, root: str, batch_id: str) -> DataFrame:
+def insert_if_absent(listings: DataFrame, root: str, batch_id: str | None = None) -> DataFrame:
     """Append finished listings whose id is new; returns every given id and ``inserted``.
 
     Of several rows of an id in one call the first by ``ingested_at`` counts.
     """
     spark = listings.sparkSession
+    batch_id = batch_id or uuid.uuid4().hex
     tables.ensure_tables(spark, root)
     store = tables.read_listings(spark, root, without_batch=batch_id)
     first = first_arrival(listings, order=("ingested_at", "description"))
@@ -253,23 +259,12 @@ def insert_if_absent(listings: DataFrame, root: str, batch_id: str) -> DataFrame
     return ids.join(flagged, "id", "left").withColumn("inserted", F.col("inserted").isNull())
 
 
-def run_log_rows(
-    counts: DataFrame, errors: DataFrame | None, run_id: str, started_at: Column
-) -> DataFrame:
-    no_errors = F.array().cast("array<string>")
-    log = counts.withColumns(
+def run_log_rows(counts: DataFrame, run_id: str, started_at: Column) -> DataFrame:
+    """One row per source; its error texts are rows of ``run_errors``."""
+    return counts.withColumns(
         {
             "run_id": F.lit(run_id),
             "started_at": started_at.cast("timestamp"),
             "written_at": F.current_timestamp(),
         }
     )
-    if errors is None:
-        return log.withColumn("errors", no_errors)
-    few = log.filter(F.col("error_count").between(1, INLINE_ERRORS)).select("source")
-    texts = (
-        errors.join(few, "source", "left_semi")
-        .groupBy("source")
-        .agg(F.sort_array(F.collect_list("error")).alias("errors"))
-    )
-    return log.join(texts, "source", "left").withColumn("errors", F.coalesce("errors", no_errors))

@@ -57,7 +57,6 @@ RUN_LOG_SCHEMA = T.StructType(
         T.StructField("skipped_dedup", T.LongType(), False),
         T.StructField("skipped_low_confidence", T.LongType(), False),
         T.StructField("error_count", T.LongType(), False),
-        T.StructField("errors", T.ArrayType(T.StringType()), False),
         T.StructField("written_at", T.TimestampType(), False),
     ]
 )

@@ -35,7 +35,8 @@ def build_session(app_name: str = "joblattice") -> SparkSession:
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return ship_package(spark)
 
 
@@ -53,14 +54,24 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local
-    runs, tests) a local temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session
+    runs on one machine (``local[...]``, tests) a local temporary folder takes its place.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="joblattice-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables through Spark's file system."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

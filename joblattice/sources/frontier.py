@@ -47,21 +47,44 @@ DDG_SEARCH = "https://duckduckgo.com/html/"
 DDG_SITES = "site:linkedin.com/jobs OR site:cutshort.io"
 
 _COMMENT = r"(?s)<!--.*?-->"
-_LOC = r"(?s)<(?:[\w.\-]+:)?loc(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:[\w.\-]+:)?loc\s*>"
-_XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-                 ("&#38;", "&"), ("&amp;", "&")]
+_LOC = r"(?s)<(?:[\w.\-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.\-]+:)?loc\s*>"
+_CDATA = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
+# The named entities of XML.
+_XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]
 
 
-def sitemap_locs(body: Column) -> Column:
-    """All loc texts of a sitemap in document order; broken XML still gives what it holds."""
+def _code_point(digits: Column, base: int) -> Column:
+    """The character of a code point of the first plane, or nothing."""
+    code = F.conv(digits, base, 10).cast("int")
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def _xml_text(body: Column) -> Column:
+    """Text of an XML element: CDATA as it is, else with entities decoded once."""
+    number = r"&#([xX][0-9A-Fa-f]{1,4}|[0-9]{1,5});"
+
+    def with_numbers(text: Column) -> Column:
+        # pieces between the references, each with the reference in front of it
+        pieces = F.split(text, "(?=&#)")
+        return F.array_join(F.transform(pieces, lambda piece: F.when(
+            piece.rlike("^" + number),
+            F.concat(
+                F.when(piece.rlike("^&#[xX]"), _code_point(F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]+);", 1), 16))
+                .otherwise(_code_point(F.regexp_extract(piece, r"^&#([0-9]+);", 1), 10)),
+                F.regexp_replace(piece, "^" + number, ""))).otherwise(piece)), "")
 
-    def decoded(url: Column) -> Column:
-        for entity, character in _XML_ENTITIES:
-            url = F.replace(url, F.lit(entity), F.lit(character))
-        return url
+    decoded = F.when(body.contains("&#"), with_numbers(body)).otherwise(body)
+    for entity, character in _XML_ENTITIES:
+        decoded = F.replace(decoded, F.lit(entity), F.lit(character))
+    decoded = F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    cdata = F.regexp_extract(body, _CDATA, 1)
+    return F.btrim(F.when(body.rlike(_CDATA), cdata).otherwise(decoded), F.lit(" \t\r\n"))
 
+
+def sitemap_locs(body: Column) -> Column:
+    """All loc texts of a sitemap in document order; broken XML still gives what it holds."""
     found = F.regexp_extract_all(F.regexp_replace(body, _COMMENT, ""), F.lit(_LOC), F.lit(1))
-    return F.filter(F.transform(found, decoded), lambda url: url != "")
+    return F.filter(F.transform(found, _xml_text), lambda url: url != "")
 
 
 def sitemap_urls(captures: DataFrame) -> DataFrame:
@@ -144,12 +167,16 @@ def foundit_search(roles: DataFrame) -> DataFrame:
 
 
 def foundit_pages(captures: DataFrame, role: str, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Result requests planned from the state embedded in a search page; none without it."""
-    state = F.from_json(
-        window_json(F.col("body"), FOUNDIT_STATE), "query string, locations string, limit string"
-    )
-    searches = computed_once(captured(captures, "foundit_demo", "search"), state=state)
-    has_state = F.coalesce("state.query", "state.locations", "state.limit").isNotNull()
+    """Result requests planned from the state embedded in a search page.
+
+    What the state leaves out has a default; a page without a state, or with an empty one,
+    gives no request.
+    """
+    text = window_json(F.col("body"), FOUNDIT_STATE)
+    state = F.from_json(text, "query string, locations string, limit string")
+    searches = computed_once(
+        captured(captures, "foundit_demo", "search"), state=state, keys=F.size(F.json_object_keys(text)))
+    has_state = F.coalesce(F.col("keys"), F.lit(0)) > 0
     limit = F.coalesce(F.col("state.limit").try_cast("int"), F.lit(FOUNDIT_LIMIT))
     known = searches.filter(has_state).select("source", "seq", "state", limit.alias("limit"))
     pages = page_frontier(known, max_pages, F.col("limit"))

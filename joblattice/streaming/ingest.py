@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from joblattice.plans.ingest import ingest_batch
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the stream when its checkpoint folder was made."""
+    metadata = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata")
+    return metadata.first()["id"]
+
+
 def ingest_stream(
     captures: DataFrame,
     adapter: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]],
@@ -23,12 +29,13 @@ def ingest_stream(
     """Start a query that ingests captured rows as they arrive.
 
     ``adapter`` turns a micro-batch into raw listing rows, or into a pair of them and
-    fetched counts. The batch id is derived from the micro-batch number: a micro-batch run
-    again after a failure replaces what its first attempt wrote.
+    fetched counts. The batch id is made of the stream's id, which Spark keeps in the
+    checkpoint folder, and the micro-batch number: a micro-batch run again after a failure
+    replaces what its first attempt wrote, and two streams into one store never meet.
     """
 
     def ingest(batch: DataFrame, number: int) -> None:
-        name = f"{run_prefix}-{number:010d}"
+        name = f"{run_prefix}-{stream_id(batch.sparkSession, checkpoint)}-{number:010d}"
         adapted = adapter(batch)
         raw, fetched = adapted if isinstance(adapted, tuple) else (adapted, None)
         ingest_batch(raw, root, run_id=name, batch_id=name, fetched=fetched, **options)

@@ -28,6 +28,9 @@ def test_sitemap_urls(captures):
     broken = "<urlset><url><loc>https://a.com/4</loc><!-- <loc>no</loc> --><loc>"
     found = urls(f.sitemap_urls(captures("x", "sitemap", body, sitemap("https://a.com/5", ns="sm"), broken)))
     assert found == ["https://a.com/1?x=1&y=2", "https://a.com/2", "https://a.com/3", "https://a.com/5", "https://a.com/4"]
+    body = sitemap("https://a.com/?a&#x26;b&#38;c&#233;&#8364;", "<![CDATA[https://a.com/?a&amp;b]]>", "https://a.com/?q=&amp;lt;")
+    assert urls(f.sitemap_urls(captures("x", "sitemap", body))) == [
+        "https://a.com/?a&b&cé€", "https://a.com/?a&amp;b", "https://a.com/?q=&lt;"]
 
 
 def test_sitemap_frontiers(captures):
@@ -54,6 +57,9 @@ def test_page_plans(spark, captures):
     plan = f.foundit_pages(captures("foundit_demo", "search", state, "nothing", "var _seoHtmlProps_ = {};"), "r")
     assert [(r["start"], r["seq"]) for r in plan.orderBy("start").collect()] == [(0, 0), (15, 0), (30, 0)]
     assert plan.orderBy("start").first()["url"].endswith("?query=qa&locations=India&start=0&limit=15")
+    plan = f.foundit_pages(captures("foundit_demo", "search", 'var _seoHtmlProps_ = {"other": 1};'), "r")
+    assert [r["start"] for r in plan.orderBy("start").collect()] == [0, 25, 50]
+    assert plan.orderBy("start").first()["url"].endswith("?query=r&locations=India&start=0&limit=25")
 
 
 def test_next_pages(captures):

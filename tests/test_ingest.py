@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from joblattice.operators.validate import reject_reason, required_fields
 from joblattice.plans.adapters import raw_listings
 from joblattice.plans.ingest import default_embedder, ingest_batch, plan_ingest
 from joblattice.schema import LISTING_SCHEMA
+from joblattice.session import scratch_dir
 from joblattice.sources import store as tables
 from joblattice.streaming.ingest import ingest_stream
 
@@ -84,12 +86,12 @@ def test_outcomes(raw, empty_store):
 def test_ingest_twice_and_retry(spark, raw, tmp_path):
     root = str(tmp_path / "store")
     frame = raw(raw_row(1, "a"), raw_row(2, "a"), raw_row(3, "b", WEAK), raw_row(4, "c"))
-    first = log_of(ingest_batch(frame, root, "run1", embedder=EMBED))["s"]
+    first = log_of(ingest_batch(frame, root, "run1", batch_id="b1", embedder=EMBED))["s"]
     assert (first["fetched"], first["stored"], first["skipped_dedup"], first["skipped_low_confidence"]) == (4, 2, 1, 1)
     listings = tables.read_listings(spark, root)
     assert listings.count() == 2 and listings.filter(F.size("embedding") == 16).count() == 2
 
-    retried = log_of(ingest_batch(frame, root, "run1", embedder=EMBED))["s"]
+    retried = log_of(ingest_batch(frame, root, "run1", batch_id="b1", embedder=EMBED))["s"]
     assert retried["stored"] == 2 and tables.read_listings(spark, root).count() == 2
 
     again = log_of(ingest_batch(frame, root, "run2", embedder=EMBED))["s"]
@@ -136,7 +138,7 @@ def test_model_ingest(spark, raw, tmp_path, model):
         )
     )["s"]
     assert (run["stored"], run["skipped_dedup"], run["skipped_low_confidence"]) == (1, 8, 1)
-    assert run["errors"] == ["enrich:x:boom"] and run["error_count"] == 1 and run["fetched"] == 10
+    assert run["error_count"] == 1 and run["fetched"] == 10
     assert [r["error"] for r in tables.read_run_errors(spark, root).collect()] == ["enrich:x:boom"]
 
 
@@ -162,6 +164,30 @@ def test_first_arrival_prunes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_one_run_source_by_source(spark, raw, tmp_path):
+    root = str(tmp_path / "store")
+    for source in ("s", "t", "u"):
+        ingest_batch(raw(raw_row(1, "a", source=source)), root, "run", embedder=EMBED)
+    assert tables.read_listings(spark, root).count() == 3
+    assert sorted(r["source"] for r in tables.read_runs(spark, root).collect()) == ["s", "t", "u"]
+
+
+def test_two_streams_into_one_store(spark, raw, tmp_path):
+    root = str(tmp_path / "store")
+    for name in ("one", "two"):
+        raw(raw_row(1, name)).coalesce(1).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(RAW).parquet(str(tmp_path / name))
+        ingest_stream(stream, lambda b: b, root, str(tmp_path / f"cp-{name}"), embedder=EMBED).awaitTermination()
+    assert {r["url"] for r in tables.read_listings(spark, root).collect()} == {"one", "two"}
+    assert tables.read_runs(spark, root).count() == 2
+
+
+def test_no_scratch_is_left(spark, raw, tmp_path):
+    before = set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    ingest_batch(raw(raw_row(1, "a")), str(tmp_path / "store"), "run", embedder=EMBED)
+    assert set(os.listdir(scratch_dir(spark).removeprefix("file:"))) == before
+
+
 def test_random_batches_match_a_row_by_row_model(spark, raw, tmp_path):
     rng = random.Random(5)
     root = str(tmp_path / "store")
