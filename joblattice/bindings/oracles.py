@@ -191,14 +191,15 @@ ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, md5(n0) AS digest, length(n0) AS n FROM (SELECT doc_id, {normalized('text')} AS n0 FROM documents)",
     "collapse_ws": f"SELECT doc_id, md5(n0) AS digest, length(n0) AS n FROM (SELECT doc_id, {collapsed('text')} AS n0 FROM documents)",
     "embedding_text": f"WITH {RAW} SELECT seq, title || ' ' || company || ' ' || substring(description, 1, 400) AS text FROM raw",
-    "slugify_title": f"WITH {RAW} SELECT seq, coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'job') AS slug FROM raw",
+    "slugify_title": f"WITH {LINES} SELECT doc_id AS seq, pos::INTEGER AS pos, coalesce(nullif(trim(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'job') AS slug FROM lines",
     "board_title": """SELECT p_partkey, array_to_string(list_transform(string_split(
   replace(lower(p_name) || '-' || p_size, '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS company FROM part""",
     "required_fields": f"""SELECT d.doc_id, CASE WHEN {collapsed("split_part(text, '.', 1)")} = '' THEN 'title'
   WHEN quality IS NULL THEN 'company'
   WHEN {collapsed("regexp_extract(text, '(?s)^[^' || chr(10) || ']*' || chr(10) || '(.*)$', 1)")} = '' THEN 'description' END AS reject_reason
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "role_filter": f"WITH {RAW} SELECT seq, {matches('title', 'of', 'the')} AS of_the, {matches('title', 'tion', 'ther')} AS tion_ther FROM raw",
+    "role_filter": f"""WITH {LINES} SELECT doc_id AS seq, pos::INTEGER AS pos, {matches('line', 'of', 'the')} AS of_the,
+  {matches('line', 'tion', 'ther')} AS tion_ther FROM lines""",
     "enrich_documents": f"WITH {ENRICHED} SELECT seq, skills, confidence FROM enriched",
     "enrich_with_model": f"""WITH {ENRICHED} SELECT seq,
   CASE WHEN contains(description, 'token =') THEN skills ELSE 'size ' || (length(description) // 1000) END AS skills,
@@ -347,8 +348,16 @@ FROM documents WHERE len(string_split(text, chr(10))) > 40""",
     "sitemap_reversed": f"""WITH {SITEMAP}, w AS (SELECT seq, url, row_number() OVER (PARTITION BY seq ORDER BY place DESC) - 1 AS pos
   FROM s WHERE contains(url, '/en/')) SELECT 'forage_ai' AS source, seq, pos::INTEGER AS pos,
   replace(url, '/en/', '/job-opportunities/') AS url FROM w WHERE pos < 30""",
-    "page_frontier": f"""WITH {RAW} SELECT seq, page::INTEGER AS page, (page * 10)::INTEGER AS start, 'https://in.indeed.com/jobs?q=' ||
-  {encoded('title')} || '&l=India&fromage=7&start=' || (page * 10) AS url FROM raw, (SELECT unnest([0, 1, 2]) AS page) n""",
+    "page_frontier": f"""WITH {LINES} SELECT doc_id AS seq, pos::INTEGER AS pos, page::INTEGER AS page, (page * 10)::INTEGER AS start,
+  'https://in.indeed.com/jobs?q=' || {encoded('line')} || '&l=India&fromage=7&start=' || (page * 10) AS url
+FROM lines, (SELECT unnest([0, 1, 2]) AS page) n""",
+    "ddg_search": f"""WITH {LINES} SELECT doc_id AS seq, pos::INTEGER AS pos, 'https://duckduckgo.com/html/?q=' ||
+  {encoded("'site:linkedin.com/jobs OR site:cutshort.io ' || line")} AS url FROM lines""",
+    "foundit_search": f"""WITH {LINES} SELECT doc_id AS seq, pos::INTEGER AS pos, 'https://www.foundit.in/srp/results?query=' ||
+  {encoded('line')} || '&locations=India' AS url FROM lines""",
+    "arbeitnow_next": """SELECT 'arbeitnow' AS source, doc_id AS seq, (doc_id % 4 + 2)::INTEGER AS page,
+  'https://feed.example/' || md5(text) AS url FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 + 1 < 3""",
+    "has_embedding": "SELECT vec_id AS id, len(embedding)::INTEGER AS width FROM embeddings WHERE vec_id % 7 <> 0",
     "foundit_pages": f"""SELECT page_id AS seq, n.page::INTEGER AS page, (n.page * (page_id + 5))::INTEGER AS start,
   'https://www.foundit.in/middleware/jobsearch?query=' || {encoded('url')} || '&locations=India&start=' ||
   (n.page * (page_id + 5)) || '&limit=' || (page_id + 5) AS url FROM pages, (SELECT unnest([0, 1, 2]) AS page) n""",

@@ -115,8 +115,14 @@ def embedding_text(spark, sf_dir):
     return raw(spark, sf_dir).select("seq", text.alias("text"))
 
 
+def text_lines(spark, sf_dir) -> DataFrame:
+    """Every line of every document: seq, pos, line."""
+    lines = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("seq"), lines)
+
+
 def slugify_title(spark, sf_dir):
-    return raw(spark, sf_dir).select("seq", t.slugify_title(F.col("title")).alias("slug"))
+    return text_lines(spark, sf_dir).select("seq", "pos", t.slugify_title(F.col("line")).alias("slug"))
 
 
 def board_title(spark, sf_dir):
@@ -136,9 +142,9 @@ def required_fields(spark, sf_dir):
 
 
 def role_filter(spark, sf_dir):
-    title = F.col("title")
-    return raw(spark, sf_dir).select(
-        "seq", t.matches_role(title, ROLE).alias("of_the"), t.matches_role(title, "tion ther").alias("tion_ther")
+    line = F.col("line")
+    return text_lines(spark, sf_dir).select(
+        "seq", "pos", t.matches_role(line, ROLE).alias("of_the"), t.matches_role(line, "tion ther").alias("tion_ther")
     )
 
 
@@ -862,8 +868,33 @@ def sitemap_reversed(spark, sf_dir):
 
 
 def page_frontier(spark, sf_dir):
-    roles = raw(spark, sf_dir).select("seq", F.col("title").alias("role"))
-    return frontier.indeed_pages(roles).select("seq", "page", "start", "url")
+    roles = text_lines(spark, sf_dir).select("seq", "pos", F.col("line").alias("role"))
+    return frontier.indeed_pages(roles).select("seq", "pos", "page", "start", "url")
+
+
+def ddg_search(spark, sf_dir):
+    return frontier.ddg_search(text_lines(spark, sf_dir).select("seq", "pos", F.col("line").alias("role"))).drop("role")
+
+
+def foundit_search(spark, sf_dir):
+    return frontier.foundit_search(text_lines(spark, sf_dir).select("seq", "pos", F.col("line").alias("role"))).drop("role")
+
+
+def arbeitnow_next(spark, sf_dir):
+    """Captured feed pages that link to a further page, to an empty one, or to none."""
+    link = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://feed.example/"), F.md5("text"))).when(F.col("doc_id") % 3 == 1, F.lit(""))
+    body = F.to_json(F.struct(F.struct(link.alias("next")).alias("links"), F.col("text").alias("note")))
+    captures = table(spark, sf_dir, "documents").select(
+        F.lit("arbeitnow").alias("source"), F.lit("feed").alias("kind"), F.lit(None).cast("string").alias("board"),
+        F.lit("https://feed.example").alias("url"), body.alias("body"), (F.col("doc_id") % 4 + 1).cast("int").alias("page"),
+        F.col("doc_id").alias("seq"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    return frontier.arbeitnow_next(captures)
+
+
+def has_embedding(spark, sf_dir):
+    rows = _vector_listings(spark, sf_dir)
+    some = rows.withColumn("embedding", F.when(F.col("id") % 7 != 0, F.col("embedding")))
+    return search.has_embedding(some).select("id", F.size("embedding").alias("width"))
 
 
 def foundit_pages(spark, sf_dir):
@@ -955,6 +986,10 @@ QUERIES: dict[str, Query] = {
     "ingest_per_source": ingest_per_source,
     "ingest_errors": ingest_errors,
     "insert_if_absent": insert_if_absent,
+    "ddg_search": ddg_search,
+    "foundit_search": foundit_search,
+    "arbeitnow_next": arbeitnow_next,
+    "has_embedding": has_embedding,
     "latest_run": latest_run,
     "last_runs": last_runs,
     "run_card": run_card,
