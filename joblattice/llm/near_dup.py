@@ -190,7 +190,7 @@ def run_lists(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
                     names=["digest", "runs", "counts"])
 
     texts = docs.select(row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
-    return texts.join(wanted, "key", "left_semi").select("text").mapInArrow(
+    return texts.join(wanted.hint("merge"), "key", "left_semi").select("text").mapInArrow(
         run, "digest binary, runs binary, counts binary").dropDuplicates(["digest"])
 
 
@@ -213,7 +213,7 @@ def compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     def side(name):
         return lists.select(F.col("digest").alias(name), F.col("runs").alias(f"runs_{name}"), F.col("counts").alias(f"counts_{name}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select(
+    return pairs.hint("merge").join(side("a"), "a").join(side("b").hint("merge"), "b").select(
         "a", "b", "runs_a", "counts_a", "runs_b", "counts_b").mapInArrow(run, "a binary, b binary, weighted double, plain double")
 
 
@@ -290,5 +290,5 @@ def keep_first(
     heads = nodes.select(F.col("head.key").alias("__head")).distinct()
     alone = found.filter("digest is null").select(F.col("key").alias("__head")).distinct()
     keyed = docs.withColumn("__head", row_key(id_col, text_col))
-    first = keyed.join(heads, "__head", "left_semi").dropDuplicates(["__head"])
-    return first.unionByName(keyed.join(alone, "__head", "left_semi")).drop("__head")
+    first = keyed.join(heads.hint("merge"), "__head", "left_semi").dropDuplicates(["__head"])
+    return first.unionByName(keyed.join(alone.hint("merge"), "__head", "left_semi")).drop("__head")

@@ -247,13 +247,13 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str) ->
     spans = scratch.table("spans0", spans_of(repeated, STARTS, window).distinct())
     scratch.drop("coarse")
     touched = scratch.spark.read.parquet(scratch.path("coarse-met")).select("key").distinct()
-    texts = scratch.table("texts", content.join(touched, "key", "left_semi"))
+    texts = scratch.table("texts", content.join(touched.hint("merge"), "key", "left_semi"))
     width = STARTS
     while width > 1:
         width //= PART
         listed = open_blocks.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("site", "lo"))).alias("all")).select(
             "key", F.col("all.site").alias("sites"), F.col("all.lo").alias("los"))
-        rows = scratch.table(f"blocks{width}", finer_blocks(texts.join(listed, "key"), width, window))
+        rows = scratch.table(f"blocks{width}", finer_blocks(texts.join(listed.hint("merge"), "key"), width, window))
         repeated, open_blocks = settle(rows, scratch, f"blocks{width}")
         spans = spans.union(scratch.table(f"spans{width}", spans_of(repeated, width, window).distinct()))
     gathered = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
@@ -293,7 +293,7 @@ def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "n_removed", "n_spans", "kept"])
 
-    changed = texts.join(spans, "key").select("key", "content", "starts", "ends").mapInArrow(
+    changed = texts.join(spans.hint("merge"), "key").select("key", "content", "starts", "ends").mapInArrow(
         run, "key long, n_removed long, n_spans long, kept string").dropDuplicates(["key"])
     content = text_or_empty(text_col).cast("binary")
     rows = docs.select(
@@ -331,5 +331,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield own.set_column(place, own.schema.field(place), pa.array(texts, own.schema.field(place).type))
 
     found = spans.select(F.col("key").alias("__key"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(found, "__key", "left").select(
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(found.hint("merge"), "__key", "left").select(
         *names, "__starts", "__ends").mapInArrow(run, schema)
