@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -18,13 +19,15 @@ VECTOR = T.ArrayType(T.FloatType())
 _TOKEN = re.compile("[a-z0-9]+")
 
 
+@lru_cache(maxsize=200_000)
+def _hash(token: str) -> int:
+    return int.from_bytes(md5(token.encode()).digest()[:4], "big")
+
+
 def hash_vector(text: str, dims: int) -> np.ndarray:
     """Token counts hashed into ``dims`` buckets, scaled to unit length."""
-    buckets = [
-        int.from_bytes(md5(token.encode()).digest()[:4], "big") % dims
-        for token in _TOKEN.findall(text.lower())
-    ]
-    counts = np.bincount(buckets, minlength=dims).astype("float64") if buckets else np.zeros(dims)
+    buckets = np.array([*map(_hash, _TOKEN.findall(text.lower()))], dtype="int64") % dims
+    counts = np.bincount(buckets, minlength=dims).astype("float64")
     length = np.sqrt((counts * counts).sum())
     return counts / length if length else counts
 

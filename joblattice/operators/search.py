@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from joblattice.session import scratch_dir
 
 TOP_K = 15
-# Question vectors travel to every task; more than this many bytes go in several passes.
-QUESTION_BYTES = 32 * 1024 * 1024
-# A ranking of at most this many rows is marked small enough to broadcast.
-BROADCAST_ROWS = 200_000
 # Distances this close count as equal, so that equal vectors tie and the id decides.
 DISTANCE_DIGITS = 12
 _CHUNK = 256
@@ -107,54 +101,80 @@ def _nearest_in_one_pass(
     return has_embedding(listings).select("id", fitting.alias("embedding")).mapInArrow(search, schema)
 
 
-def _question_blocks(questions: DataFrame, max_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
-    keys, vectors, size = [], [], 0
-    for row in questions.select("question_id", "embedding").toLocalIterator():
-        keys.append(row["question_id"])
-        vectors.append(row["embedding"])
-        size += 8 * len(row["embedding"])
-        if size >= max_bytes:
-            yield keys, np.array(vectors, "float64")
-            keys, vectors, size = [], [], 0
-    if keys:
-        yield keys, np.array(vectors, "float64")
+def _packed(rows: DataFrame, key: str, names: tuple[str, str, str], size: int) -> DataFrame:
+    """Rows (key, embedding) as blocks: an array of keys, the vectors as bytes, their width."""
+    key_type = rows.schema[key].dataType
+    arrow_type = pa.list_(to_arrow_type(key_type))
+    keys, vectors, width = names
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dims in np.unique(widths).tolist():
+                alike = batch.filter(pa.array(widths == dims))
+                for start in range(0, alike.num_rows, size):
+                    part = alike.slice(start, size)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([part.column(0).to_pylist()], type=arrow_type),
+                            pa.array([_vectors(part.column(1), dims).tobytes()]),
+                            pa.array([dims], type=pa.int32()),
+                        ],
+                        names=names,
+                    )
+
+    schema = f"{keys} array<{key_type.simpleString()}>, {vectors} binary, {width} int"
+    return has_embedding(rows.select(key, "embedding")).mapInArrow(pack, schema)
 
 
 def rank_per_question(
-    questions: DataFrame, listings: DataFrame, k: int = TOP_K, max_bytes: int = QUESTION_BYTES
+    questions: DataFrame, listings: DataFrame, k: int = TOP_K, groups: int | None = None,
+    listing_rows: int = 4096, question_rows: int = 256,
 ) -> DataFrame:
     """The k nearest listings of every question: question_id, id, distance, rank.
 
-    Each task multiplies its listing vectors with the question block and keeps k rows
-    per question, so only those rows are shuffled. Questions are read in blocks of at
-    most ``max_bytes``. One block gives a lazy result; beyond that each block is a pass
-    of its own over the listings, and its ranking is written to the scratch folder, so
-    that the driver and the tasks never hold more than one block.
+    Listings and questions are packed into blocks. The blocks of listings are dealt to
+    ``groups`` groups (the session's shuffle partitions by default), and every block of
+    questions goes to each group, where a task multiplies block with block and keeps k rows
+    per question. Those rows are ranked in each task first, so a question's rows of all tasks
+    number ``groups * k``. The result is lazy and nothing passes through the driver.
     """
     spark = listings.sparkSession
-    key_type = questions.schema["question_id"].dataType
-    window = Window.partitionBy("question_id").orderBy(F.asc_nulls_last("distance"), "id")
+    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    question_type, id_type = questions.schema["question_id"].dataType, listings.schema["id"].dataType
+    blocks = _packed(listings, "id", ("ids", "vectors", "width"), listing_rows)
+    blocks = blocks.withColumn("group", F.pmod(F.xxhash64("vectors"), F.lit(groups)).cast("int"))
+    asked = _packed(questions, "question_id", ("question_ids", "questions", "question_width"), question_rows)
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    arrow_types = to_arrow_type(question_type), to_arrow_type(id_type)
 
-    def ranked(keys: list, vectors: np.ndarray) -> DataFrame:
-        found = _nearest_in_one_pass(listings, keys, vectors, k, key_type)
-        best = found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-        # The result has at most k rows per question read here, which Spark cannot know.
-        return F.broadcast(best) if len(keys) * k <= BROADCAST_ROWS else best
-
-    blocks = _question_blocks(questions, max_bytes)
-    first = next(blocks, None)
-    if first is None:
-        id_type = listings.schema["id"].dataType.simpleString()
-        return spark.createDataFrame(
-            [], f"question_id {key_type.simpleString()}, id {id_type}, distance double, rank int"
-        )
-    second = next(blocks, None)
-    if second is None:
-        return ranked(*first)
-    path = f"{scratch_dir(spark)}/nearest-{uuid.uuid4().hex}"
-    for keys, vectors in itertools.chain([first, second], blocks):
-        ranked(keys, vectors).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                dims, width = row["question_width"], row["width"]
+                if dims != width:
+                    raise ValueError(f"a question has {dims} dimensions, a listing has {width}")
+                nearest = _Nearest(np.frombuffer(row["questions"]).reshape(-1, dims), k)
+                ids = np.empty(len(row["ids"]), dtype=object)
+                ids[:] = row["ids"]
+                nearest.add(ids, np.frombuffer(row["vectors"]).reshape(-1, dims))
+                counts = [len(found) for found in nearest.ids]
+                distances = np.concatenate(nearest.distance)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([q for q, n in zip(row["question_ids"], counts) for _ in range(n)], type=arrow_types[0]),
+                        pa.array(np.concatenate(nearest.ids).tolist(), type=arrow_types[1]),
+                        pa.array(distances, mask=np.isinf(distances)),
+                    ],
+                    names=["question_id", "id", "distance"],
+                )
+
+    met = asked.join(blocks, "group").select(
+        "question_ids", "questions", "question_width", "ids", "vectors", "width")
+    found = met.mapInArrow(
+        search, f"question_id {question_type.simpleString()}, id {id_type.simpleString()}, distance double")
+    window = Window.partitionBy("question_id").orderBy(F.asc_nulls_last("distance"), "id")
+    return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
 def similarity_topk(listings: DataFrame, vector: Sequence[float], k: int = TOP_K) -> DataFrame:
