@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 from joblattice.operators import views
+from joblattice.operators.enrich import ROLE_WORDS, SKILLS, enrich
 from joblattice.operators.stats import stats
 from joblattice.plans.adapters import ALL_SOURCES, DEFAULT_SOURCES, raw_listings
 from joblattice.plans.answers import answer_questions
@@ -16,7 +17,7 @@ from joblattice.plans.ingest import default_embedder, ingest_batch
 from joblattice.schema import EMBEDDING_DIMS, MIN_CONFIDENCE
 from joblattice.session import build_session
 from joblattice.sources.store import read_captures, read_captures_stream, read_listings, read_runs
-from joblattice.streaming.ingest import ingest_stream
+from joblattice.streaming.ingest import ingest_captures_stream
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -31,6 +32,8 @@ def build_parser() -> argparse.ArgumentParser:
     ingest.add_argument("--sources", nargs="+", default=list(DEFAULT_SOURCES), choices=ALL_SOURCES)
     ingest.add_argument("--run-id")
     ingest.add_argument("--min-confidence", type=float, default=MIN_CONFIDENCE)
+    ingest.add_argument("--skills", nargs="+", help="skills to look for, in place of the built-in ones")
+    ingest.add_argument("--role-words", nargs="+", help="words of the role, in place of the built-in ones")
     ingest.add_argument("--checkpoint", help="stream the captures, with this checkpoint folder")
 
     query = commands.add_parser("query", help="answer a question")
@@ -49,23 +52,24 @@ def main(argv: list[str] | None = None) -> None:
     args = build_parser().parse_args(argv)
     spark = build_session()
     embedder = default_embedder(args.dims)
+    if args.command == "ingest":
+        skills, words = args.skills or SKILLS, args.role_words or ROLE_WORDS
+        options = {
+            "embedder": embedder,
+            "min_confidence": args.min_confidence,
+            "enricher": lambda rows: enrich(rows, skills, words),
+        }
     if args.command == "ingest" and args.checkpoint:
-        searches = read_captures(spark, args.captures).filter("kind in ('search', 'feed')")
-        ingest_stream(
-            read_captures_stream(spark, args.captures),
-            lambda batch: raw_listings(batch, args.role, args.sources, searches),
-            args.store,
-            args.checkpoint,
-            embedder=embedder,
-            min_confidence=args.min_confidence,
+        ingest_captures_stream(
+            read_captures_stream(spark, args.captures), args.role, args.store, args.checkpoint, args.sources,
+            **options,
         ).awaitTermination()
     elif args.command == "ingest":
         raw, fetched = raw_listings(read_captures(spark, args.captures), args.role, args.sources)
         run_id = args.run_id or str(uuid.uuid4())
         _show(
             ingest_batch(
-                raw, args.store, run_id, fetched=fetched, embedder=embedder,
-                min_confidence=args.min_confidence,
+                raw, args.store, run_id, fetched=fetched, **options,
             )
         )
         print(json.dumps({"run_id": run_id, "status": "completed", "sources": args.sources}))

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from joblattice.schema import SOURCE_MODES
+from joblattice.schema import SEARCH_RECORD_SCHEMA, SOURCE_MODES
 from joblattice.sources import feeds, frontier, pages
 
 DEFAULT_SOURCES = tuple(name for name, _ in SOURCE_MODES)
@@ -49,18 +50,33 @@ def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def found_records(captures: DataFrame, role: str, sources: Sequence[str]) -> DataFrame:
+    """The search records in the captures, as rows of the stored table."""
+    parts = []
+    for source in (s for s in sources if s in SEARCHED):
+        found = frontier.search_records(search_frontier(captures, source, role))
+        columns = [
+            (F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in SEARCH_RECORD_SCHEMA
+        ]
+        parts.append(found.select(*columns))
+    if not parts:
+        return captures.sparkSession.createDataFrame([], SEARCH_RECORD_SCHEMA)
+    return union_sources(parts)
+
+
 def raw_listings(
     captures: DataFrame,
     role: str,
     sources: Sequence[str] = DEFAULT_SOURCES,
-    searches: DataFrame | None = None,
+    records: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Raw rows of the sources, and fetched counts made outside of them.
 
     The counts hold every requested source, so that one without a single row is logged.
-    ``searches`` is where the search records of the pages are looked up, by default the
-    captures themselves; a stream passes the whole capture table, since a page may come
-    in a later micro-batch than the search result that led to it.
+    ``records`` are the search records of the pages, by default those of the captures
+    themselves; a stream passes its stored ones, since a page may come in a later
+    micro-batch than the search result that led to it.
     """
     unknown = sorted(set(sources) - set(ALL_SOURCES))
     if unknown:
@@ -74,8 +90,8 @@ def raw_listings(
         if source in DIRECT:
             rows.append(DIRECT[source](captures, role))
             continue
-        looked_up = search_frontier(captures if searches is None else searches, source, role)
-        records = frontier.search_records(looked_up)
-        rows.append(_searched(captures, source, records, role))
-        counts.append(frontier.fetched_counts(search_frontier(captures, source, role)))
+        found = search_frontier(captures, source, role)
+        known = frontier.search_records(found) if records is None else records.filter(F.col("source") == source)
+        rows.append(_searched(captures, source, known, role))
+        counts.append(frontier.fetched_counts(found))
     return union_sources(rows), union_sources(counts)

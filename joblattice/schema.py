@@ -47,6 +47,11 @@ SEARCH_RECORD_COLUMNS = [
     "source", "url", "title", "company", "location", "posted_at", "description", "seq", "pos",
 ]
 
+SEARCH_RECORD_SCHEMA = T.StructType(
+    [T.StructField(name, T.StringType()) for name in SEARCH_RECORD_COLUMNS[:-2]]
+    + [T.StructField("seq", T.LongType()), T.StructField("pos", T.IntegerType())]
+)
+
 RUN_LOG_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType(), False),

@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblattice.operators.runs import latest_run
+from joblattice.session import delete_folder
 from joblattice.schema import (
-    CAPTURE_SCHEMA, LISTING_COLUMNS, LISTING_SCHEMA, RUN_ERROR_SCHEMA, RUN_LOG_SCHEMA,
+    CAPTURE_SCHEMA, LISTING_COLUMNS, LISTING_SCHEMA, RUN_ERROR_SCHEMA, RUN_LOG_SCHEMA, SEARCH_RECORD_SCHEMA,
 )
 
-TABLES = {"listings": LISTING_SCHEMA, "run_log": RUN_LOG_SCHEMA, "run_errors": RUN_ERROR_SCHEMA}
+TABLES = {
+    "listings": LISTING_SCHEMA,
+    "run_log": RUN_LOG_SCHEMA,
+    "run_errors": RUN_ERROR_SCHEMA,
+    "search_records": SEARCH_RECORD_SCHEMA,  # what led to the pages of a capture stream
+    "waiting_pages": CAPTURE_SCHEMA,  # pages whose search record has not come yet
+}
 _BATCH = T.StructField("batch_id", T.StringType(), False)
 
 
@@ -58,6 +65,19 @@ def read_run_errors(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "run_errors").drop("batch_id")
 
 
+def read_search_records(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, root, "search_records").drop("batch_id")
+
+
+def read_waiting_pages(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
+    """The pages that a batch left waiting."""
+    return _read(spark, root, "waiting_pages").filter(F.col("batch_id") == batch_id).drop("batch_id")
+
+
+def drop_batch(spark: SparkSession, root: str, table: str, batch_id: str) -> None:
+    delete_folder(spark, f"{table_path(root, table)}/batch_id={batch_id}")
+
+
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CAPTURE_SCHEMA).parquet(path)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from joblattice.plans.adapters import DEFAULT_SOURCES, SEARCHED, found_records, raw_listings
 from joblattice.plans.ingest import ingest_batch
+from joblattice.sources import store
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -47,3 +50,47 @@ def ingest_stream(
         .trigger(**trigger)
         .start()
     )
+
+
+def ingest_captures_stream(
+    captures: DataFrame,
+    role: str,
+    root: str,
+    checkpoint: str,
+    sources: Sequence[str] = DEFAULT_SOURCES,
+    run_prefix: str = "stream",
+    available_now: bool = True,
+    processing_time: str = "1 minute",
+    **options,
+) -> StreamingQuery:
+    """Start a query that ingests captured responses of all kinds as they arrive.
+
+    Search records are stored as they come, and pages look theirs up in that table. A page
+    that comes before its record waits in the store: each micro-batch takes over the pages
+    that the one before it left, and leaves those that still have no record.
+    """
+
+    def ingest(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stream = f"{run_prefix}-{stream_id(spark, checkpoint)}"
+        name, earlier = f"{stream}-{number:010d}", f"{stream}-{number - 1:010d}"
+        store.ensure_tables(spark, root)
+        store.write_batch(found_records(batch, role, sources), root, "search_records", name)
+        records = store.read_search_records(spark, root)
+        needs = (F.col("kind") == "page") & F.col("source").isin([s for s in sources if s in SEARCHED])
+        pages = batch.filter(needs).unionByName(store.read_waiting_pages(spark, root, earlier))
+        known = records.select("source", "url").distinct()
+        store.write_batch(pages.join(known, ["source", "url"], "left_anti"), root, "waiting_pages", name)
+        ready = pages.join(known, ["source", "url"], "left_semi").select(batch.columns)
+        rest = batch.filter(~F.coalesce(needs, F.lit(False)))
+        raw, fetched = raw_listings(rest.unionByName(ready), role, sources, records)
+        ingest_batch(raw, root, run_id=name, batch_id=name, fetched=fetched, **options)
+        store.drop_batch(spark, root, "waiting_pages", f"{stream}-{number - 2:010d}")
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": processing_time}
+    return (
+        captures.writeStream.foreachBatch(ingest)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )

@@ -14,7 +14,7 @@ from joblattice.plans.ingest import default_embedder, ingest_batch, plan_ingest
 from joblattice.schema import LISTING_SCHEMA
 from joblattice.session import scratch_dir
 from joblattice.sources import store as tables
-from joblattice.streaming.ingest import ingest_stream
+from joblattice.streaming.ingest import ingest_captures_stream, ingest_stream
 
 RAW = (
     "title string, company string, url string, description string, location string, source string, "
@@ -278,3 +278,27 @@ def test_few_or_many_new_ids_give_the_same_store(spark, raw, tmp_path, monkeypat
     assert (log["stored"], log["skipped_dedup"], log["skipped_low_confidence"]) == (1, 2, 1)
     stored = {r["url"]: r["title"] for r in tables.read_listings(spark, root).collect()}
     assert stored == {"a": "T", "b": "T", "c": "early"}
+
+
+def test_search_record_before_with_and_after_its_page(spark, tmp_path):
+    card = "<div class=job_seen_beacon><h2><a href='/{0}'><span>Python {0}</span></a></h2><span class=companyName>C</span></div>"
+    text = "<div id=jobDescriptionText><p>Python software"
+
+    def search(name):
+        return ("indeed", "search", "https://in.indeed.com/jobs", card.format(name))
+
+    def page(name):
+        return ("indeed", "page", f"https://in.indeed.com/{name}", text)
+
+    steps = [[search("before"), page("after")], [page("before"), search("with"), page("with")], [search("after"), page("never")]]
+    root, source, checkpoint = (str(tmp_path / n) for n in ("store", "captures", "cp"))
+    seen = []
+    for number, step in enumerate(steps):
+        rows = [(s, k, None, u, b, 1, number * 10 + i, None) for i, (s, k, u, b) in enumerate(step)]
+        spark.createDataFrame(rows, tables.CAPTURE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = tables.read_captures_stream(spark, source)
+        ingest_captures_stream(stream, "software engineer", root, checkpoint, ["indeed"], embedder=EMBED).awaitTermination()
+        seen.append(sorted(r["title"] for r in tables.read_listings(spark, root).collect()))
+    assert seen == [[], ["Python before", "Python with"], ["Python after", "Python before", "Python with"]]
+    log = tables.read_runs(spark, root).agg(F.sum("fetched"), F.sum("stored")).first()
+    assert log[:] == (3, 3)
