@@ -11,7 +11,7 @@ is at least ``similarity``.
 
 Texts of equal words are one node. A bucket of a band compares its nodes with a hub: the node
 whose buckets hold the most nodes, which in a family of edited copies is the text they stem
-from. Nodes that the hub doesn't draw into its class get a hub among themselves, ``rounds``
+from. Nodes without a link to the hub get a hub among themselves, ``rounds``
 times over. So a bucket costs at most ``rounds`` comparisons a node, however large it is, and
 never all of its pairs. Two linked nodes share about ten of the 24 buckets at the threshold
 (the chance that they share none is (1 - s**4)**24, 3 in a million), and each has hubs of its
@@ -235,15 +235,12 @@ def links_of(
         hubs = waiting.groupBy("band").agg(F.max(F.struct("weight", "digest"))["digest"].alias("hub"))
         beside = scratch.table(f"beside{number}", waiting.join(hubs, "band").filter("digest <> hub"))
         pairs = beside.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-        fresh = compared(pairs, lists).filter(linked).select("a", "b")
-        links = scratch.table(f"links{number}", fresh if links is None else fresh.union(links))
+        fresh = scratch.table(f"fresh{number}", compared(pairs, lists).filter(linked).select("a", "b"))
+        links = fresh if links is None else links.union(fresh)
         if number < rounds:
-            roots = scratch.table(f"roots{number}", connected_classes(links, scratch))
-            left = beside.join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(
-                roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-            left = left.filter(F.coalesce(F.col("root") != F.col("hub_root"), F.lit(True)))
+            near = fresh.union(fresh.select("b", "a")).toDF("digest", "hub")
+            left = beside.join(near, ["digest", "hub"], "left_anti").select("band", "digest", "weight")
             # a node that is left alone in its bucket has nothing to meet
-            left = left.select("band", "digest", "weight")
             several = left.groupBy("band").count().filter("count > 1").select("band")
             waiting = scratch.table(f"waiting{number}", left.join(several, "band", "left_semi"))
     return links.distinct()
@@ -254,7 +251,7 @@ def _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds):
     found = scratch.table("features", features(docs, id_col, text_col, words, bands, rows))
     links = scratch.table("links", links_of(docs, found, scratch, id_col, text_col, words, similarity, rounds))
     roots = scratch.table("roots", connected_classes(links, scratch))
-    scratch.drop("members", "lists", *(f"{n}{i}" for i in range(rounds + 1) for n in ("waiting", "beside", "links", "roots")))
+    scratch.drop("members", "lists", *(f"{n}{i}" for i in range(rounds + 1) for n in ("waiting", "beside", "fresh")))
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
     nodes = found.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
