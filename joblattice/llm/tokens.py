@@ -16,7 +16,9 @@ from tokenizers import Tokenizer
 KEPT = 1_000_000
 # Control characters that str.split() takes for white space and the vocabularies don't.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
-MARKS = frozenset(",.;:!?")
+# Marks that follow letters as one token of their own; not the apostrophe, and not the start of a
+# special token.
+MARKS = ",.;:!?*#%&$()[]{}-_/|+=~^@"
 
 
 def load(path: str) -> Tokenizer:
@@ -50,6 +52,7 @@ class PieceEncoder:
         if len(self.known) > self.kept:
             self.known.clear()
         known, out, fresh = self.known, [], {}
+        known[""] = b""
         for text in texts:
             pieces = self._pieces(text)
             found = [known.get(p) for p in pieces] if pieces is not None else None
@@ -63,14 +66,22 @@ class PieceEncoder:
                     found = pieces
             out.append(self._whole(text) if found is None else found)
         if fresh:
-            # a mark after letters is a token of its own, so "word" serves "word," and "word."
-            marked = [p for p in fresh if p[-1:] in MARKS and p[:-1].lstrip(" ").isalpha()]
-            whole = fresh.keys() - set(marked)
-            names = [p for p in {*whole, *(p[:-1] for p in marked), *(p[-1] for p in marked)} if p not in known]
+            # letters and the marks after them are apart, so "word" serves "word," and "word!!"
+            cut, names = {}, set()
+            for piece in fresh:
+                body = piece.rstrip(MARKS)
+                if body.lstrip(" ").isalpha():
+                    # a vocabulary without white space has lower case alone
+                    head = body if self.keeps_space or not body.isascii() else body.lower()
+                    cut[piece] = head, piece[len(body) :]
+                    names.update(cut[piece])
+                else:
+                    names.add(piece)
+            names = [n for n in names if n not in known]
             for name, encoding in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
                 known[name] = np.asarray(encoding.ids, "<u4").tobytes()
-            for piece in marked:
-                known[piece] = known[piece[:-1]] + known[piece[-1]]
+            for piece, (head, marks) in cut.items():
+                known[piece] = known[head] + known[marks] if marks else known[head]
         return [
             o if isinstance(o, bytes) else b"".join([known[p] if isinstance(p, str) else p for p in o]) for o in out
         ]
