@@ -161,8 +161,10 @@ def search(
                     [pa.array([v]) for v in values], names=["query_block", "query_ids", "queries", "visits"])
 
     parts = max(1, -(-int(counts.sum()) // (4 * block_rows)))
+    # a cell's vectors come together, in full blocks; a cell with very many is spread over parts
     split = F.pmod(F.xxhash64("id"), F.lit(SPLITS))
-    dealt = index.withColumn("split", split).repartition(parts, "cell", "split").sortWithinPartitions("cell", "id")
+    part = F.pmod(F.xxhash64("cell", split), F.lit(parts)).cast("int")
+    dealt = index.withColumn("part", part).repartitionById(parts, F.col("part")).sortWithinPartitions("cell", "id")
     file = scratch.table("lists", dealt.select("id", "vector", "cell").mapInArrow(lists, BLOCKS))
     asked = scratch.table("queries", index.filter(is_query).select("id", "vector").mapInArrow(plan, QUERY_BLOCKS))
     scratch.drop("vectors", "index")
