@@ -12,10 +12,12 @@ is at least ``similarity``.
 Texts of equal words are one node. A bucket of a band compares its nodes with a hub: the node
 whose buckets hold the most nodes, which in a family of edited copies is the text they stem
 from. Nodes without a link to the hub get a hub among themselves, ``rounds``
-times over. So a bucket costs at most ``rounds`` comparisons a node, however large it is, and
-never all of its pairs. Two linked nodes share about ten of the 24 buckets at the threshold
-(the chance that they share none is (1 - s**4)**24, 3 in a million), and each has hubs of its
-own; README.md says what this leaves.
+times over. Last, in buckets that still hold several classes, every pair of nodes of two classes
+is compared unless one of two exact bounds rules the link out: the triangle inequality, which
+both distances obey, over the bucket's first hub, and the numbers of distinct runs. So no link
+between classes of a bucket is lost, however many ``rounds`` there are, and a class that
+its hubs hold together costs no comparison more. The chance that a pair at the threshold shares
+no bucket is (1 - s**4)**24, about 3 in a million.
 
 Null texts and texts without words are alone in their class. Null ids take part; a class has
 the least id that isn't null. Repeated rows are copies like any other. Extra columns are
@@ -39,6 +41,7 @@ from joblattice.llm.tokens import slices
 
 WORDS = 5
 BANDS, ROWS, ROUNDS = 24, 4, 3
+BLOCK = 2000
 KEPT = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0xD6E8FEB86659FD93)
@@ -145,7 +148,10 @@ def digest_of(words: list[str]) -> bytes:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(key, doc_id, digest, bands) of each row; no digest where there are no words."""
+    """(key, doc_id, digest, size, repeats, bands) of each row; no digest where there are no words.
+
+    ``size`` is the number of distinct runs; ``repeats`` says whether one of them repeats.
+    """
 
     def run(batches):
         own = shingler(words)
@@ -156,6 +162,8 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
                 chosen = signatures(owner, run_, count, len(split), bands * rows)
                 keys = band_keys(chosen, bands).tolist()
                 repeats = np.unique(owner[count > 1])
+                repeating = np.zeros(len(split), bool)
+                repeating[repeats] = True
                 if len(repeats):
                     some = np.isin(owner, repeats)
                     plain = signatures(np.searchsorted(repeats, owner[some]), run_[some], np.ones(int(some.sum())), len(repeats), bands * rows)
@@ -164,12 +172,13 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("doc_id"),
                      pa.array([digest_of(w) if w else None for w in split], pa.binary()),
+                     pa.array(np.bincount(owner, minlength=len(split)), pa.int64()), pa.array(repeating),
                      pa.array([k if w else None for k, w in zip(keys, split)], pa.list_(pa.int64()))],
-                    names=["key", "doc_id", "digest", "bands"])
+                    names=["key", "doc_id", "digest", "size", "repeats", "bands"])
 
     selected = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
                            text_or_empty(text_col).alias("text"))
-    return selected.mapInArrow(run, "key long, doc_id long, digest binary, bands array<long>")
+    return selected.mapInArrow(run, "key long, doc_id long, digest binary, size long, repeats boolean, bands array<long>")
 
 
 def run_lists(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -217,33 +226,74 @@ def compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
         "a", "b", "runs_a", "counts_a", "runs_b", "counts_b").mapInArrow(run, "a binary, b binary, weighted double, plain double")
 
 
+def crossing(members: DataFrame, roots: DataFrame, measured: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """(a, b) of the nodes of two classes of a bucket that no exact bound rules out.
+
+    ``measured(a, b, weighted, plain)`` holds each node of a bucket with the bucket's first hub.
+    The nodes outside a bucket's largest class meet all of its nodes, in blocks of ``BLOCK``.
+    """
+    rows = members.select("band", "digest", "size", "repeats", "hub").join(
+        roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "digest"))
+    held = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = held.groupBy("band").agg(F.count(F.lit(1)).alias("n_roots"), F.sum("n").alias("n_nodes"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    several = several.filter("n_roots > 1").select("band", "main", F.ceil(F.col("n_nodes") / BLOCK).cast("int").alias("blocks"))
+    to_hub = measured.union(measured.select(F.col("b").alias("a"), F.col("a").alias("b"), "weighted", "plain")).toDF(
+        "digest", "hub", "weighted", "plain")
+    rows = scratch.table("classed", rows.join(several, "band").join(to_hub, ["digest", "hub"], "left").select(
+        "band", "digest", "root", "main", "blocks", "size", "repeats",
+        # the hub itself is not in ``measured``
+        F.coalesce("weighted", F.lit(1.0)).alias("weighted"), F.coalesce("plain", F.lit(1.0)).alias("plain")))
+    outside = rows.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    x, y, room = outside.alias("x"), inside.alias("y"), 1.0 - similarity + 1e-9
+    near = {c: F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= room for c in ("weighted", "plain")}
+    fits = F.least("x.size", "y.size") >= (similarity - 1e-9) * F.greatest("x.size", "y.size")
+    # without repeated runs both similarities are one
+    possible = (near["plain"] & fits) | (near["weighted"] & (F.col("x.repeats") | F.col("y.repeats")))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.digest") < F.col("y.digest"))
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block"))
+                 & (F.col("x.root") != F.col("y.root")) & once & possible)
+    pairs = met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+    return pairs.join(measured, ["a", "b"], "left_anti")
+
+
 def links_of(
     docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, similarity: float, rounds: int,
 ) -> DataFrame:
-    """(a, b) of the linked texts, enough of them to hold the classes together."""
+    """(a, b) of the linked texts, enough of them that no two linked texts of a bucket are in different classes."""
     linked = (F.col("weighted") >= similarity) | (F.col("plain") >= similarity)
     slots = scratch.table("slots", found.filter("digest is not null").groupBy("digest").agg(
-        F.min("key").alias("key"), F.first("bands").alias("bands")).select("digest", "key", F.explode("bands").alias("band")))
+        F.min("key").alias("key"), F.first("size").alias("size"), F.first("repeats").alias("repeats"),
+        F.first("bands").alias("bands")).select("digest", "key", "size", "repeats", F.explode("bands").alias("band")))
     sizes = slots.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.table("members", slots.join(sizes, "band"))
+    members = scratch.table("members0", slots.join(sizes, "band"))
     scratch.drop("slots")
     lists = scratch.table("lists", run_lists(docs, members.select("key").distinct(), id_col, text_col, words))
     weights = members.groupBy("digest").agg(F.sum("n").alias("weight"))
-    waiting = scratch.table("waiting0", members.select("band", "digest").join(weights, "digest"))
-    links = None
-    for number in range(1, rounds + 1):
+    waiting = scratch.table("waiting0", members.select("band", "digest", "size", "repeats").join(weights, "digest"))
+    members, measured = None, None
+    for number in range(1, max(1, rounds) + 1):
         hubs = waiting.groupBy("band").agg(F.max(F.struct("weight", "digest"))["digest"].alias("hub"))
-        beside = scratch.table(f"beside{number}", waiting.join(hubs, "band").filter("digest <> hub"))
+        rows = scratch.table(f"members{number}", waiting.join(hubs, "band"))
+        members = rows if members is None else members
+        beside = rows.filter("digest <> hub")
         pairs = beside.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-        fresh = scratch.table(f"fresh{number}", compared(pairs, lists).filter(linked).select("a", "b"))
-        links = fresh if links is None else links.union(fresh)
+        if measured is not None:
+            pairs = pairs.join(measured, ["a", "b"], "left_anti")
+        fresh = scratch.table(f"fresh{number}", compared(pairs, lists))
+        measured = fresh if measured is None else measured.union(fresh)
         if number < rounds:
-            near = fresh.union(fresh.select("b", "a")).toDF("digest", "hub")
-            left = beside.join(near, ["digest", "hub"], "left_anti").select("band", "digest", "weight")
-            # a node that is left alone in its bucket has nothing to meet
+            near = measured.filter(linked).select("a", "b")
+            near = near.union(near.select("b", "a")).toDF("digest", "hub")
+            left = beside.join(near, ["digest", "hub"], "left_anti").select("band", "digest", "size", "repeats", "weight")
+            # a node that is left alone in its bucket has nothing to meet before the last step
             several = left.groupBy("band").count().filter("count > 1").select("band")
             waiting = scratch.table(f"waiting{number}", left.join(several, "band", "left_semi"))
-    return links.distinct()
+    links = measured.filter(linked).select("a", "b")
+    roots = scratch.table("roots0", connected_classes(links, scratch))
+    last = scratch.table("last", compared(scratch.table("crossing", crossing(members, roots, measured, scratch, similarity)), lists))
+    return links.union(last.filter(linked).select("a", "b"))
 
 
 def _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds):
@@ -251,30 +301,31 @@ def _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds):
     found = scratch.table("features", features(docs, id_col, text_col, words, bands, rows))
     links = scratch.table("links", links_of(docs, found, scratch, id_col, text_col, words, similarity, rounds))
     roots = scratch.table("roots", connected_classes(links, scratch))
-    scratch.drop("members", "lists", *(f"{n}{i}" for i in range(rounds + 1) for n in ("waiting", "beside", "fresh")))
-    degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
+    scratch.drop("lists", "roots0", "classed", "crossing", "last", *(
+        f"{n}{i}" for i in range(max(1, rounds) + 1) for n in ("waiting", "members", "fresh")))
+    degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_found_links"))
     nodes = found.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
     nodes = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left").select(
-        "digest", "least", F.coalesce("root", "digest").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "digest", "least", F.coalesce("root", "digest").alias("root"), F.coalesce("n_found_links", F.lit(0)).alias("n_found_links"))
     heads = nodes.groupBy("root").agg(F.min("least").alias("head"))
-    return found.select("key", "doc_id", "digest"), scratch.table("nodes", nodes.join(heads, "root").select("digest", "head", "n_links"))
+    return found.select("key", "doc_id", "digest"), scratch.table("nodes", nodes.join(heads, "root").select("digest", "head", "n_found_links"))
 
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS,
     rows: int = ROWS, similarity: float = 0.8, rounds: int = ROUNDS,
 ) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row.
+    """(doc_id, class_id, n_found_links) of every row.
 
-    ``class_id`` is the least id of the class; ``n_links`` counts the verified links of the
-    row's text to other texts, of which a class has enough to hold together.
+    ``class_id`` is the least id of the class; ``n_found_links`` counts the links of the row's
+    text to other texts that were verified to hold its class together, not all there are.
     """
     found, nodes = _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds)
     return found.join(nodes, "digest", "left").select(
         "doc_id",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_found_links", F.lit(0)).cast("long").alias("n_found_links"),
     )
 
 

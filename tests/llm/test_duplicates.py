@@ -115,6 +115,22 @@ def test_large_class_in_one_bucket(spark):
     assert {r.class_id for r in near_dup.classes(documents(spark, texts)).collect()} == {0}
 
 
+def test_chain_longer_than_the_hubs_reach(spark):
+    """One band that all texts share: hubs reach four steps each way, the rest takes the last step."""
+    draw = random.Random(15)
+    words, texts = sentence(draw, 200).split(), []
+    for i in range(40):
+        words = list(words)
+        words[100 + (7 * i) % 100] = f"y{i}"
+        texts.append((i, " ".join(words)))
+    docs = documents(spark, texts)
+    bands = {b for r in near_dup.features(docs, "doc_id", "text", 5, 1, 1).collect() for b in r.bands}
+    assert len(bands) == 1
+    for rounds in (1, 3):
+        found = near_dup.classes(docs, bands=1, rows=1, rounds=rounds).collect()
+        assert {r.class_id for r in found} == {0}
+
+
 def brute_spans(texts, window):
     starts = Counter()
     contents = [(t or "").encode() for _, t in texts]
