@@ -4,8 +4,8 @@ Five stages, each one operator of ``joblattice.llm``. A stage takes what the one
 kept, as Parquet, and returns the documents' columns; the last returns the packed pieces.
 
 1. Quality classifier: documents with a score under 0.3 go.
-2. Line dedup: later copies of repeated runs of lines are deleted; a document of which no line
-   is left goes.
+2. Line dedup: later copies of repeated runs of two lines or more, and of single lines of 20 words
+   or more, are deleted; a document of which no line is left goes.
 3. MinHash near-dedup: of each class of near-duplicates the document with the least id stays.
 4. Suffix-array dedup: every byte within a repeated string of 400 bytes is cut out.
 5. Best-fit packing: all documents in sequences of at most 2048 tokens.
@@ -39,7 +39,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return _counted(line_runs.without_runs(docs))
+    return _counted(line_runs.without_runs(docs, long_words=20))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

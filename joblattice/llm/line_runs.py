@@ -14,7 +14,8 @@ in a plain join, which Spark splits: a line that a third of all rows hold gather
 
 Everything runs as DataFrame expressions. Null and empty texts are one empty line. Repeated rows
 (same id and text) are one document and are treated alike. Texts with fewer lines than
-``min_lines`` stay whole. Extra columns are ignored by ``digests`` and kept by ``without_runs``.
+``min_lines`` stay whole. With ``long_words``, a single line of at least so many words (cut at
+white space) is a run as well, in texts of any number of lines. Extra columns are ignored by ``digests`` and kept by ``without_runs``.
 """
 
 from __future__ import annotations
@@ -55,14 +56,25 @@ def named_places(docs: DataFrame, min_lines: int, id_col: str, text_col: str) ->
     return places.select("doc_id", "key", "line", F.col("name.a").alias("a"), F.col("name.b").alias("b"))
 
 
-def deleted_lines(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
+def long_lines(docs: DataFrame, long_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, line, name) of every line of at least ``long_words`` words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), lines_of(text_col).alias("lines"))
+    lines = rows.select("doc_id", "key", F.posexplode("lines").alias("line", "words"))
+    lines = lines.filter(F.size(F.regexp_extract_all("words", F.lit(r"(\S+)"), 1)) >= long_words)
+    return lines.select("doc_id", "key", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
+
+
+def deleted_lines(docs: DataFrame, min_lines: int, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
     """(key, gone): the deleted lines of each row that has any."""
     scratch = Scratch(docs.sparkSession)
-    places = scratch.table("places", named_places(docs, min_lines, id_col, text_col))
+    places = named_places(docs, min_lines, id_col, text_col).withColumn("width", F.lit(min_lines))
+    if long_words is not None and min_lines > 1:
+        places = places.union(long_lines(docs, long_words, id_col, text_col).withColumn("width", F.lit(1)))
+    places = scratch.table("places", places)
     place = F.struct("doc_id", "key", "line")
-    intervals = places.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
-    later = places.join(intervals, ["a", "b"]).filter(place > F.col("first"))
-    lines = later.select("key", F.explode(F.sequence("line", F.col("line") + (min_lines - 1))).alias("line"))
+    intervals = places.groupBy("a", "b", "width").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    later = places.join(intervals, ["a", "b", "width"]).filter(place > F.col("first"))
+    lines = later.select("key", F.explode(F.sequence("line", F.col("line") + F.col("width") - 1)).alias("line"))
     return scratch.table("gone", lines.groupBy("key").agg(F.collect_set("line").alias("gone")))
 
 
@@ -93,8 +105,10 @@ def digests(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_co
         F.sha2(F.coalesce(kept_text(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def without_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_runs(
+    docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None,
+) -> DataFrame:
     """The documents without the deleted lines; a document of deleted lines only goes."""
-    rows = _kept(docs, deleted_lines(docs, min_lines, id_col, text_col), id_col, text_col)
+    rows = _kept(docs, deleted_lines(docs, min_lines, id_col, text_col, long_words), id_col, text_col)
     rows = rows.filter(F.col("__kept").isNull() | (F.size("__kept") > 0))
     return rows.withColumn(text_col, kept_text(text_col)).select(docs.columns)

@@ -228,3 +228,12 @@ def test_lines_equal_brute_force(spark):
     known = brute_lines(texts, 2)
     assert kept.count() == sum(len(known[r][1]) < len(known[r][0]) for r in texts)
     assert line_runs.digests(documents(spark, [])).count() == 0
+
+
+def test_long_line_between_lines_that_differ(spark):
+    draw = random.Random(13)
+    long, short = sentence(draw, 20), sentence(draw, 19)
+    texts = [(i, f"a{i}\n{long}\nb{i}\n{short}\nc{i}") for i in range(3)] + [(3, long)]
+    kept = line_runs.without_runs(documents(spark, texts), long_words=20)
+    assert rows_of(kept, "doc_id", "text") == [(0, texts[0][1])] + [(i, f"a{i}\nb{i}\n{short}\nc{i}") for i in (1, 2)]
+    assert kept.count() == 3
