@@ -132,12 +132,12 @@ PAGE_PARTS = f"""p AS (
 
 def page_view(
     source: str, title: str, company: str, description: str, location: str, posted_at: str,
-    matched: str, fetched: str, keep: str, with_cte: str = PAGE_PARTS,
+    matched: str, fetched: str, keep: str, with_cte: str = PAGE_PARTS, shown: str = "md5(description) AS digest",
 ) -> str:
     return f"""WITH {with_cte}, r AS (
   SELECT page_id AS seq, url, {title} AS title, {company} AS company, {description} AS description,
     {location} AS location, {posted_at} AS posted_at FROM p), m AS (SELECT *, {matched} AS matched FROM r)
-SELECT '{source}' AS source, seq, 0 AS pos, title, company, url, {digest("description")}, location,
+SELECT '{source}' AS source, seq, 0 AS pos, title, company, url, {shown}, location,
   coalesce(posted_at, '-') AS posted_at, {fetched} AS fetched, matched FROM m WHERE {keep}"""
 
 
@@ -191,6 +191,8 @@ ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, md5(n0) AS digest, length(n0) AS n FROM (SELECT doc_id, {normalized('text')} AS n0 FROM documents)",
     "collapse_ws": f"SELECT doc_id, md5(n0) AS digest, length(n0) AS n FROM (SELECT doc_id, {collapsed('text')} AS n0 FROM documents)",
     "embedding_text": f"WITH {RAW} SELECT seq, title || ' ' || company || ' ' || substring(description, 1, 400) AS text FROM raw",
+    "embedding_text_whole": f"""WITH {RAW} SELECT seq, md5(text) AS digest, length(text)::INTEGER AS n
+FROM (SELECT seq, title || ' ' || company || ' ' || description AS text FROM raw)""",
     "slugify_title": f"WITH {LINES} SELECT doc_id AS seq, pos::INTEGER AS pos, coalesce(nullif(trim(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'job') AS slug FROM lines",
     "board_title": """SELECT p_partkey, array_to_string(list_transform(string_split(
   replace(lower(p_name) || '-' || p_size, '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS company FROM part""",
@@ -215,9 +217,11 @@ FROM enriched""",
     "total_listings": "SELECT count(*) AS total_listings FROM documents",
     "by_source": "SELECT lang AS source, count(*) AS count FROM documents GROUP BY lang",
     "top_skills": f"WITH {SKILL_COUNTS} SELECT * FROM top",
-    "stats": f"""WITH {SKILL_COUNTS} SELECT (SELECT count(*) FROM raw) AS total_listings,
+    "stats": f"""WITH {SKILL_COUNTS}, {RUNS} SELECT (SELECT count(*) FROM raw) AS total_listings,
   (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM raw GROUP BY source)) AS by_source,
-  (SELECT string_agg(skill || '=' || count, ',' ORDER BY count DESC, skill) FROM top) AS top_skills""",
+  (SELECT string_agg(skill || '=' || count, ',' ORDER BY count DESC, skill) FROM top) AS top_skills,
+  (SELECT string_agg(concat_ws('/', run_id, source, fetched, stored, skipped_dedup, skipped_low_confidence, error_count), ','
+    ORDER BY started_at DESC, run_id, source) FROM (SELECT * FROM latest ORDER BY started_at DESC, run_id, source LIMIT 5)) AS last_runs""",
     "source_coverage": """SELECT lang AS name, 'feed' AS mode, count(*) AS count FROM documents GROUP BY lang
 UNION ALL SELECT r_name, 'unused', 0 FROM region""",
     "market_metrics": f"""WITH {SKILL_COUNTS}, {RUNS} SELECT (SELECT count(*) FROM raw) AS total_listings,
@@ -335,12 +339,10 @@ FROM pages""",
     trim(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'job') || '-' || doc_id END AS url,
   line AS title, src AS company, 'new' AS posted_at, md5(line) AS digest
 FROM lines WHERE lang <> 'fr' AND {matches('line', 'e')}""",
-    "union_sources": f"""WITH {LINES}, kept AS (SELECT doc_id FROM lines WHERE {OF_THE})
-SELECT s.source, count(*) AS fetched, count(DISTINCT doc_id) AS n_payloads
-FROM kept, (SELECT unnest(['arbeitnow', 'ashby', 'greenhouse', 'himalayas', 'lever']) AS source) s GROUP BY s.source""",
     "himalayas_next": """SELECT 'himalayas' AS source, doc_id AS seq, 2 AS page, 'https://himalayas.app/jobs/api?limit=20&offset=40' AS url
 FROM documents WHERE len(string_split(text, chr(10))) > 40""",
-    "sitemap_urls": f"WITH {SITEMAP} SELECT 'any' AS source, seq, place::INTEGER AS pos, url FROM s",
+    "sitemap_urls": f"""WITH {SITEMAP} SELECT 'any' AS source, seq, place::INTEGER AS pos, url || CASE page_id % 4
+  WHEN 0 THEN chr(70000) WHEN 1 THEN chr(128512) || 'A' WHEN 2 THEN '&#x110000;' ELSE '&#65;' END AS url FROM s""",
     "sitemap_distinct": f"""WITH {SITEMAP}, w AS (SELECT seq, url, row_number() OVER (PARTITION BY seq ORDER BY page_id) - 1 AS pos
   FROM s WHERE copy = 0 AND {matches('url', 'en', 'example')}) SELECT 'cutshort' AS source, seq, pos::INTEGER AS pos, url FROM w WHERE pos < 30""",
     "sitemap_repeated": f"""WITH {SITEMAP}, w AS (SELECT seq, url, row_number() OVER (PARTITION BY seq ORDER BY place) - 1 AS pos
@@ -378,9 +380,21 @@ SELECT 'greenhouse_playwright' AS source, page_id AS seq, (row_number() OVER (PA
 _RANKED = f"""{ENRICHED}, ranked AS (SELECT *, confidence >= 0.6 AS storable,
   CASE WHEN confidence >= 0.6 THEN row_number() OVER (PARTITION BY id, confidence >= 0.6 ORDER BY seq) END AS arrival,
   bool_or(confidence >= 0.6) OVER (PARTITION BY id) AS held FROM enriched)"""
-ORACLES["ingest_batch"] = ORACLES["ingest_stream"] = ORACLES["ingest_two_streams"] = (
-    f"WITH {_RANKED} SELECT id, source, url, md5(description) AS digest, skills, confidence, location FROM ranked WHERE arrival = 1"
-)
+_VECTORS = """tokens AS (
+  SELECT id, unnest(regexp_extract_all(lower(title || ' ' || company || ' ' || substring(description, 1, 400)), '[a-z0-9]+')) AS token
+  FROM ranked WHERE arrival = 1), counts AS (
+  SELECT id, ('0x' || substring(md5(token), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM tokens GROUP BY 1, 2), lengths AS (
+  SELECT id, sqrt(sum(n * n)) AS length FROM counts GROUP BY id), vectors AS (
+  SELECT r.id, md5(string_agg(round(coalesce(c.n / l.length, 0)::FLOAT::DOUBLE * 1000000)::BIGINT, ',' ORDER BY b.bucket)) AS vector
+  FROM ranked r CROSS JOIN (SELECT unnest(range(64)) AS bucket) b LEFT JOIN counts c ON r.id = c.id AND b.bucket = c.bucket
+  LEFT JOIN lengths l ON r.id = l.id WHERE r.arrival = 1 GROUP BY r.id)"""
+ORACLES["ingest_batch"] = ORACLES["ingest_stream"] = ORACLES["ingest_two_streams"] = f"""WITH {_RANKED}, {_VECTORS}
+SELECT r.id, source, url, md5(description) AS digest, skills, confidence, location, vector
+FROM ranked r JOIN vectors v ON r.id = v.id WHERE arrival = 1"""
+ORACLES["ingest_compacted"] = f"""WITH {_RANKED} SELECT source, count(*) AS listings, count(DISTINCT id) AS ids,
+  sum(CASE WHEN skills = '' THEN 0 ELSE len(string_split(skills, ',')) END)::BIGINT AS skills,
+  (SELECT count(DISTINCT id) FROM ranked WHERE storable) AS all_keys
+FROM ranked WHERE arrival = 1 GROUP BY source"""
 ORACLES["ingest_run_log"] = f"""WITH {_RANKED} SELECT run_id, source, count(*) AS fetched,
   count(*) FILTER (arrival = 1 AND run_id = 'run1') AS stored,
   count(*) FILTER (CASE WHEN run_id = 'run1' THEN arrival > 1 ELSE held END) AS skipped_dedup,
@@ -407,3 +421,53 @@ ORACLES["page_ddg"] = page_view(
     "ddg", f"CASE WHEN recorded THEN 'Found of the ' || page_id ELSE {stripped('page_title')} END",
     "split_part(url, '/', 3)", "ld_text", "'Unknown'", "NULL", "true", "0", "matched", _DDG_PARTS,
 )
+ORACLES["page_ddg_whole"] = page_view(
+    "ddg", f"CASE WHEN recorded THEN 'Found of the ' || page_id ELSE {stripped('page_title')} END",
+    "split_part(url, '/', 3)", "ld_text", "'Unknown'", "NULL", "true", "0", "matched", _DDG_PARTS.replace(", 1, 4000)", ", 1)"),
+)
+
+
+def _counted(*view: str, **named: str) -> str:
+    return f"""SELECT source, sum(fetched) AS fetched, count(*) FILTER (matched) AS matched, count(DISTINCT seq) AS n_payloads,
+  sum(length(title)) FILTER (matched) AS title_chars, sum(chars) FILTER (matched) AS description_chars
+FROM ({page_view(*view, shown="length(description) AS chars", **named)}) GROUP BY source"""
+
+
+_LD_TITLE, _OF_THE = "CASE WHEN ld THEN role ELSE {} END", matches("title", "of", "the")
+_PAGES_OF_ALL = [
+    _counted("cutshort", _LD_TITLE.format(f"rtrim({stripped('h1')}, ',')"), "''", "CASE WHEN ld THEN whole ELSE '' END", "''", "''", _OF_THE, "1", "true"),
+    _counted("foundit", _LD_TITLE.format(stripped("h1")), "''", "CASE WHEN ld THEN whole ELSE '' END", "''", "''", _OF_THE, "1", "matched"),
+    _counted("forage_ai", _LD_TITLE.format(collapsed("h1")), "''", f"""CASE WHEN ld THEN whole ELSE trim(array_to_string(list_transform(
+  regexp_extract_all(article, '<p>([^<]+)', 1), lambda x: {collapsed(unescaped('x'))}), ' ')) END""", "''", "''",
+             f"length(description) >= 100 AND {_OF_THE}", "1", "matched"),
+    _counted("greenhouse_playwright", _LD_TITLE.format(collapsed("h1")), "''",
+             f"CASE WHEN ld THEN whole ELSE {joined_text(chr(39) + '<i>Goa</i' + chr(39) + ' || article')} END", "''", "''", _OF_THE, "1", "matched"),
+    _counted("foundit_demo", "CASE WHEN ld THEN role WHEN recorded THEN 'Found of the ' || page_id ELSE '' END", "''",
+             "CASE WHEN ld THEN whole WHEN recorded THEN 'Found text' ELSE '' END", "''", "''", _OF_THE, "0", "matched"),
+    _counted("indeed", "CASE WHEN recorded THEN 'Found of the ' || page_id ELSE '' END", "''", joined_text("article"), "''", "''", "true", "0", "matched"),
+    _counted("ddg", f"CASE WHEN recorded THEN 'Found of the ' || page_id ELSE {stripped('page_title')} END", "''", "ld_text", "''", "''",
+             "true", "0", "matched", with_cte=_DDG_PARTS),
+]
+ORACLES["union_sources"] = f"""WITH {LINES}, jobs AS (
+  SELECT unnest(['arbeitnow', 'ashby', 'greenhouse', 'himalayas']) AS source, doc_id, line, {LINE_TEXT} AS description FROM lines WHERE {OF_THE}
+  UNION ALL SELECT 'lever', doc_id, line, {collapsed("line || ' ' || line || ' end'")} FROM lines WHERE {OF_THE}), summed AS (
+  SELECT source, count(*) AS fetched, count(*) AS matched, count(DISTINCT doc_id) AS n_payloads, sum(length(line)) AS title_chars,
+    sum(length(description)) AS description_chars FROM jobs GROUP BY source
+  UNION ALL {" UNION ALL ".join(f"({view})" for view in _PAGES_OF_ALL)}), found AS (
+  SELECT unnest(['foundit_demo', 'indeed', 'ddg']) AS source, unnest([1, 1, 2]) * count(*) FILTER (starts_with(url, 'https:')) AS more FROM pages)
+SELECT s.source, (coalesce(fetched, 0) + coalesce(more, 0))::BIGINT AS fetched, coalesce(matched, 0) AS matched, coalesce(n_payloads, 0) AS n_payloads,
+  coalesce(title_chars, 0)::BIGINT AS title_chars, coalesce(description_chars, 0)::BIGINT AS description_chars
+FROM (SELECT unnest(['arbeitnow', 'ashby', 'greenhouse', 'himalayas', 'lever', 'cutshort', 'foundit', 'forage_ai', 'greenhouse_playwright',
+  'foundit_demo', 'indeed', 'ddg']) AS source) s LEFT JOIN summed USING (source) LEFT JOIN found USING (source)"""
+
+# Pages by the last two bits of their number: the search record comes earlier, at once, later or never.
+ORACLES["ingest_captures_pages"] = f"""WITH {PAGE_PARTS} SELECT url, page_id AS seq, md5({joined_text("article")}) AS digest,
+  CASE WHEN page_id % 4 < 3 THEN 'Found of the ' || page_id ELSE '-' END AS title, CASE WHEN page_id % 4 < 3 THEN 'Finder' ELSE '-' END AS company FROM p"""
+ORACLES["ingest_captures"] = f"""WITH {PAGE_PARTS}, {LINES}, found AS (
+  SELECT page_id, url, {joined_text("article")} AS description FROM p WHERE page_id % 4 < 3), kept AS (
+  SELECT * FROM found WHERE description <> ''), feed AS (
+  SELECT doc_id, pos, {collapsed("line || ' ' || line || ' end'")} AS description FROM lines WHERE {OF_THE})
+SELECT 'indeed' AS source, (SELECT count(*) FROM found) AS fetched, count(*) AS stored, 0 AS skipped_dedup, count(*) AS listings,
+  count(*) AS found_titles, count(*) AS found_companies, sum(length(description))::BIGINT AS chars FROM kept
+UNION ALL
+SELECT 'lever', count(*), 1, count(*) - 1, 1, 0, 0, arg_min(length(description), (doc_id, pos)) FROM feed"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,14 @@ from joblattice.functions.html import clean_html_text, page_fields
 from joblattice.operators import dedup, enrich, runs, search, stats, validate, views
 from joblattice.operators.embed import hash_embed
 from joblattice.plans import answers, ingest
-from joblattice.plans.adapters import union_sources
+from joblattice.plans.adapters import ALL_SOURCES, raw_listings, union_sources
 from joblattice.session import prepare, scratch_dir
 from joblattice.sources import feeds, frontier, pages
-from joblattice.sources.store import read_listings, read_run_errors, read_runs
-from joblattice.streaming.ingest import ingest_stream
+from joblattice.sources.store import (
+    compact, read_captures, read_captures_stream, read_keys, read_listings, read_run_errors, read_runs, write_captures,
+)
+from joblattice.streaming import matching
+from joblattice.streaming.ingest import ingest_captures_stream, ingest_stream, session_conf
 
 TERMS = ("that", "with", "this", "from", "tion")
 WORDS = ("that", "with", "para", "der")
@@ -115,6 +119,11 @@ def embedding_text(spark, sf_dir):
     return raw(spark, sf_dir).select("seq", text.alias("text"))
 
 
+def embedding_text_whole(spark, sf_dir):
+    text = t.embedding_text(F.col("title"), F.col("company"), F.col("description"), max_chars=None)
+    return raw(spark, sf_dir).select("seq", F.md5(text).alias("digest"), F.length(text).alias("n"))
+
+
 def text_lines(spark, sf_dir) -> DataFrame:
     """Every line of every document: seq, pos, line."""
     lines = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
@@ -200,25 +209,37 @@ def drop_known(spark, sf_dir):
     return dedup.drop_known(rows, stored(spark, sf_dir), order=("seq",))
 
 
-def _plan(spark, sf_dir) -> ingest.IngestPlan:
-    rows = raw_from(spread(table(spark, sf_dir, "documents")))
-    return ingest.plan_ingest(rows, stored(spark, sf_dir), enriched_by_terms)
+INGEST = {"enricher": enriched_by_terms, "embedder": ingest.default_embedder(DIMS), "min_confidence": 0.6}
 
 
-def ingest_outcomes(spark, sf_dir):
-    return _plan(spark, sf_dir).counters.drop("error_count")
+def _fresh_root(spark, name: str) -> str:
+    return f"{scratch_dir(prepare(spark))}/{name}-{uuid.uuid4().hex}"
 
 
-def ingest_new_listings(spark, sf_dir):
-    new = _plan(spark, sf_dir).new_listings
-    return new.select("id", "seq", "source", "url", "location", "confidence", skill_text().alias("skills"))
+def _seeded_root(spark, sf_dir) -> str:
+    """A fresh store with the labelled documents."""
+    root = _fresh_root(spark, "store")
+    rows = listings(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    ingest.insert_if_absent(rows.join(stored(spark, sf_dir), "id", "left_semi"), root)
+    return root
 
 
-INGEST = {"enricher": enriched_by_terms, "embedder": ingest.default_embedder(DIMS), "min_confidence": 0.6}
+def ingest_outcomes(spark, sf_dir):
+    """Counters of a batch into a store that holds the labelled documents."""
+    root = _seeded_root(spark, sf_dir)
+    rows = raw_from(spread(table(spark, sf_dir, "documents")))
+    log = ingest.ingest_batch(rows, root, "run", **INGEST)
+    return log.drop("run_id", "started_at", "written_at", "error_count")
 
 
-def _fresh_root(spark, name: str) -> str:
-    return f"{scratch_dir(prepare(spark))}/{name}-{uuid.uuid4().hex}"
+def ingest_new_listings(spark, sf_dir):
+    """What that batch stored; ``posted_at`` tells which of the copies it was."""
+    root = _seeded_root(spark, sf_dir)
+    rows = raw_from(spread(table(spark, sf_dir, "documents"))).withColumn("posted_at", F.col("seq").cast("string"))
+    ingest.ingest_batch(rows, root, "run", **INGEST)
+    new = read_listings(spark, root).filter("posted_at is not null")
+    return new.select(
+        "id", F.col("posted_at").cast("long").alias("seq"), "source", "url", "location", "confidence", skill_text().alias("skills"))
 
 
 def ingest_batch_store(spark, sf_dir):
@@ -252,8 +273,8 @@ def ingest_per_source(spark, sf_dir):
     """One run, ingested source by source: log row and stored listings of every source."""
     root = _fresh_root(spark, "store")
     rows = raw_from(table(spark, sf_dir, "documents"))
-    for source in ("de", "en", "es", "fr"):
-        ingest.ingest_batch(rows.filter(F.col("source") == source), root, "run", **INGEST)
+    for (source,) in rows.select("source").distinct().collect():  # a name for each source
+        ingest.ingest_batch(rows.filter(F.col("source").eqNullSafe(F.lit(source))), root, "run", **INGEST)
     held = read_listings(spark, root).groupBy("source").agg(F.count(F.lit(1)).alias("listings"))
     log = read_runs(spark, root).drop("started_at", "written_at", "error_count")
     return log.join(held, "source", "left").withColumn("listings", F.coalesce("listings", F.lit(0)))
@@ -288,10 +309,100 @@ def insert_if_absent(spark, sf_dir):
     return ingest.insert_if_absent(rows, root)
 
 
+def _weights(vector: str) -> Column:
+    """A vector as text, in millionths."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",")
+
+
 def _store_view(spark, root):
     kept = read_listings(spark, root).filter(F.size("embedding") == DIMS)
     return kept.select(
-        "id", "source", "url", F.md5("description").alias("digest"), skill_text().alias("skills"), "confidence", "location")
+        "id", "source", "url", F.md5("description").alias("digest"), skill_text().alias("skills"), "confidence", "location",
+        F.md5(_weights("embedding")).alias("vector"))
+
+
+def ingest_compacted(spark, sf_dir):
+    """One run in eight batches, after the sixth the older ones merged; the log and all listings stay."""
+    root = _fresh_root(spark, "store")
+    rows = raw_from(table(spark, sf_dir, "documents"))
+    for number in range(8):
+        part = rows.filter(F.pmod("seq", F.lit(8)) == number)
+        ingest.ingest_batch(part, root, "run", batch_id=f"part{number}", **INGEST)
+        if number == 5:
+            compact(spark, root, keep=1)
+    found = read_listings(spark, root).groupBy("source").agg(
+        F.count(F.lit(1)).alias("listings"), F.countDistinct("id").alias("ids"), F.sum(F.size("skills")).alias("skills"))
+    keys = read_keys(spark, root).distinct().count()
+    return found.withColumn("all_keys", F.lit(keys).cast("long"))
+
+
+def _captured_pages(spark, sf_dir, groups: list[int], kind: str) -> DataFrame:
+    """Pages of some of four groups as captures: the page itself, or a search result that leads to it."""
+    rows = _pages(spark, sf_dir).filter(F.pmod("page_id", F.lit(4)).isin(groups))
+    if kind == "page":
+        body = F.replace("html", F.lit("<article>"), F.lit('<article id="jobDescriptionText">'))
+        url = F.col("url")
+    else:
+        body = _card(F.col("url"), F.concat(F.lit("Found of the "), F.col("page_id").cast("string")), F.lit("Finder"), F.lit("Pune"))
+        url = F.lit("https://in.indeed.com/jobs?q=x")
+    return rows.select(
+        F.lit("indeed").alias("source"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("board"), url.alias("url"),
+        body.alias("body"), F.lit(0).alias("page"), F.col("page_id").alias("seq"), F.lit(None).cast("timestamp").alias("fetched_at"))
+
+
+def _card(url: Column, title: Column, company: Column, location: Column) -> Column:
+    """A result card."""
+    def escaped(text: Column) -> Column:
+        return F.replace(text, F.lit("&"), F.lit("&amp;"))
+
+    return F.concat(
+        F.lit('<div class="job_seen_beacon"><h2><a href="'), escaped(url), F.lit('"><span> '), escaped(title),
+        F.lit("</span></a></h2><span class=companyName>"), company, F.lit('</span><div class="companyLocation">'), location, F.lit("</div></div>"))
+
+
+def ingest_captures(spark, sf_dir):
+    """Three runs of a capture stream. A page's search record comes before it, with it, after it or never."""
+    base = _fresh_root(spark, "captures")
+    feed = _lever_captures(spark, sf_dir).withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    steps = [
+        [_captured_pages(spark, sf_dir, [0], "search"), _captured_pages(spark, sf_dir, [3], "page"), feed],
+        [_captured_pages(spark, sf_dir, [0, 1, 2], "page"), _captured_pages(spark, sf_dir, [1], "search")],
+        [_captured_pages(spark, sf_dir, [2], "search")],
+    ]
+    options = {
+        "enricher": lambda rows: enrich.enrich(rows, TERMS, WORDS), "embedder": ingest.default_embedder(8), "min_confidence": 0.0,
+        "wait": timedelta(0), "clock_skew": timedelta(milliseconds=1)}
+    for step in steps:
+        write_captures(union_sources(step), f"{base}/captures")
+        stream = read_captures_stream(spark, f"{base}/captures")
+        ingest_captures_stream(stream, ROLE, f"{base}/store", f"{base}/checkpoint", ["indeed", "lever"], **options).awaitTermination()
+    log = read_runs(spark, f"{base}/store").groupBy("source").agg(
+        F.sum("fetched").alias("fetched"), F.sum("stored").alias("stored"), F.sum("skipped_dedup").alias("skipped_dedup"))
+    held = read_listings(spark, f"{base}/store").groupBy("source").agg(
+        F.count(F.lit(1)).alias("listings"), F.count_if(F.col("title").startswith("Found of the ")).alias("found_titles"),
+        F.count_if(F.col("company") == "Finder").alias("found_companies"), F.sum(F.length("description")).alias("chars"))
+    return log.join(held, "source", "left")
+
+
+def ingest_captures_pages(spark, sf_dir):
+    """The raw rows of such a stream: every page and what it got from its search record."""
+    base = _fresh_root(spark, "captures")
+    steps = [
+        [_captured_pages(spark, sf_dir, [0], "search"), _captured_pages(spark, sf_dir, [3], "page")],
+        [_captured_pages(spark, sf_dir, [0, 1, 2], "page"), _captured_pages(spark, sf_dir, [1], "search")],
+        [_captured_pages(spark, sf_dir, [2], "search")],
+    ]
+    for step in steps:
+        write_captures(union_sources(step), f"{base}/captures")
+        rows = matching.matched(
+            read_captures_stream(spark, f"{base}/captures"), ROLE, ["indeed"], timedelta(0), timedelta(milliseconds=1))
+        with session_conf(spark, matching.STATE_CONF):
+            rows.writeStream.format("parquet").option("path", f"{base}/rows").option(
+                "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(matching.MATCHED).parquet(f"{base}/rows")
+    return found.filter("part = 'page'").select(
+        "url", "seq", F.md5("text").alias("digest"), F.coalesce("found_title", F.lit("-")).alias("title"),
+        F.coalesce("found_company", F.lit("-")).alias("company"))
 
 
 def ingest_run_log(spark, sf_dir):
@@ -323,10 +434,13 @@ def stats_bundle(spark, sf_dir):
     def _other(name: str) -> str:
         return {"key": "value", "skill": "count"}[name]
 
-    return stats.stats(enriched(spark, sf_dir)).select(
+    shown = views.last_runs(_logged_runs(spark, sf_dir))
+    return stats.stats(enriched(spark, sf_dir), shown).select(
         "total_listings",
         listed(F.array_sort(F.map_entries("by_source")), "key").alias("by_source"),
         listed(F.col("top_skills"), "skill").alias("top_skills"),
+        F.array_join(F.transform("last_runs", lambda r: F.concat_ws(
+            "/", r["run_id"], r["source"], r["fetched"], r["stored"], r["skipped_dedup"], r["skipped_low_confidence"], r["error_count"])), ",").alias("last_runs"),
     )
 
 
@@ -581,7 +695,7 @@ def json_ld_postings(spark, sf_dir):
 
 
 def json_ld_shapes(spark, sf_dir):
-    """Locations and companies as object, list or text, and the page date of a graph."""
+    """Locations and companies as object, list or text, in lists up to six deep, and the page date of a graph."""
     lang, source = F.col("lang"), F.col("source")
 
     def place(text: Column) -> Column:
@@ -593,11 +707,23 @@ def json_ld_shapes(spark, sf_dir):
         .when(lang == "de", F.concat(F.lit('{"address":['), place(source), F.lit(',{"addressRegion":"x"}]}')))
         .otherwise(F.lit('"somewhere"'))
     )
+    # further documents have their lists in lists, and addresses in addresses, as deep as their id says
+    depth = (F.col("doc_id") % 7).cast("int")
+
+    def deep(value: Column, opening: str, closing: str) -> Column:
+        return F.concat(F.repeat(F.lit(opening), depth), value, F.repeat(F.lit(closing), depth))
+
+    location = (
+        F.when(lang == "fr", deep(location, "[", "]"))
+        .when(lang == "de", deep(location, '{"address":[', ']}'))
+        .otherwise(location)
+    )
     company = (
         F.when(lang == "en", F.to_json(F.struct(source.alias("name"))))
         .when(lang == "fr", F.concat(F.lit('[{"name":""},'), F.to_json(F.struct(source.alias("name"))), F.lit("]")))
         .otherwise(F.concat(F.lit('"'), source, F.lit('"')))
     )
+    company = F.when(lang == "fr", deep(company, '["",', "]")).otherwise(company)
     graph = F.concat(
         F.lit('{"@graph":[{"@type":"Person"},{"@type":"WebPage","datePublished":"'),
         F.col("doc_id").cast("string"),
@@ -685,6 +811,11 @@ def page_ddg(spark, sf_dir):
     return _raw_view(pages.page_ddg(captures, _search_records(spark, sf_dir, "ddg")))
 
 
+def page_ddg_whole(spark, sf_dir):
+    captures = _page_captures(spark, sf_dir, "ddg")
+    return _raw_view(pages.page_ddg(captures, _search_records(spark, sf_dir, "ddg"), max_chars=None))
+
+
 def attach_search_record(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(F.lit("x").alias("source"), "url", F.col("page_id").alias("seq"))
     joined = pages.attach_search_record(rows, _search_records(spark, sf_dir, "x"))
@@ -819,25 +950,72 @@ def feed_foundit_search(spark, sf_dir):
     return found.select("seq", "pos", "url", "title", "company", "posted_at", F.md5("description").alias("digest"))
 
 
+def _secure_pages(spark, sf_dir) -> DataFrame:
+    return _pages(spark, sf_dir).filter(F.col("url").startswith("https:"))
+
+
+def _search_captures(spark, sf_dir) -> list[DataFrame]:
+    """One search result per secure page for each of the three searched sources."""
+    title = F.concat(F.lit("Found of the "), F.col("page_id").cast("string"))
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    job = F.struct(title.alias("title"), F.lit("Found text").alias("summary"), F.col("url").alias("seoJdUrl"), F.lit("Finder").alias("companyName"))
+    bodies = {
+        ("foundit_demo", "feed"): F.to_json(F.struct(F.struct(F.array(job).alias("data")).alias("jobSearchResponse"))),
+        ("indeed", "search"): _card(F.col("url"), title, F.lit("Finder"), F.lit("Pune")),
+        ("ddg", "search"): F.concat(F.lit('<a class="result__a" href="'), escaped, F.lit('">'), title, F.lit("</a><a class=result__a>none</a>")),
+    }
+    return [
+        _secure_pages(spark, sf_dir).select(
+            F.lit(source).alias("source"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("board"),
+            F.lit("https://search.example/").alias("url"), body.alias("body"), F.lit(0).alias("page"), F.col("page_id").alias("seq"))
+        for (source, kind), body in bodies.items()
+    ]
+
+
+def _captures_of_all(spark, sf_dir) -> DataFrame:
+    feeds_of = (_arbeitnow_captures, _ashby_captures, _greenhouse_captures, _himalayas_captures, _lever_captures)
+    html = {
+        "forage_ai": None, "cutshort": None, "foundit": None, "foundit_demo": None, "ddg": None,
+        "greenhouse_playwright": F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="content"><i class="location">Goa</i>')),
+        "indeed": F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="jobDescriptionText">')),
+    }
+    parts = [make(spark, sf_dir) for make in feeds_of]
+    parts += [_page_captures(spark, sf_dir, source, body) for source, body in html.items()]
+    return union_sources(parts + _search_captures(spark, sf_dir)).withColumn("fetched_at", F.lit(None).cast("timestamp"))
+
+
 def union_all_sources(spark, sf_dir):
-    rows = union_sources(
-        [
-            feeds.feed_arbeitnow(_arbeitnow_captures(spark, sf_dir), ROLE),
-            feeds.feed_ashby(_ashby_captures(spark, sf_dir), ROLE),
-            feeds.feed_greenhouse(_greenhouse_captures(spark, sf_dir), ROLE),
-            feeds.feed_himalayas(_himalayas_captures(spark, sf_dir), ROLE),
-            feeds.feed_lever(_lever_captures(spark, sf_dir), ROLE),
-        ]
-    )
-    return rows.groupBy("source").agg(F.sum("fetched").alias("fetched"), F.countDistinct("seq").alias("n_payloads"))
+    """All twelve adapters over one stored table of captures, with the counts of each source."""
+    base = _fresh_root(spark, "captures")
+    write_captures(_captures_of_all(spark, sf_dir), f"{base}/captures")
+
+    def stage(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{base}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{base}/{name}")
+
+    rows, counts = raw_listings(read_captures(spark, f"{base}/captures"), ROLE, ALL_SOURCES, stage)
+    summed = rows.groupBy("source").agg(
+        F.sum("fetched").alias("fetched"), F.count_if("matched").alias("matched"), F.countDistinct("seq").alias("n_payloads"),
+        F.sum(F.when(F.col("matched"), F.length("title"))).alias("title_chars"),
+        F.sum(F.when(F.col("matched"), F.length("description"))).alias("description_chars"))
+    counted = counts.groupBy("source").agg(F.sum("fetched").alias("more"))
+    nothing = F.lit(0).cast("long")
+    return counted.join(summed, "source", "left").select(
+        "source", (F.coalesce("fetched", nothing) + F.col("more")).alias("fetched"),
+        *(F.coalesce(c, nothing).alias(c) for c in ("matched", "n_payloads", "title_chars", "description_chars")))
 
 
 # Frontier
 
 
-def _sitemaps(spark, sf_dir, source: str) -> DataFrame:
+def _sitemaps(spark, sf_dir, source: str, references: bool = False) -> DataFrame:
     """Sitemaps of up to 50 pages each; every url is listed twice."""
     encoded = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    if references:
+        # a character of another plane by its number, one by its number in hex, one that there is none of, or CDATA
+        number = F.col("page_id") % 4
+        encoded = F.when(number == 0, F.concat(encoded, F.lit("&#70000;"))).when(number == 1, F.concat(encoded, F.lit("&#x1F600;&#65;"))).when(
+            number == 2, F.concat(encoded, F.lit("&#x110000;"))).otherwise(F.concat(F.lit("<![CDATA["), "url", F.lit("&#65;]]>")))
     loc = F.concat(F.lit("<url><loc>"), encoded, F.lit("</loc></url>"))
     maps = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("seq")).agg(
         F.array_sort(F.collect_list(F.struct("page_id", F.concat(loc, loc).alias("loc")))).alias("locs")
@@ -851,7 +1029,7 @@ def _sitemaps(spark, sf_dir, source: str) -> DataFrame:
 
 
 def sitemap_urls(spark, sf_dir):
-    return frontier.sitemap_urls(_sitemaps(spark, sf_dir, "any"))
+    return frontier.sitemap_urls(_sitemaps(spark, sf_dir, "any", references=True))
 
 
 def sitemap_distinct(spark, sf_dir):
@@ -954,6 +1132,7 @@ QUERIES: dict[str, Query] = {
     "normalize_text": normalize_text,
     "collapse_ws": collapse_ws,
     "embedding_text": embedding_text,
+    "embedding_text_whole": embedding_text_whole,
     "slugify_title": slugify_title,
     "board_title": board_title,
     "required_fields": required_fields,
@@ -968,6 +1147,9 @@ QUERIES: dict[str, Query] = {
     "ingest_batch": ingest_batch_store,
     "ingest_stream": ingest_stream_store,
     "ingest_run_log": ingest_run_log,
+    "ingest_compacted": ingest_compacted,
+    "ingest_captures": ingest_captures,
+    "ingest_captures_pages": ingest_captures_pages,
     "total_listings": total_listings,
     "by_source": by_source,
     "top_skills": top_skills,
@@ -1014,6 +1196,7 @@ QUERIES: dict[str, Query] = {
     "page_greenhouse_rendered": page_greenhouse_rendered,
     "page_indeed": page_indeed,
     "page_ddg": page_ddg,
+    "page_ddg_whole": page_ddg_whole,
     "attach_search_record": attach_search_record,
     "feed_arbeitnow": feed_arbeitnow,
     "feed_ashby": feed_ashby,

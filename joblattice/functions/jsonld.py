@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,23 +79,35 @@ def _address_text(address: Column) -> Column:
     )
 
 
-# Lists within lists, and address lists within address lists, are followed this deep.
-NESTED = 3
+def _leaves(value: Column, inner: Callable[[Column], Column]) -> Column:
+    """The value as a list without lists: a list gives way to its elements, level by level.
+
+    ``inner`` is the list an element stands for, null if it is none. The work list is opened until
+    no list is left; a level takes a bracket of the text at least, so their number is a bound.
+    """
+    text = F.to_json(value)
+    levels = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+
+    def opened(state: Column, _: Column) -> Column:
+        items = F.flatten(F.transform(state["items"], lambda v: F.coalesce(inner(v), F.array(v))))
+        more = F.exists(state["items"], lambda v: inner(v).isNotNull())
+        return F.when(state["more"], F.struct(items.alias("items"), more.alias("more"))).otherwise(state)
+
+    start = F.struct(F.array(value).alias("items"), F.lit(True).alias("more"))
+    return F.aggregate(steps, start, opened)["items"]
 
 
-def _place_text(place: Column, depth: int = NESTED) -> Column:
-    """A place's address as text; an address that is a list holds places again."""
-    address = F.try_variant_get(place, "$.address", "variant")
-    own = _address_text(address)
-    if depth == 0:
-        return own
-    inner = F.transform(as_list(address), lambda entry: _place_text(entry, depth - 1))
-    nested = F.transform(as_list(place), lambda entry: _place_text(entry, depth - 1))
-    return F.coalesce(_joined(nested), _joined(inner), own)
+def _address(place: Column) -> Column:
+    return F.try_variant_get(place, "$.address", "variant")
 
 
 def extract_location(location: Column) -> Column:
-    return _place_text(location)
+    """The places' addresses as text; an address that is a list holds places again."""
+    listed = _leaves(location, lambda place: F.coalesce(as_list(place), as_list(_address(place))))
+    many = as_list(location).isNotNull() | as_list(_address(location)).isNotNull()
+    texts = F.transform(listed, lambda place: _address_text(_address(place)))
+    return F.when(many, _joined(texts)).otherwise(_address_text(_address(location)))
 
 
 def _organization_text(v: Column) -> Column:
@@ -102,13 +116,11 @@ def _organization_text(v: Column) -> Column:
     )
 
 
-def extract_company(organization: Column, depth: int = NESTED) -> Column:
+def extract_company(organization: Column) -> Column:
     """The first name in a list of organizations, or in lists within it."""
-    if depth == 0:
-        return _organization_text(organization)
-    names = F.transform(as_list(organization), lambda entry: extract_company(entry, depth - 1))
-    first_name = F.coalesce(F.get(F.filter(names, lambda n: n != ""), F.lit(0)), F.lit(""))
-    return F.when(names.isNotNull(), first_name).otherwise(_organization_text(organization))
+    names = F.filter(F.transform(_leaves(organization, as_list), _organization_text), lambda name: name != "")
+    return F.when(as_list(organization).isNotNull(), F.coalesce(F.get(names, F.lit(0)), F.lit(""))).otherwise(
+        _organization_text(organization))
 
 
 def webpage_date(blocks: Column) -> Column:

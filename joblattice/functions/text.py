@@ -136,13 +136,20 @@ def query_url(base: str, params: dict[str, Column]) -> Column:
     return F.concat(F.lit(f"{base}?"), F.concat_ws("&", *pairs))
 
 
-def embedding_text(title: Column, company: Column, description: Column) -> Column:
-    """What gets embedded: title, company and the first 400 characters of the description."""
+# Fixed value: how much of a description is embedded.
+EMBEDDED_CHARS = 400
+
+
+def embedding_text(
+    title: Column, company: Column, description: Column, max_chars: int | None = EMBEDDED_CHARS
+) -> Column:
+    """What gets embedded: title, company and the first ``max_chars`` characters of the description (all if None)."""
+    text = text_or_empty(description)
     return F.concat_ws(
         " ",
         text_or_empty(title),
         text_or_empty(company),
-        F.substring(text_or_empty(description), 1, 400),
+        text if max_chars is None else F.substring(text, 1, max_chars),
     )
 
 

@@ -78,8 +78,7 @@ def main(argv: list[str] | None = None) -> None:
         answers = answer_questions(question, read_listings(spark, args.store), embedder)
         _show(answers.select("answer", "sources"))
     else:
-        _show(stats(read_listings(spark, args.store)))
-        _show(views.last_runs(read_runs(spark, args.store)))
+        _show(stats(read_listings(spark, args.store), views.last_runs(read_runs(spark, args.store))))
 
 
 if __name__ == "__main__":

@@ -65,18 +65,26 @@ def _sections(listings: DataFrame, runs: DataFrame | None) -> DataFrame:
     return rows
 
 
-def stats(listings: DataFrame) -> DataFrame:
-    """One row: total_listings, by_source map and the ordered top_skills.
+def stats(listings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row: total_listings, by_source map, the ordered top_skills and last_runs.
 
-    The map holds one entry per source adapter and the list ten skills; neither grows
-    with the number of listings.
+    ``runs`` are the runs to show, in the order of ``views.last_runs``. The map holds one entry per
+    source adapter, the lists ten skills and these runs; none grows with the number of listings.
     """
+    rows = _sections(listings, None)
+    if runs is not None:
+        shown = F.struct(*runs.columns)
+        rows = rows.unionByName(runs.select(
+            F.lit("run").alias("section"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("count"),
+            F.struct((-F.unix_micros("started_at")).alias("order"), F.col("run_id"), shown.alias("run")).alias("run")), allowMissingColumns=True)
     entry = F.struct(F.col("name"), F.col("count"))
     is_skill = F.col("section") == "skill"
     ranked = F.array_sort(
         F.collect_list(F.when(is_skill, F.struct((-F.col("count")).alias("order"), "name")))
     )
-    return _sections(listings, None).agg(
+    more = [] if runs is None else [
+        F.transform(F.array_sort(F.collect_list("run")), lambda r: r["run"]).alias("last_runs")]
+    return rows.agg(
         F.coalesce(F.sum(_number_of("source")), F.lit(0)).alias("total_listings"),
         F.map_from_entries(
             F.array_sort(F.collect_list(F.when(F.col("section") == "source", entry)))
@@ -84,6 +92,7 @@ def stats(listings: DataFrame) -> DataFrame:
         F.transform(
             ranked, lambda s: F.struct(s["name"].alias("skill"), (-s["order"]).alias("count"))
         ).alias("top_skills"),
+        *more,
     )
 
 

@@ -25,7 +25,7 @@ class Dashboard:
 def dashboard(spark: SparkSession, root: str, recent: int = v.RECENT_DEFAULT) -> Dashboard:
     listings, runs = read_listings(spark, root), v.last_runs(read_runs(spark, root))
     return Dashboard(
-        stats=s.stats(listings),
+        stats=s.stats(listings, runs),
         last_runs=runs,
         recent=v.recent_listings(listings, v.clamp_recent(recent)),
         metrics=s.market_metrics(listings, runs),

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +27,6 @@ from joblattice.schema import EMBEDDING_DIMS, LISTING_COLUMNS, MIN_CONFIDENCE
 from joblattice.session import delete_folder, prepare, scratch_dir
 from joblattice.sources import store as tables
 
-# New ids of a batch up to this number are broadcast.
-BROADCAST_IDS = 200_000
-
 
 def with_defaults(raw: DataFrame) -> DataFrame:
     """Fill the adapter columns a caller left out."""
@@ -65,16 +61,18 @@ def tagged(enriched: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataF
 
 
 def per_id_counts(rows: DataFrame) -> DataFrame:
-    """Per id: fetched, copies, storable copies and errors.
+    """Per id: fetched, copies, storable copies, errors and the first storable arrival.
 
     Narrow and combined before the shuffle, so neither a hot id nor a hot source gathers
     its rows in one task. Rows without an id are summed per source under a null id.
     """
+    arrival = F.struct("seq", "pos", "row")
     return rows.groupBy("source", "id").agg(
         F.sum("fetched").alias("fetched"),
         F.count_if(F.col("complete")).alias("copies"),
         F.count_if(F.col("storable")).alias("storable"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.min(F.when(F.col("storable"), arrival))["row"].alias("first"),
     )
 
 
@@ -101,46 +99,6 @@ def counters(ledger: DataFrame) -> DataFrame:
     )
 
 
-def winners(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """First storable arrival of every id the store does not know.
-
-    Only one row per id and task is shuffled, and both sides of the anti join hold an id
-    at most once and are spread by id.
-    """
-    return first_arrival(rows.filter("storable")).join(known.select("id"), "id", "left_anti")
-
-
-def fresh_winners(rows: DataFrame, fresh: DataFrame, few: bool) -> DataFrame:
-    """First storable arrival of every id in ``fresh``.
-
-    A short list of new ids, the usual case when pages are captured again, is broadcast,
-    and known rows fall out before anything is shuffled.
-    """
-    storable = rows.filter("storable")
-    if few:
-        return first_arrival(storable.join(F.broadcast(fresh), "id", "left_semi"))
-    return first_arrival(storable).join(fresh, "id", "left_semi")
-
-
-@dataclass
-class IngestPlan:
-    new_listings: DataFrame
-    counters: DataFrame
-
-
-def plan_ingest(
-    raw: DataFrame,
-    store: DataFrame,
-    enricher: Callable[[DataFrame], DataFrame] = enrich,
-    min_confidence: float = MIN_CONFIDENCE,
-) -> IngestPlan:
-    """The whole ingest as lazy DataFrames; embedding and appending come after it."""
-    checked = validated(raw)
-    known = known_ids(checked.filter("complete").select("id").distinct(), store)
-    rows = tagged(enricher(checked), min_confidence)
-    return IngestPlan(winners(rows, known), counters(with_known(per_id_counts(rows), known)))
-
-
 def embedded(listings: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
     text = embedding_text(F.col("title"), F.col("company"), F.col("description"))
     return listings.withColumn("embedding", embedder(text))
@@ -165,7 +123,6 @@ def ingest_batch(
     embedder: Callable[[Column], Column] | None = None,
     min_confidence: float = MIN_CONFIDENCE,
     started_at: Column | None = None,
-    stage_rows: bool = True,
     rows_per_slice: int = ROWS_PER_SLICE,
     enricher: Callable[[DataFrame], DataFrame] = enrich,
 ) -> DataFrame:
@@ -179,50 +136,44 @@ def ingest_batch(
     ``model_enricher`` asks a model instead.
 
     ``fetched`` (source, fetched) adds counts made elsewhere, such as search results.
-    The validated rows are written to the scratch folder first, so that pages and feeds
-    are parsed once; ``stage_rows=False`` reads a cheap input again instead. The per-id
-    counts and the known ids are written as well, so the counters and the winners rest on
-    the same decision. With a model, known ids are dropped before it is asked, and its
-    replies are written too, so that each text is sent once.
+
+    The validated rows are written to the scratch folder once, enriched unless a model does it,
+    and numbered. All decisions are made over a narrow ledger of ids: the numbers of the rows to
+    store come out of it, and the texts of those rows alone are read again and embedded. Known ids
+    are looked up in the key buckets of the batch's ids. With a model, known ids are dropped
+    before it is asked, and its replies are written too, so that each text is sent once.
     """
     spark = prepare(raw.sparkSession)
     run_id = run_id or str(uuid.uuid4())
     batch_id = batch_id or f"{run_id}-{uuid.uuid4().hex}"
     started_at = F.current_timestamp() if started_at is None else started_at
     tables.ensure_tables(spark, root)
-    store = tables.read_listings(spark, root, without_batch=batch_id)
+    if batch_id in tables.merged_batches(spark, root):
+        raise ValueError(f"batch {batch_id} has been merged with others and can't be replaced")
     scratch = f"{scratch_dir(spark)}/ingest-{batch_id}-{uuid.uuid4().hex}"
 
-    checked = validated(raw)
-    if stage_rows:
-        checked = _staged(without_unused_text(checked), f"{scratch}/checked")
-    has_model = model_enricher is not None
-    if has_model:
-        rows = checked.withColumns({"storable": F.lit(False), "error": F.lit(None).cast("string")})
+    checked = without_unused_text(validated(raw)).withColumn("row", F.monotonically_increasing_id())
+    if model_enricher is None:
+        checked = tagged(enricher(checked), min_confidence)
     else:
-        rows = tagged(enricher(checked), min_confidence)
+        checked = checked.withColumns({"storable": F.lit(False), "error": F.lit(None).cast("string")})
+    rows = _staged(checked, f"{scratch}/checked")
     per_id = _staged(per_id_counts(rows), f"{scratch}/per_id")
-    known = _staged(known_ids(per_id, store), f"{scratch}/known")
-    if has_model:
-        fresh = drop_known(checked.filter("complete"), known, rows_per_slice=rows_per_slice)
+    stored = tables.read_keys(spark, root, tables.buckets_of(per_id), without_batch=batch_id)
+    ledger = with_known(per_id, known_ids(per_id, stored))
+    if model_enricher is not None:
+        ledger = _staged(ledger, f"{scratch}/known")
+        fresh = drop_known(rows.filter("complete"), ledger.filter("known"), rows_per_slice=rows_per_slice)
         rows = _staged(tagged(model_enricher(fresh), min_confidence), f"{scratch}/answered")
-        answered = rows.groupBy("id").agg(
-            F.count_if("storable").alias("_storable"),
-            F.count_if(F.col("error").isNotNull()).alias("_errors"),
-        )
-        per_id = (
-            per_id.join(answered, "id", "left")
-            .withColumn("storable", F.coalesce("_storable", F.lit(0)))
-            .withColumn("errors", F.coalesce("_errors", F.lit(0)))
-        )
-
-    ledger = with_known(per_id, known)
-    new_ids = ledger.filter("storable > 0 and not known").select("id")
-    fresh = _staged(new_ids, f"{scratch}/fresh")
-    chosen = fresh_winners(rows, fresh, few=fresh.count() <= BROADCAST_IDS)
-    new = embedded(chosen, embedder or default_embedder())
+        answered = per_id_counts(rows).select("source", "id", *(F.col(c).alias(f"_{c}") for c in ("storable", "errors", "first")))
+        ledger = ledger.join(answered, ["source", "id"], "left").withColumns({
+            "storable": F.coalesce("_storable", F.lit(0)), "errors": F.coalesce("_errors", F.lit(0)), "first": F.col("_first"),
+        }).drop("_storable", "_errors", "_first")
+    ledger = _staged(ledger, f"{scratch}/ledger")
+    chosen = ledger.filter("storable > 0 and not known").select(F.col("first").alias("row"))
+    new = embedded(rows.join(chosen, "row", "left_semi"), embedder or default_embedder())
     new = new.withColumn("ingested_at", F.current_timestamp()).select(*LISTING_COLUMNS)
-    tables.write_batch(new, root, "listings", batch_id)
+    tables.write_listings(new, root, batch_id)
 
     errors = rows.filter(F.col("error").isNotNull()).select(
         F.lit(run_id).alias("run_id"), "source", "error"
@@ -250,13 +201,11 @@ def insert_if_absent(listings: DataFrame, root: str, batch_id: str | None = None
     spark = listings.sparkSession
     batch_id = batch_id or uuid.uuid4().hex
     tables.ensure_tables(spark, root)
-    store = tables.read_listings(spark, root, without_batch=batch_id)
     first = first_arrival(listings, order=("ingested_at", "description"))
-    ids = first.select("id")
-    known = _staged(known_ids(ids, store), f"{scratch_dir(spark)}/known-{uuid.uuid4().hex}")
-    tables.write_batch(first.join(known, "id", "left_anti"), root, "listings", batch_id)
-    flagged = known.withColumn("inserted", F.lit(False))
-    return ids.join(flagged, "id", "left").withColumn("inserted", F.col("inserted").isNull())
+    store = tables.read_keys(spark, root, tables.buckets_of(listings), without_batch=batch_id)
+    tables.write_listings(first.join(known_ids(first, store).distinct(), "id", "left_anti"), root, batch_id)
+    inserted = tables.read_batch_keys(spark, root, batch_id).withColumn("inserted", F.lit(True))
+    return listings.select("id").distinct().join(inserted, "id", "left").withColumn("inserted", F.coalesce("inserted", F.lit(False)))
 
 
 def run_log_rows(counts: DataFrame, run_id: str, started_at: Column) -> DataFrame:

@@ -52,6 +52,9 @@ SEARCH_RECORD_SCHEMA = T.StructType(
     + [T.StructField("seq", T.LongType()), T.StructField("pos", T.IntegerType())]
 )
 
+# A search result as found: one without a link is no record and only counts.
+FOUND_SCHEMA = T.StructType([*SEARCH_RECORD_SCHEMA.fields, T.StructField("fetched", T.IntegerType())])
+
 RUN_LOG_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType(), False),

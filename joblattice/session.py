@@ -70,8 +70,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate tables through Spark's file system."""
+def _file_system(spark: SparkSession, path: str):
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables through Spark's file system."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def rename_folder(spark: SparkSession, path: str, new: str) -> None:
+    """Give a folder another name; nothing where it is gone (renamed before)."""
+    system, source = _file_system(spark, path)
+    if system.exists(source) and not system.rename(source, _file_system(spark, new)[1]):
+        raise OSError(f"{path} could not be renamed to {new}")
+
+
+def folders(spark: SparkSession, path: str, files: bool = False) -> list[str]:
+    """Names of the folders (or files) in a folder, the one changed last at the end; none if it is not there."""
+    system, target = _file_system(spark, path)
+    if not system.exists(target):
+        return []
+    found = [s for s in system.listStatus(target) if s.isDirectory() != files]
+    return [s.getPath().getName() for s in sorted(found, key=lambda s: s.getModificationTime())]
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    system, target = _file_system(spark, path)
+    return system.getContentSummary(target).getLength() if system.exists(target) else 0

@@ -54,24 +54,25 @@ _XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]
 
 
 def _code_point(digits: Column, base: int) -> Column:
-    """The character of a code point of the first plane, or nothing."""
-    code = F.conv(digits, base, 10).cast("int")
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    """The character of a code point; null where there is none (too large, or half a pair)."""
+    code = F.conv(digits, base, 10).cast("long")
+    is_one = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(is_one, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def _xml_text(body: Column) -> Column:
     """Text of an XML element: CDATA as it is, else with entities decoded once."""
-    number = r"&#([xX][0-9A-Fa-f]{1,4}|[0-9]{1,5});"
+    number = r"^&#([xX][0-9A-Fa-f]{1,12}|[0-9]{1,12});"
+
+    def with_number(piece: Column) -> Column:
+        character = F.when(piece.rlike("^&#[xX]"), _code_point(F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]+);", 1), 16)).otherwise(
+            _code_point(F.regexp_extract(piece, r"^&#([0-9]+);", 1), 10))
+        rest = F.regexp_replace(piece, number, "")
+        return F.when(piece.rlike(number) & character.isNotNull(), F.concat(character, rest)).otherwise(piece)
 
     def with_numbers(text: Column) -> Column:
         # pieces between the references, each with the reference in front of it
-        pieces = F.split(text, "(?=&#)")
-        return F.array_join(F.transform(pieces, lambda piece: F.when(
-            piece.rlike("^" + number),
-            F.concat(
-                F.when(piece.rlike("^&#[xX]"), _code_point(F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]+);", 1), 16))
-                .otherwise(_code_point(F.regexp_extract(piece, r"^&#([0-9]+);", 1), 10)),
-                F.regexp_replace(piece, "^" + number, ""))).otherwise(piece)), "")
+        return F.array_join(F.transform(F.split(text, "(?=&#)"), with_number), "")
 
     decoded = F.when(body.contains("&#"), with_numbers(body)).otherwise(body)
     for entity, character in _XML_ENTITIES:

@@ -131,10 +131,14 @@ def attach_search_record(
     return left.join(right, ["source", "url", "_slice"], "left").drop("_slice")
 
 
-def page_foundit_demo(captures: DataFrame, records: DataFrame, role: str) -> DataFrame:
+def foundit_demo_fields(captures: DataFrame) -> DataFrame:
+    """What a page says itself, before its search record is joined."""
+    pages = _cleaned(with_posting(captured(captures, "foundit_demo", "page")))
+    return pages.select("source", "url", "seq", "ld_title", "ld_company", "ld_description", "ld_location", "ld_date")
+
+
+def foundit_demo_rows(pages: DataFrame, role: str) -> DataFrame:
     """Search results already counted as fetched, so the pages do not."""
-    pages = _cleaned(with_posting(captured(captures, "foundit_demo", "page"))).drop("body", "blocks")
-    pages = attach_search_record(pages, records)
     return _raw(
         pages,
         fetched=F.lit(0),
@@ -147,6 +151,10 @@ def page_foundit_demo(captures: DataFrame, records: DataFrame, role: str) -> Dat
     )
 
 
+def page_foundit_demo(captures: DataFrame, records: DataFrame, role: str) -> DataFrame:
+    return foundit_demo_rows(attach_search_record(foundit_demo_fields(captures), records), role)
+
+
 def page_forage_ai(captures: DataFrame, role: str) -> DataFrame:
     pages = _cleaned(with_posting(captured(captures, "forage_ai", "page")))
     pages = with_fields(pages, _empty("ld_title", "ld_description", "ld_location"))
@@ -184,44 +192,55 @@ def page_greenhouse_rendered(captures: DataFrame, role: str) -> DataFrame:
     )
 
 
-def page_indeed(captures: DataFrame, records: DataFrame) -> DataFrame:
-    """Card data plus the description text; no role test, counted as fetched per card."""
+def indeed_fields(captures: DataFrame) -> DataFrame:
     pages = with_fields(captured(captures, "indeed", "page"), F.lit(True))
-    pages = attach_search_record(
-        pages.select("source", "url", "seq", F.col("page.job_text").alias("job_text")), records
-    )
+    return pages.select("source", "url", "seq", F.col("page.job_text").alias("text"))
+
+
+def indeed_rows(pages: DataFrame, role: str | None = None) -> DataFrame:
+    """Card data plus the description text; no role test, counted as fetched per card."""
     return _raw(
         pages,
         fetched=F.lit(0),
         matched=F.lit(True),
         title=text_or_empty(F.col("found_title")),
         company=text_or_empty(F.col("found_company")),
-        description=F.col("job_text"),
+        description=F.col("text"),
         location=text_or_empty(F.col("found_location")),
         posted_at=F.col("found_posted_at"),
     )
 
 
-def page_ddg(captures: DataFrame, records: DataFrame) -> DataFrame:
-    """Search title or page title, host as company, first 4000 characters of body text."""
+def page_indeed(captures: DataFrame, records: DataFrame) -> DataFrame:
+    return indeed_rows(attach_search_record(indeed_fields(captures), records))
+
+
+def ddg_fields(captures: DataFrame, max_chars: int | None = MAX_BODY_CHARS) -> DataFrame:
+    """Title and body text, of which ``max_chars`` characters are kept (all if None)."""
     pages = with_fields(captured(captures, "ddg", "page"), F.lit(True))
-    pages = attach_search_record(
-        pages.select(
-            "source",
-            "url",
-            "seq",
-            F.substring("page.body_text", 1, MAX_BODY_CHARS).alias("body_text"),
-            strip_ws(text_or_empty(F.col("page.title"))).alias("page_title"),
-        ),
-        records,
+    text = F.col("page.body_text")
+    return pages.select(
+        "source",
+        "url",
+        "seq",
+        (text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"),
+        strip_ws(text_or_empty(F.col("page.title"))).alias("page_title"),
     )
+
+
+def ddg_rows(pages: DataFrame, role: str | None = None) -> DataFrame:
+    """Search title or page title, host as company, the body text."""
     return _raw(
         pages,
         fetched=F.lit(0),
         matched=F.lit(True),
         title=_or(F.col("found_title"), F.col("page_title")),
         company=text_or_empty(F.get(F.split("url", "/"), F.lit(2))),
-        description=F.col("body_text"),
+        description=F.col("text"),
         location=F.lit("Unknown"),
         posted_at=F.lit(None).cast("string"),
     )
+
+
+def page_ddg(captures: DataFrame, records: DataFrame, max_chars: int | None = MAX_BODY_CHARS) -> DataFrame:
+    return ddg_rows(attach_search_record(ddg_fields(captures, max_chars), records))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from joblattice.plans.adapters import DEFAULT_SOURCES, SEARCHED, found_records, raw_listings
+from joblattice.plans.adapters import (
+    DEFAULT_SOURCES, SEARCHED, direct_listings, known_sources, requested, searched_rows, union_sources,
+)
 from joblattice.plans.ingest import ingest_batch
-from joblattice.sources import store
+from joblattice.session import delete_folder, scratch_dir
+from joblattice.streaming.matching import CLOCK_SKEW, STATE_CONF, WAIT, matched
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -52,6 +58,19 @@ def ingest_stream(
     )
 
 
+@contextmanager
+def session_conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for a query that starts inside; a query keeps those it was started with."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def ingest_captures_stream(
     captures: DataFrame,
     role: str,
@@ -61,36 +80,43 @@ def ingest_captures_stream(
     run_prefix: str = "stream",
     available_now: bool = True,
     processing_time: str = "1 minute",
+    wait: timedelta = WAIT,
+    clock_skew: timedelta = CLOCK_SKEW,
     **options,
 ) -> StreamingQuery:
     """Start a query that ingests captured responses of all kinds as they arrive.
 
-    Search records are stored as they come, and pages look theirs up in that table. A page
-    that comes before its record waits in the store: each micro-batch takes over the pages
-    that the one before it left, and leaves those that still have no record.
+    Pages of search results meet their search record in the query's state, whichever comes
+    first (``matching``). A page that has waited ``wait`` is ingested from what it says itself.
+    A micro-batch is written to the scratch folder once, by source, and read by the adapters
+    from there.
     """
+    sources = known_sources(sources)
+    searched = [source for source in sources if source in SEARCHED]
+    direct = [source for source in sources if source not in SEARCHED]
+    rows = captures.filter(F.col("source").isin(direct)).withColumn("part", F.lit("capture"))
+    if searched:
+        rows = rows.unionByName(matched(captures, role, searched, wait, clock_skew), allowMissingColumns=True)
 
     def ingest(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stream = f"{run_prefix}-{stream_id(spark, checkpoint)}"
-        name, earlier = f"{stream}-{number:010d}", f"{stream}-{number - 1:010d}"
-        store.ensure_tables(spark, root)
-        store.write_batch(found_records(batch, role, sources), root, "search_records", name)
-        records = store.read_search_records(spark, root)
-        needs = (F.col("kind") == "page") & F.col("source").isin([s for s in sources if s in SEARCHED])
-        pages = batch.filter(needs).unionByName(store.read_waiting_pages(spark, root, earlier))
-        known = records.select("source", "url").distinct()
-        store.write_batch(pages.join(known, ["source", "url"], "left_anti"), root, "waiting_pages", name)
-        ready = pages.join(known, ["source", "url"], "left_semi").select(batch.columns)
-        rest = batch.filter(~F.coalesce(needs, F.lit(False)))
-        raw, fetched = raw_listings(rest.unionByName(ready), role, sources, records)
-        ingest_batch(raw, root, run_id=name, batch_id=name, fetched=fetched, **options)
-        store.drop_batch(spark, root, "waiting_pages", f"{stream}-{number - 2:010d}")
+        name = f"{run_prefix}-{stream_id(spark, checkpoint)}-{number:010d}"
+        scratch = f"{scratch_dir(spark)}/captured-{name}-{uuid.uuid4().hex}"
+        batch.write.mode("overwrite").partitionBy("part", "source").parquet(scratch)
+        staged = spark.read.schema(batch.schema).parquet(scratch)
+        if not staged.isEmpty():  # else only the clock went on
+            found = staged.filter("part = 'found'").groupBy("source").agg(F.sum("fetched").cast("long").alias("fetched"))
+            raw = direct_listings(staged.filter("part = 'capture'").select(captures.columns), role, sources)
+            raw += searched_rows(staged.filter("part = 'page'"), role, searched)
+            counts = requested(spark, sources).unionByName(found)
+            ingest_batch(union_sources(raw), root, run_id=name, batch_id=name, fetched=counts, **options)
+        delete_folder(spark, scratch)
 
     trigger = {"availableNow": True} if available_now else {"processingTime": processing_time}
-    return (
-        captures.writeStream.foreachBatch(ingest)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    with session_conf(captures.sparkSession, STATE_CONF):
+        return (
+            rows.writeStream.foreachBatch(ingest)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )

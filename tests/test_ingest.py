@@ -10,8 +10,7 @@ from joblattice.operators.enrich import ModelUnavailable, enrich, enrich_with
 from joblattice.operators.runs import latest_run, run_counters, run_errors
 from joblattice.operators.validate import reject_reason, required_fields
 from joblattice.plans.adapters import raw_listings
-from joblattice.plans.ingest import default_embedder, ingest_batch, plan_ingest
-from joblattice.schema import LISTING_SCHEMA
+from joblattice.plans.ingest import default_embedder, ingest_batch
 from joblattice.session import scratch_dir
 from joblattice.sources import store as tables
 from joblattice.streaming.ingest import ingest_captures_stream, ingest_stream
@@ -32,11 +31,6 @@ def raw(spark):
     return lambda *rows: spark.createDataFrame(list(rows), RAW)
 
 
-@pytest.fixture
-def empty_store(spark):
-    return spark.createDataFrame([], LISTING_SCHEMA)
-
-
 EMBED = default_embedder(16)
 
 
@@ -67,17 +61,16 @@ def test_enrich(spark):
     ]
 
 
-def test_outcomes(raw, empty_store):
+def test_outcomes(spark, raw, tmp_path):
     frame = raw(
         raw_row(3, "a", GOOD, title="late"), raw_row(1, "a", WEAK), raw_row(2, "a", GOOD, title="first"),
         raw_row(4, "b", WEAK), raw_row(5, "b", WEAK), raw_row(6, "c", title=" "),
         raw_row(7, "d", matched=False), raw_row(8, "e", source="other"),
     )
-    plan = plan_ingest(frame, empty_store)
-    stored = {r["url"]: r for r in plan.new_listings.collect()}
+    log = log_of(ingest_batch(frame, str(tmp_path), "run", embedder=EMBED))
+    stored = {r["url"]: r for r in tables.read_listings(spark, str(tmp_path)).collect()}
     assert set(stored) == {"a", "e"} and stored["a"]["title"] == "first"
     assert stored["a"]["location"] == "Bengaluru India" and len(stored["a"]["id"]) == 64
-    log = log_of(plan.counters)
     assert (log["s"]["fetched"], log["s"]["stored"]) == (7, 1)
     assert (log["s"]["skipped_dedup"], log["s"]["skipped_low_confidence"]) == (1, 3)
     assert log["other"]["stored"] == 1
@@ -268,13 +261,11 @@ def test_run_log_rows(spark):
     assert sorted(r["stored"] for r in latest_run(runs, ("run_id", "source")).collect()) == [2, 3]
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_few_or_many_new_ids_give_the_same_store(spark, raw, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr("joblattice.plans.ingest.BROADCAST_IDS", limit)
+def test_first_arrival_of_a_second_run_is_stored(spark, raw, tmp_path):
     root = str(tmp_path / "store")
     ingest_batch(raw(raw_row(1, "a"), raw_row(2, "b")), root, "run1", embedder=EMBED)
     frame = raw(raw_row(5, "c", title="late"), raw_row(4, "c", title="early"), raw_row(3, "a"), raw_row(6, "d", WEAK))
-    log = log_of(ingest_batch(frame, root, "run2", embedder=EMBED, stage_rows=limit == 0))["s"]
+    log = log_of(ingest_batch(frame, root, "run2", embedder=EMBED))["s"]
     assert (log["stored"], log["skipped_dedup"], log["skipped_low_confidence"]) == (1, 2, 1)
     stored = {r["url"]: r["title"] for r in tables.read_listings(spark, root).collect()}
     assert stored == {"a": "T", "b": "T", "c": "early"}

@@ -48,7 +48,9 @@ def test_ingest_query_stats(spark, tmp_path, capsys):
     jobs.main([*base, "stats"])
     out = said(capsys)
     assert out[0]["total_listings"] == 4 and out[0]["by_source"] == {"greenhouse": 3, "indeed": 1}
-    assert out[0]["top_skills"][0] == {"skill": "Python", "count": 4} and len(out) == 4
+    assert out[0]["top_skills"][0] == {"skill": "Python", "count": 4} and len(out) == 1
+    assert [(r["run_id"], r["source"], r["stored"]) for r in out[0]["last_runs"]] == [
+        ("r1", "greenhouse", 3), ("r1", "indeed", 1), ("r1", "lever", 0)]
 
 
 def test_stream_finds_the_search_record_of_an_earlier_batch(spark, tmp_path):
