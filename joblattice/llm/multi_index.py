@@ -10,10 +10,10 @@ The index holds every vector. The centroids are fitted on ``sample_rows`` vector
 with the least hash of their id. ``share`` trades time for recall; it is a share and not a
 number, so recall keeps its level as the table grows.
 
-Ties go to the smaller id; the query's own id is no candidate. Null ids, and vectors that are
+Ties go to the smaller id; the query's own row is no candidate. Null ids, and vectors that are
 null, empty, zero, or hold null or non-finite components, take no part; nor do vectors of
-another length than the commonest. Where an id is repeated, its least vector counts. Empty
-tables give no rows. Extra columns are ignored.
+another length than the commonest. Of a repeated id every row counts, as a query and as a
+candidate of the others. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from joblattice.llm.common import Scratch
 from joblattice.llm.vector_blocks import hit_batch, matrices, met, nearest, next_block, usable_vectors
 
-BLOCKS = "block long, cells binary, ids binary, vectors binary"
-QUERY_BLOCKS = "query_block long, query_ids binary, queries binary, visits binary"
+BLOCKS = "block long, cells binary, rows binary, ids binary, vectors binary"
+QUERY_BLOCKS = "query_block long, query_rows binary, query_ids binary, queries binary, visits binary"
 SPLITS = 64  # parts of a cell: even one that holds a third of all vectors is spread
 
 
@@ -56,13 +56,13 @@ def k_means(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def fit_centroids(vectors: DataFrame, length: int, k: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Centroids of both halves, from a bounded sample in one task."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    sample = vectors.orderBy(F.xxhash64("id"), "id", "vector").limit(sample_rows)
     half = length // 2
 
     def run(batches):
         found = [matrices(batch, length) for batch in batches]
-        ids = np.concatenate([i for i, _ in found]) if found else np.zeros(0, np.int64)
-        points = np.concatenate([v for _, v in found])[np.argsort(ids)] if found else np.zeros((0, length))
+        ids = np.concatenate([i for _, i, _ in found]) if found else np.zeros(0, np.int64)
+        points = np.concatenate([v for *_, v in found])[np.argsort(ids, kind="stable")] if found else np.zeros((0, length))
         halves = [k_means(p, k).astype("<f8").tobytes() for p in (points[:, :half], points[:, half:])]
         yield pa.RecordBatch.from_arrays([pa.array([h]) for h in halves], names=["a", "b"])
 
@@ -90,7 +90,7 @@ def visited(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: i
     return out
 
 
-def rerank(query_ids, queries, visits, cells, ids, vectors, k: int):
+def rerank(query_rows, query_ids, queries, visits, cells, rows, ids, vectors, k: int):
     """Yields the k best of a block for each query, among the cells that the query visits."""
     bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
     scores = np.full((len(query_ids), len(ids)), -np.inf)
@@ -98,7 +98,7 @@ def rerank(query_ids, queries, visits, cells, ids, vectors, k: int):
         asking = np.flatnonzero(visits[:, cells[start]])
         if len(asking):
             scores[asking, start:end] = queries[asking] @ vectors[start:end].T
-    scores[query_ids[:, None] == ids[None, :]] = -np.inf
+    scores[query_rows[:, None] == rows[None, :]] = -np.inf
     for i, query_id in enumerate(query_ids):
         row = scores[i]
         found = np.flatnonzero(row > -np.inf)
@@ -108,7 +108,7 @@ def rerank(query_ids, queries, visits, cells, ids, vectors, k: int):
         if len(found):
             exact = (vectors[found] * queries[i]).sum(axis=1)  # in the same order for every row
             best = np.lexsort((ids[found], -exact))[:k]
-            yield np.full(len(best), query_id), ids[found[best]], exact[best]
+            yield np.full(len(best), query_rows[i]), np.full(len(best), query_id), ids[found[best]], exact[best]
 
 
 def search(
@@ -125,12 +125,12 @@ def search(
 
     def assign(batches):
         for batch in batches:
-            _, found = matrices(batch, length)
+            *_, found = matrices(batch, length)
             cell = nearest_centroid(found[:, :half], first) * width + nearest_centroid(found[:, half:], second)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
+                [*batch.columns, pa.array(cell.astype(np.int32))], names=["row", "id", "vector", "cell"])
 
-    index = scratch.table("index", vectors.select("id", "vector").mapInArrow(assign, "id long, vector array<double>, cell int"))
+    index = scratch.table("index", vectors.mapInArrow(assign, "row long, id long, vector array<double>, cell int"))
     counts = np.zeros(len(first) * width, np.int64)  # one number per pair of centroids
     for row in index.groupBy("cell").count().collect():
         counts[row["cell"]] = row["count"]
@@ -141,43 +141,43 @@ def search(
         for batch in batches:
             cells = batch.column("cell").to_numpy()
             for at in range(0, batch.num_rows, block_rows):
-                ids, found = matrices(batch.slice(at, block_rows), length)
-                values = [next_block(state), cells[at : at + block_rows].astype("<i4").tobytes(), ids.astype("<i8").tobytes(),
-                          found.astype("<f8").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["block", "cells", "ids", "vectors"])
+                rows, ids, found = matrices(batch.slice(at, block_rows), length)
+                values = [next_block(state), cells[at : at + block_rows].astype("<i4").tobytes(), rows.astype("<i8").tobytes(),
+                          ids.astype("<i8").tobytes(), found.astype("<f8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["block", "cells", "rows", "ids", "vectors"])
 
     def plan(batches):
         state: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, query_rows):
-                ids, found = matrices(batch.slice(at, query_rows), length)
+                rows, ids, found = matrices(batch.slice(at, query_rows), length)
                 visits = np.zeros((len(ids), len(counts)), bool)
                 near1, near2 = found[:, :half] @ first.T, found[:, half:] @ second.T
                 for i in range(len(ids)):
                     visits[i, visited(near1[i], near2[i], counts, enough)] = True
-                values = [next_block(state), ids.astype("<i8").tobytes(), found.astype("<f8").tobytes(),
+                values = [next_block(state), rows.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), found.astype("<f8").tobytes(),
                           np.packbits(visits).tobytes()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v]) for v in values], names=["query_block", "query_ids", "queries", "visits"])
+                    [pa.array([v]) for v in values], names=["query_block", "query_rows", "query_ids", "queries", "visits"])
 
     parts = max(1, -(-int(counts.sum()) // (4 * block_rows)))
     # a cell's vectors come together, in full blocks; a cell with very many is spread over parts
-    split = F.pmod(F.xxhash64("id"), F.lit(SPLITS))
+    split = F.pmod(F.xxhash64("row"), F.lit(SPLITS))
     part = F.pmod(F.xxhash64("cell", split), F.lit(parts)).cast("int")
-    dealt = index.withColumn("part", part).repartitionById(parts, F.col("part")).sortWithinPartitions("cell", "id")
-    file = scratch.table("lists", dealt.select("id", "vector", "cell").mapInArrow(lists, BLOCKS))
-    asked = scratch.table("queries", index.filter(is_query).select("id", "vector").mapInArrow(plan, QUERY_BLOCKS))
+    dealt = index.withColumn("part", part).repartitionById(parts, F.col("part")).sortWithinPartitions("cell", "row")
+    file = scratch.table("lists", dealt.select("row", "id", "vector", "cell").mapInArrow(lists, BLOCKS))
+    asked = scratch.table("queries", index.filter(is_query).select("row", "id", "vector").mapInArrow(plan, QUERY_BLOCKS))
     scratch.drop("vectors", "index")
 
     def run(batches):
         for batch in batches:
-            for row in batch.select(["query_ids", "queries", "visits", "cells", "ids", "vectors"]).to_pylist():
-                query_ids, ids = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+            for row in batch.select(["query_rows", "query_ids", "queries", "visits", "cells", "rows", "ids", "vectors"]).to_pylist():
+                query_rows_, query_ids, rows_, ids = (np.frombuffer(row[c], "<i8") for c in ("query_rows", "query_ids", "rows", "ids"))
                 visits = np.unpackbits(np.frombuffer(row["visits"], np.uint8), count=len(query_ids) * len(counts))
                 found = rerank(
-                    query_ids, np.frombuffer(row["queries"]).reshape(len(query_ids), length),
-                    visits.reshape(len(query_ids), len(counts)).astype(bool), np.frombuffer(row["cells"], "<i4"), ids,
+                    query_rows_, query_ids, np.frombuffer(row["queries"]).reshape(len(query_ids), length),
+                    visits.reshape(len(query_ids), len(counts)).astype(bool), np.frombuffer(row["cells"], "<i4"), rows_, ids,
                     np.frombuffer(row["vectors"]).reshape(len(ids), length), k)
                 yield hit_batch(list(found), pa.float64())
 
-    return nearest(met(asked, file).mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    return nearest(met(asked, file).mapInArrow(run, "query_row long, query_id long, vec_id long, score double"), k)

@@ -1,8 +1,8 @@
 """Vectors packed into blocks, and every block of queries met with every block of vectors.
 
 A vector takes part if its id and all its components are there, the components are finite, and
-its length is the commonest one of the table (of equally common lengths the least). Where an
-id is repeated, its least vector counts.
+its length is the commonest one of the table (of equally common lengths the least). Every row
+counts, so rows are told apart by a number of their own and not by their id.
 """
 
 from __future__ import annotations
@@ -20,18 +20,21 @@ def usable(vector_col: str) -> Column:
 
 
 def usable_vectors(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, vector) of the rows that take part, with distinct ids, and their length (0: none)."""
+    """(row, id, vector) of the rows that take part, and their length (0: none).
+
+    ``row`` is a row's place in the table; the result has to be written before it is used twice.
+    """
     found = rows.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     length = found.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     length = length["n"] if length else 0
-    return found.filter(F.size("vector") == length).groupBy("id").agg(F.min("vector").alias("vector")), length
+    return found.filter(F.size("vector") == length).select(F.monotonically_increasing_id().alias("row"), "id", "vector"), length
 
 
 def matrices(batch, length: int):
-    """The ids and the vectors of an Arrow batch (id, vector)."""
-    ids = batch.column("id").to_numpy(zero_copy_only=False)
-    return ids, batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), length)
+    """The row numbers, the ids and the vectors of an Arrow batch (row, id, vector)."""
+    rows, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id"))
+    return rows, ids, batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), length)
 
 
 def next_block(state: dict) -> int:
@@ -53,16 +56,19 @@ def met(queries: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def nearest(hits: DataFrame, k: int) -> DataFrame:
-    """The k best of (query_id, vec_id, score); ties go to the smaller vec_id.
+    """The k best of (query_row, query_id, vec_id, score); ties go to the smaller vec_id.
 
     Each task keeps its own k best of a query before rows are exchanged.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def hit_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], score_type) -> pa.RecordBatch:
-    columns = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else [(), (), ()])]
-    kinds = [pa.int64(), pa.int64(), score_type]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["query_id", "vec_id", "score"])
+HITS = ["query_row", "query_id", "vec_id", "score"]
+
+
+def hit_batch(found: list[tuple[np.ndarray, ...]], score_type) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * len(HITS)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), score_type]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=HITS)

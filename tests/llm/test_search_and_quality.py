@@ -26,42 +26,59 @@ def vector_rows(count=400, dims=12, seed=1):
 
 
 def brute(rows, every, k, scale=None):
-    found = {i: np.array(v, float) for i, v, _ in rows if i is not None and v and len(v) == 12 and None not in v and np.isfinite(v).all()}
+    found = [(i, np.array(v, float)) for i, v, _ in rows if i is not None and v and len(v) == 12 and None not in v and np.isfinite(v).all()]
     if scale:
-        found = {i: np.floor(scale * v).astype(np.int64) for i, v in found.items()}
+        found = [(i, [int(x) for x in np.floor(scale * v)]) for i, v in found]
     else:
-        found = {i: v for i, v in found.items() if v.any()}
-    for q in sorted(i for i in found if i % every == 0):
-        scores = sorted(((-(found[q] * v).sum(), i) for i, v in found.items() if i != q))[:k]
-        yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(scores))
+        found = [(i, v) for i, v in found if v.any()]
+    for n, (q, asked) in enumerate(found):
+        if q % every == 0:
+            dot = (lambda v: sum(a * b for a, b in zip(asked, v))) if scale else (lambda v: (asked * v).sum())
+            scores = sorted((-dot(v), i) for m, (i, v) in enumerate(found) if m != n)[:k]
+            yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(scores))
 
 
 def test_approximation_file_is_exact(spark):
     rows = vector_rows()
-    frame = clashing(spark.createDataFrame(rows, VECTORS).repartition(3), "id", "score")
-    for block in (16, 4096):
-        got = va_file.search(frame, F.col("id") % 10 == 0, k=5, block_rows=block, query_rows=7)
+    rows += [(20, [-x for x in rows[20][1]], 0), (33, [x * 3 for x in rows[33][1]], 0)]  # repeated ids, of a query too
+    frame = clashing(spark.createDataFrame(rows, VECTORS).repartition(3), "id", "score", "row")
+    for block, cells in ((16, 256), (4096, 256), (64, 4)):
+        got = va_file.search(frame, F.col("id") % 10 == 0, k=5, block_rows=block, query_rows=7, cells=cells)
         assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(brute(rows, 10, 5, 256), key=repr)
     few = spark.createDataFrame(rows[:3], VECTORS)
     assert va_file.search(few, F.col("id") % 10 == 0, k=5).count() == 2
     assert va_file.search(few.limit(0), F.col("id") % 10 == 0, k=5).count() == 0
 
 
-def test_approximation_file_reads_few_exact_vectors():
-    draw = np.random.default_rng(3)
-    exact = draw.integers(-256, 256, (2000, 16))
-    low, step = exact.min(axis=0).astype(float), np.full(16, 16.0)
-    cells = ((exact - low) // step).astype(np.uint8)
-    read = []
+@pytest.mark.parametrize("large", [5e6, 1e7, 2e7 / 3])
+def test_large_components(spark, large):
+    draw = np.random.default_rng(2)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(draw.normal(size=(60, 12)).astype(np.float32))]
+    for i, place in ((3, 0), (10, 1), (20, 0), (41, 1)):
+        rows[i][1][place] = float(np.float32(large * (1 if i != 41 else -1)))
+    got = va_file.search(spark.createDataFrame(rows, VECTORS).repartition(2), F.col("id") % 10 == 0, k=5, block_rows=16)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(brute(rows, 10, 5, 256), key=repr)
+
 
-    class Counting(np.ndarray):
-        def __getitem__(self, at):
-            read.append(len(at))
-            return np.asarray(self)[at]
+def test_scores_beyond_a_long_are_an_error(spark):
+    rows = [(0, [4e6] * 64, 0), (1, [4e6] * 64, 0), (2, [1.0] * 64, 0)]
+    for sign in (1.0, -1.0):
+        rows[1] = (1, [sign * 4e6] * 64, 0)
+        with pytest.raises(Exception, match="beyond a long"):
+            va_file.search(spark.createDataFrame(rows, VECTORS), F.col("id") == 0, k=5).collect()
+    # one that is far behind is no result and no error
+    assert [r["vec_id"] for r in va_file.search(spark.createDataFrame(rows, VECTORS), F.col("id") == 0, k=1).collect()] == [2]
 
-    found = list(va_file.search_block(
-        np.array([5000]), exact[:1].astype(float), np.arange(2000), low, step, cells, exact.view(Counting), 5))
-    assert sum(read) < 400 and len(found[0][1]) == 5
+
+def test_cells_leave_few_candidates():
+    draw = np.random.default_rng(3)
+    exact = draw.integers(-256, 256, (2000, 16)).astype(float)
+    low, step = exact.min(axis=0), np.full(16, 16.0)
+    cells = ((exact - low) // step).astype(np.uint8)
+    ((_, rows, lower, upper),) = va_file.scan_block(np.array([5000]), exact[:1], np.arange(2000), low, step, cells, 5)
+    scores = exact[rows] @ exact[0]
+    assert len(rows) < 400 and (lower <= scores).all() and (scores <= upper).all()
+    assert set(np.argsort(-(exact @ exact[0]))[:5]) <= set(rows)
 
 
 def test_multi_index_recall(spark):
@@ -71,7 +88,7 @@ def test_multi_index_recall(spark):
     found = {(r.query_id, r.vec_id): r.score for r in got.collect()}
     expected = list(brute(rows, 20, 20))
     hits = [(q, i) for q, _, i, _ in expected if (q, i) in found]
-    assert len(hits) >= 0.9 * len(expected) and len(found) == len(expected)
+    assert len(hits) >= 0.9 * len(expected) and got.count() == len(expected)
     assert all(found[q, i] == pytest.approx(s, abs=1e-12) for q, _, i, s in expected if (q, i) in found)
     everything = multi_index.search(frame, F.col("id") % 20 == 0, k=20, share=1.0)
     assert [r[:3] for r in rows_of(everything, "query_id", "rank", "vec_id")] == sorted((r[:3] for r in expected), key=repr)
