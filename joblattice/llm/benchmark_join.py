@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import Scratch, text_or_empty
+from joblattice.llm.common import Scratch, held, text_or_empty
 from joblattice.llm.quality import mixed
 
 WINDOW, SHINGLE = 10, 5
@@ -43,17 +43,24 @@ IN_WORD = np.zeros(256, bool)
 IN_WORD[ord("0") : ord("9") + 1] = IN_WORD[ord("a") : ord("z") + 1] = IN_WORD[0x80:] = True
 CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE, STEP = 0xD6E8FEB86659FD93, np.uint64(0xA0761D6478BD642F)
-# powers of the base and of its inverse modulo 2**64, for the places of a segment
-_POWERS: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            factors = np.full(max(n, SEGMENT), base, np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.cumprod(factors)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+class Powers:
+    """Powers of the base and of its inverse modulo 2**64, for the places of a segment."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (self._of(base, max(n, SEGMENT + 1)) for base in (BASE, pow(BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+    @staticmethod
+    def _of(base: int, n: int) -> np.ndarray:
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
 
 
 def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +72,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cut[bounds - bounds[0]] = cut[0] = cut[-1] = True
     starts = np.flatnonzero(inside & (cut[:-1] | ~np.r_[False, inside[:-1]]))
     ends = np.flatnonzero(inside & (cut[1:] | ~np.r_[inside[1:], False])) + 1
-    up, down = powers(len(data) + 1)
+    up, down = held(Powers).upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(CODES[data] * up[:-1], out=sums[1:])
     return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +14,35 @@ from pyspark.sql import functions as F
 from joblattice.session import scratch_dir
 
 
+_HELD: dict[tuple, Any] = {}
+
+
+def held(make: Callable[..., Any], *options: Any) -> Any:
+    """``make(*options)``, kept in this worker process as long as it runs tasks of one operator.
+
+    A worker lives through many operators of a session. What one of them has learnt of words goes
+    when another begins, so that a worker holds no more in a long pipeline than in one operator.
+    """
+    key = (make.__module__, make.__name__, *options)
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make(*options)
+    return _HELD[key]
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for reference cycles, which would walk all that an encoder keeps again and again."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor loses none of them."""
 

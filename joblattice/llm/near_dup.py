@@ -12,11 +12,9 @@ is at least ``similarity``.
 Texts of equal words are one node. A bucket of a band compares its nodes with a hub: the node
 whose buckets hold the most nodes, which in a family of edited copies is the text they stem
 from. Nodes without a link to the hub get a hub among themselves, ``rounds``
-times over. Last, in buckets that still hold several classes, every pair of nodes of two classes
-is compared unless one of two exact bounds rules the link out: the triangle inequality, which
-both distances obey, over the bucket's first hub, and the numbers of distinct runs. So no link
-between classes of a bucket is lost, however many ``rounds`` there are, and a class that
-its hubs hold together costs no comparison more. The chance that a pair at the threshold shares
+times over. Last, the nodes of buckets that still hold several classes are joined by the rare ones
+of their runs (``crossing``), which finds every link between two classes; a class that its hubs hold
+together costs no comparison more. The chance that a pair at the threshold shares
 no bucket is (1 - s**4)**24, about 3 in a million.
 
 Null texts and texts without words are alone in their class. Null ids take part; a class has
@@ -27,21 +25,19 @@ ignored by ``classes`` and kept by ``keep_first``. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import Scratch, connected_classes, text_or_empty
+from joblattice.llm.common import Scratch, connected_classes, held, text_or_empty
 from joblattice.llm.quality import mixed
 from joblattice.llm.tokens import slices
 
 WORDS = 5
 BANDS, ROWS, ROUNDS = 24, 4, 3
-BLOCK = 2000
 KEPT = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0xD6E8FEB86659FD93)
@@ -134,9 +130,8 @@ def similarity_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return float((1.0 / (above[cut] / x[both] + below[cut] / y[both])).sum()), plain
 
 
-@lru_cache(maxsize=2)
 def shingler(words: int) -> Shingler:
-    return Shingler(words)
+    return held(Shingler, words)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -226,35 +221,61 @@ def compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
         "a", "b", "runs_a", "counts_a", "runs_b", "counts_b").mapInArrow(run, "a binary, b binary, weighted double, plain double")
 
 
-def crossing(members: DataFrame, roots: DataFrame, measured: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """(a, b) of the nodes of two classes of a bucket that no exact bound rules out.
+def run_rows(lists: DataFrame) -> DataFrame:
+    """(digest, run, count) of each distinct run of the texts in ``lists``."""
 
-    ``measured(a, b, weighted, plain)`` holds each node of a bucket with the bucket's first hub.
-    The nodes outside a bucket's largest class meet all of its nodes, in blocks of ``BLOCK``.
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                for digest, runs, counts in zip(*(part.column(c).to_pylist() for c in ("digest", "runs", "counts"))):
+                    values = np.frombuffer(runs, "<u8").view(np.int64)
+                    often = np.ones(len(values), np.int32) if counts is None else np.frombuffer(counts, "<u4").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([digest] * len(values), pa.binary()), pa.array(values), pa.array(often)], names=["digest", "run", "count"])
+
+    return lists.mapInArrow(run, "digest binary, run long, count int")
+
+
+def crossing(members: DataFrame, roots: DataFrame, lists: DataFrame, measured: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """(a, b) of the nodes of two classes that may be linked, of all nodes in buckets with several classes.
+
+    A prefix-filtered join over the nodes' runs in order of rarity. Let s be the similarity, and u the share
+    of occurrences that lie in runs of one text only, added up over both texts. A plain Jaccard of s needs
+    s / (1 + s) of both numbers of runs in common. A probability Jaccard of s needs a total variation v of 1 - s at
+    most, and is 1 - u / (1 + v) at most, so it needs a u of (1 - s) (2 - s) at most. What comes before the
+    first common run is not common, so that run lies in both texts' prefixes, its place leaves room for the
+    rest, and in one of the two it comes within half of what may be missing (it is early there). Early rows
+    meet all rows of their run; no pair that reaches the similarity is lost.
     """
-    rows = members.select("band", "digest", "size", "repeats", "hub").join(
-        roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
+    missing, apart = (1 - similarity) * (2 - similarity) + 1e-9, (1 - similarity) / (1 + similarity) + 1e-9
+    rows = members.select("band", "digest", "size", "repeats").join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
     rows = rows.withColumn("root", F.coalesce("root", "digest"))
-    held = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = held.groupBy("band").agg(F.count(F.lit(1)).alias("n_roots"), F.sum("n").alias("n_nodes"), F.max(F.struct("n", "root"))["root"].alias("main"))
-    several = several.filter("n_roots > 1").select("band", "main", F.ceil(F.col("n_nodes") / BLOCK).cast("int").alias("blocks"))
-    to_hub = measured.union(measured.select(F.col("b").alias("a"), F.col("a").alias("b"), "weighted", "plain")).toDF(
-        "digest", "hub", "weighted", "plain")
-    rows = scratch.table("classed", rows.join(several, "band").join(to_hub, ["digest", "hub"], "left").select(
-        "band", "digest", "root", "main", "blocks", "size", "repeats",
-        # the hub itself is not in ``measured``
-        F.coalesce("weighted", F.lit(1.0)).alias("weighted"), F.coalesce("plain", F.lit(1.0)).alias("plain")))
-    outside = rows.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    x, y, room = outside.alias("x"), inside.alias("y"), 1.0 - similarity + 1e-9
-    near = {c: F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= room for c in ("weighted", "plain")}
+    several = rows.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("band")
+    nodes = scratch.table("classed", rows.join(several, "band", "left_semi").select("digest", "size", "repeats", "root").distinct())
+    runs = scratch.table("runs", run_rows(lists.join(nodes.select("digest"), "digest", "left_semi")))
+    rarity = runs.groupBy("run").agg(F.count(F.lit(1)).alias("often"))
+    ordered = Window.partitionBy("digest").orderBy("often", "run")
+    placed = runs.join(rarity, "run").withColumns({
+        "before": F.row_number().over(ordered) - 1,
+        "mass": F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
+        "total": F.sum("count").over(Window.partitionBy("digest")),
+    }).withColumn("share", F.coalesce("mass", F.lit(0)) / F.col("total"))
+    prefix = placed.join(nodes, "digest").filter(
+        (F.col("often") > 1) & ((F.col("before") <= (1 - similarity + 1e-9) * F.col("size")) | (F.col("share") <= missing)))
+    prefix = scratch.table("prefixes", prefix.select(
+        "run", "digest", "root", "size", "repeats", "before", "share",
+        ((F.col("before") <= apart * F.col("size")) | (F.col("share") <= missing / 2)).alias("early")))
+    met = prefix.groupBy("run").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("run")
+    mixed_ = prefix.join(met, "run", "left_semi")
+    x, y = mixed_.filter("early").alias("x"), mixed_.alias("y")
     fits = F.least("x.size", "y.size") >= (similarity - 1e-9) * F.greatest("x.size", "y.size")
+    left = F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
+    plain = fits & (left >= (similarity / (1 + similarity) - 1e-9) * (F.col("x.size") + F.col("y.size")))
     # without repeated runs both similarities are one
-    possible = (near["plain"] & fits) | (near["weighted"] & (F.col("x.repeats") | F.col("y.repeats")))
-    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.digest") < F.col("y.digest"))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block"))
-                 & (F.col("x.root") != F.col("y.root")) & once & possible)
-    pairs = met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+    weighted = (F.col("x.repeats") | F.col("y.repeats")) & (F.col("x.share") + F.col("y.share") <= missing)
+    once = ~F.col("y.early") | (F.col("x.digest") < F.col("y.digest"))
+    found = x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.root") != F.col("y.root")) & once & (plain | weighted))
+    pairs = found.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
     return pairs.join(measured, ["a", "b"], "left_anti")
 
 
@@ -292,7 +313,7 @@ def links_of(
             waiting = scratch.table(f"waiting{number}", left.join(several, "band", "left_semi"))
     links = measured.filter(linked).select("a", "b")
     roots = scratch.table("roots0", connected_classes(links, scratch))
-    last = scratch.table("last", compared(scratch.table("crossing", crossing(members, roots, measured, scratch, similarity)), lists))
+    last = scratch.table("last", compared(scratch.table("crossing", crossing(members, roots, lists, measured, scratch, similarity)), lists))
     return links.union(last.filter(linked).select("a", "b"))
 
 
@@ -301,7 +322,7 @@ def _classed(docs, id_col, text_col, words, bands, rows, similarity, rounds):
     found = scratch.table("features", features(docs, id_col, text_col, words, bands, rows))
     links = scratch.table("links", links_of(docs, found, scratch, id_col, text_col, words, similarity, rounds))
     roots = scratch.table("roots", connected_classes(links, scratch))
-    scratch.drop("lists", "roots0", "classed", "crossing", "last", *(
+    scratch.drop("lists", "roots0", "classed", "runs", "prefixes", "crossing", "last", *(
         f"{n}{i}" for i in range(max(1, rounds) + 1) for n in ("waiting", "members", "fresh")))
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("n_found_links"))
     nodes = found.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(

@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import text_or_empty
+from joblattice.llm.common import held, text_or_empty
 from joblattice.llm.tokens import slices
 
 BITS = 18
@@ -93,9 +92,8 @@ class Featurizer:
         return np.unique(mixed(np.concatenate(grams)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
 def featurizer() -> Featurizer:
-    return Featurizer()
+    return held(Featurizer)
 
 
 @dataclass(frozen=True)
@@ -217,7 +215,6 @@ def train(
 
     rows = chosen.select("id", "label", "text").mapInArrow(features, "id long, label int, features binary")
     # one task: the sample is bounded, and so is the model that comes back
-    # one task: the sample is bounded, and so is the model that comes back
     found = rows.repartition(1).mapInArrow(fitted, "weights binary, scales binary").first()
     if found is None:  # not a row to learn from
         return fit([], np.zeros(0))

@@ -26,7 +26,6 @@ and text.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import Scratch, text_or_empty
+from joblattice.llm.common import Scratch, held, text_or_empty
 from joblattice.llm.quality import mixed
 
 WINDOW, STARTS, PART = 400, 256, 16
@@ -75,9 +74,8 @@ class Powers:
         return out
 
 
-@lru_cache(maxsize=1)
 def powers() -> Powers:
-    return Powers()
+    return held(Powers)
 
 
 class Prefixes:
