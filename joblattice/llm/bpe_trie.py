@@ -13,19 +13,19 @@ ignored. Very long texts are read whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import text_or_empty
+from joblattice.llm.common import held, text_or_empty, uncollected
 from joblattice.llm.tokens import ODD_SPACES, slices
 
 END = "</w>"
@@ -54,34 +54,66 @@ class Vocabulary:
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.longest = max(len(t.removesuffix(END)) for t in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # for each token, which tokens have stood in front of it or could not
+        self.pairs: dict[str, dict[str, bool]] = {token: {} for token in self.ids}
+        self.traces: dict[str, tuple[list[int], list[str], list[str]] | None] = {}
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        known, none = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            ranks = [known.get(pair, none) for pair in zip(symbols, symbols[1:])]
-            least = min(ranks)
-            if least == none:
-                break
-            at = ranks.index(least)
-            symbols = symbols[:at] + [symbols[at] + symbols[at + 1]] + symbols[at + 2 :]
-        return symbols
-
     @staticmethod
     def symbols(token: str) -> list[str]:
         body = token.removesuffix(END)
         return [*body[:-1], body[-1:] + END] if token != body and body else list(body or token)
 
+    def trace(self, token: str) -> tuple[list[int], list[str], list[str]] | None:
+        """The ranks of the merges that make a token of its symbols, in order, and its first and last
+        symbol before each of them and at the end; None if its symbols don't become the token."""
+        if token not in self.traces:
+            known, none, symbols = self.ranks, len(self.ranks), self.symbols(token)
+            ranks, firsts, lasts = [], [symbols[0]], [symbols[-1]]
+            while len(symbols) > 1:
+                open_pairs = [known.get(pair, none) for pair in zip(symbols, symbols[1:])]
+                least = min(open_pairs)
+                if least == none:
+                    break
+                at = open_pairs.index(least)
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                ranks.append(least)
+                firsts.append(symbols[0])
+                lasts.append(symbols[-1])
+            self.traces[token] = (ranks + [none], firsts, lasts) if symbols == [token] else None
+        return self.traces[token]
+
     def stand_together(self, left: str, right: str) -> bool:
-        """Whether ``left right`` is an encoding; an empty left asks for ``right`` alone."""
-        known = self.pairs.get((left, right))
+        """Whether ``left right`` is an encoding; an empty left asks for ``right`` alone.
+
+        Both tokens are merged side by side, the lower rank first and of equal ranks the left one, as
+        long as the symbols at their border are not due to be merged before.
+        """
+        known = self.pairs[right].get(left)
         if known is None:
-            symbols = [*self.symbols(left), *self.symbols(right)] if left else self.symbols(right)
-            known = self.merged(symbols) == ([left, right] if left else [right])
-            self.pairs[left, right] = known
+            known = self.pairs[right][left] = self._border_holds(left, right)
         return known
 
+    def _border_holds(self, left: str, right: str) -> bool:
+        after = self.trace(right)
+        before = self.trace(left) if left else None
+        if after is None or left and before is None:
+            return False
+        if not left:
+            return True
+        (left_ranks, _, lasts), (right_ranks, firsts, _) = before, after
+        ranks, none, i, j = self.ranks, len(self.ranks), 0, 0
+        while True:
+            border, a, b = ranks.get((lasts[i], firsts[j]), none), left_ranks[i], right_ranks[j]
+            if border < a and border <= b and border < none:
+                return False
+            if a == b == none:
+                return True
+            if a <= b:
+                i += 1
+            else:
+                j += 1
+
 
 class Node:
     __slots__ = ("children", "last", "before")
@@ -100,14 +132,15 @@ class WordTrie:
 
     def _child(self, path: list[Node], prefix: str, tail: str) -> Node:
         """The node one symbol below ``path[-1]``; ``prefix`` is its text, ``tail`` the end mark or nothing."""
-        vocabulary, depth = self.vocabulary, len(prefix)
-        ids, pairs = vocabulary.ids, vocabulary.pairs
-        for start in range(max(0, depth - vocabulary.longest), depth):
-            token = prefix[start:] + tail
-            if token in ids:
+        pairs = self.vocabulary.pairs.get
+        text, depth = prefix + tail, len(prefix)
+        for start in range(max(0, depth - self.vocabulary.longest), depth):
+            token = text[start:]
+            known = pairs(token)
+            if known is not None:
                 before = path[start]
-                together = pairs.get((before.last, token))
-                if together or together is None and vocabulary.stand_together(before.last, token):
+                together = known.get(before.last)
+                if together or together is None and self.vocabulary.stand_together(before.last, token):
                     return Node(token, before)
         raise ValueError(f"no encoding of {prefix!r}")
 
@@ -115,27 +148,29 @@ class WordTrie:
         """Tokens of each distinct word, walked depth first."""
         if self.size > self.kept:
             self.root, self.size = Node(), 0
-        out, path, previous = {}, [self.root], ""
+            gc.collect()  # nodes know those above and below
+        out, path, previous, child = {}, [self.root], "", self._child
         for word in sorted(set(words)):
-            shared = 0
-            for a, b in zip(previous[:-1], word[:-1]):
-                if a != b:
-                    break
+            shared, last = 0, len(word) - 1
+            while shared < last and shared < len(path) - 1 and previous[shared] == word[shared]:
                 shared += 1
             del path[shared + 1 :]
-            for depth in range(shared + 1, len(word)):
-                node = path[-1].children.get(word[depth - 1])
-                if node is None:
-                    node = self._child(path, word[:depth], "")
-                    path[-1].children[word[depth - 1]] = node
+            node = path[-1]
+            for depth in range(shared, last):
+                following = node.children.get(word[depth])
+                if following is None:
+                    following = child(path, word[: depth + 1], "")
+                    node.children[word[depth]] = following
                     self.size += 1
-                path.append(node)
-            leaf = self._child(path, word, END)  # the end of a word, which no other word shares
-            tokens, node = [], leaf
+                path.append(following)
+                node = following
+            node = child(path, word, END)  # the end of a word, which no other word shares
+            tokens = []
             while node.before is not None:
                 tokens.append(node.last)
                 node = node.before
-            out[word] = tokens[::-1]
+            tokens.reverse()
+            out[word] = tokens
             previous = word
         return out
 
@@ -174,12 +209,15 @@ class TrieEncoder:
 
     def _learn(self, pieces: Iterable[str]) -> None:
         known, words, special = self.known, self.words, self.vocabulary.special
-        split = {p: self._split(p) for p in pieces}
         for mark, number in special.items():
             words[mark] = (1, str(number), mark)
-        ids = self.vocabulary.texts
-        for word, tokens in self.trie.encode(w for own in split.values() for w in own if w not in words).items():
-            words[word] = (len(tokens), " ".join([ids[t] for t in tokens]), " ".join(tokens))
+        plain = {p: p.lower() for p in pieces if p.isascii() and p.isalpha()}
+        split = {p: self._split(p) for p in pieces if p not in plain}
+        ids = self.vocabulary.texts.__getitem__
+        fresh = set(plain.values()).union(*split.values()) - words.keys()
+        for word, tokens in self.trie.encode(fresh).items():
+            words[word] = (len(tokens), " ".join(map(ids, tokens)), " ".join(tokens))
+        known.update(zip(plain, map(words.__getitem__, plain.values())))
         for piece, own in split.items():
             if len(own) == 1:
                 known[piece] = words[own[0]]
@@ -193,21 +231,20 @@ class TrieEncoder:
             self.known.clear()
             self.words.clear()
         cut = [[t] if any(c in t for c in ODD_SPACES) else t.split() for t in texts]
-        self._learn({p for pieces in cut for p in pieces if p not in self.known})
+        self._learn(set().union(*cut) - self.known.keys())
         for pieces in cut:
-            found = list(map(self.known.__getitem__, pieces))
-            if not found:
+            if not pieces:
                 yield 0, "", ""
                 continue
-            counts, ids, tokens = zip(*found)
+            counts, ids, tokens = zip(*map(self.known.__getitem__, pieces))
             if 0 in counts:  # a text of odd spaces alone has no tokens
+                found = map(self.known.__getitem__, pieces)
                 counts, ids, tokens = zip(*[f for f in found if f[0]] or [(0, "", "")])
             yield sum(counts), " ".join(ids), " ".join(tokens)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TrieEncoder:
-    return TrieEncoder(path)
+    return held(TrieEncoder, path)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,6 +253,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         own = encoder(vocabulary)
+        with uncollected():
+            yield from encoded(own, batches)
+
+    def encoded(own, batches):
         for batch in batches:
             for part in slices(batch):
                 keys, texts = part.column(0), part.column(1).to_pylist()
@@ -234,6 +275,10 @@ def encoded_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
 
     def run(batches):
         own = encoder(vocabulary)
+        with uncollected():
+            yield from digested(own, batches)
+
+    def digested(own, batches):
         for batch in batches:
             for part in slices(batch):
                 rows = list(own.encode(part.column(1).to_pylist()))

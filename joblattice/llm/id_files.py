@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import Scratch, text_or_empty
+from joblattice.llm.common import Scratch, text_or_empty, uncollected
 from joblattice.llm.tokens import encoder, slices
 
 CHUNK = 1 << 16
@@ -139,7 +139,12 @@ def write_ids(
     end = np.asarray([end_id], "<u4").tobytes()
 
     def write(batches):
-        own, task = encoder(vocabulary, keeps_space), TaskContext.get()
+        own = encoder(vocabulary, keeps_space)
+        with uncollected():
+            yield from written(own, batches)
+
+    def written(own, batches):
+        task = TaskContext.get()
         store, base = pafs.FileSystem.from_uri(folder)
         number, writer, total = task.partitionId(), None, 0
         final = f"{base}/ids-{number:06d}.bin"

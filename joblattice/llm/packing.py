@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblattice.llm.common import Scratch, text_or_empty
+from joblattice.llm.common import Scratch, text_or_empty, uncollected
 from joblattice.llm.tokens import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -85,6 +85,10 @@ def token_pieces(
 
     def run(batches):
         own = encoder(vocabulary, keeps_space)
+        with uncollected():
+            yield from cut_pieces(own, batches)
+
+    def cut_pieces(own, batches):
         for batch in batches:
             for part in slices(batch):
                 rows = []

@@ -8,11 +8,14 @@ and changes no result.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import os
+from itertools import accumulate, chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from joblattice.llm.common import held
+
 KEPT = 1_000_000
 # Control characters that str.split() takes for white space and the vocabularies don't.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -22,6 +25,7 @@ MARKS = ",.;:!?*#%&$()[]{}-_/|+=~^@"
 
 
 def load(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -48,49 +52,46 @@ class PieceEncoder:
             return None if any(c in text for c in ODD_SPACES) else text.split()
         return None if "\0" in text else text.replace(" ", "\0 ").split("\0")
 
+    def _learn(self, fresh: set[str]) -> None:
+        """Encode pieces; letters and the marks after them apart, so "word" serves "word," and "word!!"."""
+        known, cut, names = self.known, {}, set()
+        for piece in fresh:
+            body = piece.rstrip(MARKS)
+            if body.lstrip(" ").isalpha():
+                # a vocabulary without white space has lower case alone
+                head = body if self.keeps_space or not body.isascii() else body.lower()
+                cut[piece] = head, piece[len(body) :]
+                names.update(cut[piece])
+            else:
+                names.add(piece)
+        names = list(names - known.keys())
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        content = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, found))]
+        known.update(zip(names, map(content.__getitem__, map(slice, [0, *ends], ends))))
+        for piece, (head, marks) in cut.items():
+            known[piece] = known[head] + known[marks] if marks else known[head]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.kept:
             self.known.clear()
-        known, out, fresh = self.known, [], {}
-        known[""] = b""
-        for text in texts:
-            pieces = self._pieces(text)
-            found = [known.get(p) for p in pieces] if pieces is not None else None
-            if found is not None and None in found:
-                missing = [p for p, f in zip(pieces, found) if f is None]
-                # A piece that ends with white space runs on into the next piece.
-                if self.keeps_space and any(p[-1:].isspace() for p in missing):
-                    found = None
-                else:
-                    fresh.update(dict.fromkeys(missing))
-                    found = pieces
-            out.append(self._whole(text) if found is None else found)
-        if fresh:
-            # letters and the marks after them are apart, so "word" serves "word," and "word!!"
-            cut, names = {}, set()
-            for piece in fresh:
-                body = piece.rstrip(MARKS)
-                if body.lstrip(" ").isalpha():
-                    # a vocabulary without white space has lower case alone
-                    head = body if self.keeps_space or not body.isascii() else body.lower()
-                    cut[piece] = head, piece[len(body) :]
-                    names.update(cut[piece])
-                else:
-                    names.add(piece)
-            names = [n for n in names if n not in known]
-            for name, encoding in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
-                known[name] = np.asarray(encoding.ids, "<u4").tobytes()
-            for piece, (head, marks) in cut.items():
-                known[piece] = known[head] + known[marks] if marks else known[head]
+        self.known[""] = b""
+        split = list(map(self._pieces, texts))
+        fresh = set().union(*(pieces for pieces in split if pieces is not None)) - self.known.keys()
+        # a piece that ends with white space runs on into the next piece
+        running = {p for p in fresh if p[-1:].isspace()} if self.keeps_space else set()
+        if fresh - running:
+            self._learn(fresh - running)
+        known = self.known.__getitem__
         return [
-            o if isinstance(o, bytes) else b"".join([known[p] if isinstance(p, str) else p for p in o]) for o in out
+            self._whole(text) if pieces is None or running and not running.isdisjoint(pieces) else b"".join(map(known, pieces))
+            for text, pieces in zip(texts, split)
         ]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
-    """One encoder per worker and vocabulary; it lives as long as the worker."""
-    return PieceEncoder(path, keeps_space)
+    """One encoder per worker and vocabulary."""
+    return held(PieceEncoder, path, keeps_space)
 
 
 def slices(batch, size: int = 256):
