@@ -256,6 +256,10 @@ FROM enriched""",
 SELECT id, round(1 - list_cosine_similarity(x, m), 6) AS distance FROM v, q
 ORDER BY round(1 - list_cosine_similarity(x, m), 12), id LIMIT 15""",
     "rank_per_question": f"WITH {LABEL_MEANS} SELECT question_id, id, round(d, 6) AS distance, rank::INTEGER AS rank FROM best",
+    "rank_many_questions": f"""WITH {VECTORS}, ranked AS (
+  SELECT question_id, id, d, row_number() OVER (PARTITION BY question_id ORDER BY round(d, 12), id) AS rank
+  FROM (SELECT q.id AS question_id, v.id, 1 - list_cosine_similarity(v.x, q.x) AS d FROM v q, v WHERE q.id % 10 = 0 AND q.id % 70 <> 0))
+SELECT question_id, id, round(d, 6) AS distance, rank::INTEGER AS rank FROM ranked WHERE rank <= 7""",
     "cosine_distance": f"""WITH {LABEL_MEANS} SELECT id AS vec_id, round(1 - list_cosine_similarity(x, m), 6) AS distance
 FROM v JOIN q ON v.label = q.question_id""",
     "hash_embed": """WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), counts AS (
@@ -339,6 +343,9 @@ FROM pages""",
     trim(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'job') || '-' || doc_id END AS url,
   line AS title, src AS company, 'new' AS posted_at, md5(line) AS digest
 FROM lines WHERE lang <> 'fr' AND {matches('line', 'e')}""",
+    "union_sources": f"""WITH {LINES}, kept AS (SELECT doc_id FROM lines WHERE {OF_THE})
+SELECT s.source, count(*) AS fetched, count(DISTINCT doc_id) AS n_payloads
+FROM kept, (SELECT unnest(['arbeitnow', 'ashby', 'greenhouse', 'himalayas', 'lever']) AS source) s GROUP BY s.source""",
     "himalayas_next": """SELECT 'himalayas' AS source, doc_id AS seq, 2 AS page, 'https://himalayas.app/jobs/api?limit=20&offset=40' AS url
 FROM documents WHERE len(string_split(text, chr(10))) > 40""",
     "sitemap_urls": f"""WITH {SITEMAP} SELECT 'any' AS source, seq, place::INTEGER AS pos, url || CASE page_id % 4
@@ -448,7 +455,7 @@ _PAGES_OF_ALL = [
     _counted("ddg", f"CASE WHEN recorded THEN 'Found of the ' || page_id ELSE {stripped('page_title')} END", "''", "ld_text", "''", "''",
              "true", "0", "matched", with_cte=_DDG_PARTS),
 ]
-ORACLES["union_sources"] = f"""WITH {LINES}, jobs AS (
+ORACLES["union_all_sources"] = f"""WITH {LINES}, jobs AS (
   SELECT unnest(['arbeitnow', 'ashby', 'greenhouse', 'himalayas']) AS source, doc_id, line, {LINE_TEXT} AS description FROM lines WHERE {OF_THE}
   UNION ALL SELECT 'lever', doc_id, line, {collapsed("line || ' ' || line || ' end'")} FROM lines WHERE {OF_THE}), summed AS (
   SELECT source, count(*) AS fetched, count(*) AS matched, count(DISTINCT doc_id) AS n_payloads, sum(length(line)) AS title_chars,

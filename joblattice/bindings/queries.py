@@ -612,6 +612,14 @@ def rank_per_question(spark, sf_dir):
     return ranked.withColumn("distance", F.round("distance", 6))
 
 
+def rank_many_questions(spark, sf_dir):
+    """Every tenth vector as a question, some of them without a vector."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 10 = 0").select(
+        F.col("vec_id").alias("question_id"), F.when(F.col("vec_id") % 70 != 0, F.col("embedding")).alias("embedding"))
+    ranked = search.rank_per_question(asked, _vector_listings(spark, sf_dir), k=7)
+    return ranked.withColumn("distance", F.round("distance", 6))
+
+
 def cosine_distance(spark, sf_dir):
     """Distance of every vector to the mean of its label, as a Column expression."""
     means = _mean_vectors(_vector_listings(spark, sf_dir), "label").withColumnRenamed("embedding", "mean")
@@ -984,6 +992,19 @@ def _captures_of_all(spark, sf_dir) -> DataFrame:
     return union_sources(parts + _search_captures(spark, sf_dir)).withColumn("fetched_at", F.lit(None).cast("timestamp"))
 
 
+def union_feeds(spark, sf_dir):
+    rows = union_sources(
+        [
+            feeds.feed_arbeitnow(_arbeitnow_captures(spark, sf_dir), ROLE),
+            feeds.feed_ashby(_ashby_captures(spark, sf_dir), ROLE),
+            feeds.feed_greenhouse(_greenhouse_captures(spark, sf_dir), ROLE),
+            feeds.feed_himalayas(_himalayas_captures(spark, sf_dir), ROLE),
+            feeds.feed_lever(_lever_captures(spark, sf_dir), ROLE),
+        ]
+    )
+    return rows.groupBy("source").agg(F.sum("fetched").alias("fetched"), F.countDistinct("seq").alias("n_payloads"))
+
+
 def union_all_sources(spark, sf_dir):
     """All twelve adapters over one stored table of captures, with the counts of each source."""
     base = _fresh_root(spark, "captures")
@@ -1179,6 +1200,7 @@ QUERIES: dict[str, Query] = {
     "age_label": age_label,
     "similarity_topk": similarity_topk,
     "rank_per_question": rank_per_question,
+    "rank_many_questions": rank_many_questions,
     "cosine_distance": cosine_distance,
     "hash_embed": hash_embed_documents,
     "retrieve": retrieve,
@@ -1204,7 +1226,8 @@ QUERIES: dict[str, Query] = {
     "feed_himalayas": feed_himalayas,
     "feed_lever": feed_lever,
     "feed_foundit_search": feed_foundit_search,
-    "union_sources": union_all_sources,
+    "union_sources": union_feeds,
+    "union_all_sources": union_all_sources,
     "himalayas_next": himalayas_next,
     "sitemap_urls": sitemap_urls,
     "sitemap_distinct": sitemap_distinct,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -105,29 +104,35 @@ class ModelUnavailable(Exception):
     """Raise it from a model function for a transport failure: the dictionary rule applies."""
 
 
-_REPLY = T.StructType(
-    [
-        T.StructField("skills", T.ArrayType(T.StringType())),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("problem", T.StringType()),
-    ]
-)
-
-
-def _read_reply(reply: str) -> tuple:
-    data = json.loads(reply)
-    named = [str(skill).strip() for skill in data.get("skills", [])]
-    return [skill for skill in named if skill], float(data.get("confidence", 0.0)), None
+_REPLY = T.StructType([T.StructField("text", T.StringType()), T.StructField("problem", T.StringType())])
 
 
-def _outcome(produce: Callable[[], str]) -> tuple | None:
-    """Parsed reply; None where the dictionary rule has to step in."""
+def _outcome(produce: Callable[[], str]) -> tuple[str | None, str | None]:
+    """The reply's text, or the problem in its place; neither where the dictionary rule has to step in."""
     try:
-        return _read_reply(produce())
+        return produce(), None
     except (ModelUnavailable, KeyError, ValueError):
-        return None
+        return None, None
     except Exception as problem:  # any other failure is recorded and scores zero
-        return [], 0.0, str(problem)
+        return None, str(problem)
+
+
+def with_reply(rows: DataFrame) -> DataFrame:
+    """Add ``_skills`` and ``_confidence`` read from the JSON object in ``_reply.text``.
+
+    Both are null where the reply is no object, its skills no list or its confidence no number;
+    what the object leaves out is an empty list or zero.
+    """
+    parsed = rows.withColumn("_parsed", F.try_parse_json("_reply.text"))
+
+    def part(path: str, kind: str) -> Column:
+        return F.try_variant_get("_parsed", path, kind)
+
+    names = F.transform(part("$.skills", "array<variant>"), lambda skill: F.btrim(F.try_variant_get(skill, "$", "string")))
+    listed = F.when(part("$.skills", "variant").isNull(), F.array().cast("array<string>")).otherwise(F.filter(names, lambda n: n != ""))
+    number = F.when(part("$.confidence", "variant").isNull(), F.lit(0.0)).otherwise(part("$.confidence", "double"))
+    usable = part("$", "map<string,variant>").isNotNull() & listed.isNotNull() & number.isNotNull()
+    return computed_once(parsed, _skills=F.when(usable, listed), _confidence=F.when(usable, number)).drop("_parsed")
 
 
 def replies_in_batches(
@@ -168,26 +173,26 @@ def enrich_with(
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for texts in batches:
-            outcomes = [
-                _outcome(produce)
-                for produce in replies_in_batches(texts.fillna("").tolist(), model, batch_size)
-            ]
-            blank = (None, None, None)
             yield pd.DataFrame(
-                [outcome or blank for outcome in outcomes], columns=_REPLY.fieldNames()
+                [_outcome(p) for p in replies_in_batches(texts.fillna("").tolist(), model, batch_size)],
+                columns=_REPLY.fieldNames(),
             )
 
     described = F.col("description")
-    by_rule = extract_skills(described, skills)
-    asked = rows.withColumn("_reply", ask(described))
-    unanswered = F.col("_reply.skills").isNull()
+    failed = F.col("_reply.problem").isNotNull()
+    no_skills = F.array().cast("array<string>")
+    asked = with_reply(rows.withColumn("_reply", ask(described)))
+    unanswered = ~failed & F.col("_skills").isNull()
     return (
-        asked.withColumn("skills", F.when(unanswered, by_rule).otherwise(F.col("_reply.skills")))
+        asked.withColumn(
+            "skills",
+            F.when(failed, no_skills).when(unanswered, extract_skills(described, skills)).otherwise(F.col("_skills")),
+        )
         .withColumn(
             "confidence",
-            F.when(unanswered, score_confidence(F.col("skills"), described, role_words)).otherwise(
-                F.col("_reply.confidence")
-            ),
+            F.when(failed, F.lit(0.0))
+            .when(unanswered, score_confidence(F.col("skills"), described, role_words))
+            .otherwise(F.col("_confidence")),
         )
         .withColumn(
             "error",
@@ -198,5 +203,5 @@ def enrich_with(
                 ),
             ),
         )
-        .drop("_reply")
+        .drop("_reply", "_skills", "_confidence")
     )

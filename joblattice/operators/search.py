@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 
 TOP_K = 15
+PARTS_OF_RANK = 16
 # Distances this close count as equal, so that equal vectors tie and the id decides.
 DISTANCE_DIGITS = 12
 _CHUNK = 256
@@ -134,13 +135,13 @@ def rank_per_question(
     """The k nearest listings of every question: question_id, id, distance, rank.
 
     Listings and questions are packed into blocks. The blocks of listings are dealt to
-    ``groups`` groups (the session's shuffle partitions by default), and every block of
-    questions goes to each group, where a task multiplies block with block and keeps k rows
-    per question. Those rows are ranked in each task first, so a question's rows of all tasks
-    number ``groups * k``. The result is lazy and nothing passes through the driver.
+    ``groups`` groups, and every block of questions goes to each group, where a task multiplies
+    block with block and keeps k rows per question. There are about as many groups as blocks by
+    default, so a task's share doesn't grow with the listings, which are counted for that. The
+    kept rows are ranked in ``PARTS_OF_RANK`` parts of a question and then over these. Nothing
+    passes through the driver.
     """
-    spark = listings.sparkSession
-    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups or max(1, -(-listings.count() // listing_rows))
     question_type, id_type = questions.schema["question_id"].dataType, listings.schema["id"].dataType
     blocks = _packed(listings, "id", ("ids", "vectors", "width"), listing_rows)
     blocks = blocks.withColumn("group", F.pmod(F.xxhash64("vectors"), F.lit(groups)).cast("int"))
@@ -173,8 +174,12 @@ def rank_per_question(
         "question_ids", "questions", "question_width", "ids", "vectors", "width")
     found = met.mapInArrow(
         search, f"question_id {question_type.simpleString()}, id {id_type.simpleString()}, distance double")
-    window = Window.partitionBy("question_id").orderBy(F.asc_nulls_last("distance"), "id")
-    return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    order = [F.asc_nulls_last("distance"), F.col("id")]
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS_OF_RANK))
+    within = Window.partitionBy("question_id", part).orderBy(*order)
+    parts = found.withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= k).drop("_rank")
+    window = Window.partitionBy("question_id").orderBy(*order)
+    return parts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
 def similarity_topk(listings: DataFrame, vector: Sequence[float], k: int = TOP_K) -> DataFrame:

@@ -170,10 +170,10 @@ def ingest_batch(
             "storable": F.coalesce("_storable", F.lit(0)), "errors": F.coalesce("_errors", F.lit(0)), "first": F.col("_first"),
         }).drop("_storable", "_errors", "_first")
     ledger = _staged(ledger, f"{scratch}/ledger")
-    chosen = ledger.filter("storable > 0 and not known").select(F.col("first").alias("row"))
-    new = embedded(rows.join(chosen, "row", "left_semi"), embedder or default_embedder())
+    chosen = ledger.filter("storable > 0 and not known").select("id", F.col("first").alias("row"))
+    new = embedded(rows.join(chosen.select("row"), "row", "left_semi"), embedder or default_embedder())
     new = new.withColumn("ingested_at", F.current_timestamp()).select(*LISTING_COLUMNS)
-    tables.write_listings(new, root, batch_id)
+    tables.write_listings(new, root, batch_id, chosen)
 
     errors = rows.filter(F.col("error").isNotNull()).select(
         F.lit(run_id).alias("run_id"), "source", "error"

@@ -82,6 +82,11 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.mkdirs(target)
+
+
 def rename_folder(spark: SparkSession, path: str, new: str) -> None:
     """Give a folder another name; nothing where it is gone (renamed before)."""
     system, source = _file_system(spark, path)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from joblattice.operators.runs import latest_run
 from joblattice.schema import CAPTURE_SCHEMA, LISTING_COLUMNS, LISTING_SCHEMA, RUN_ERROR_SCHEMA, RUN_LOG_SCHEMA
-from joblattice.session import delete_folder, folder_bytes, folders, rename_folder
+from joblattice.session import delete_folder, folder_bytes, folders, make_folder, rename_folder
 
 TABLES = {
     "listings": LISTING_SCHEMA,
@@ -27,10 +27,9 @@ TABLES = {
     "run_errors": RUN_ERROR_SCHEMA,
 }
 # Part of the stored format.
-KEY_BUCKETS = 64
+KEY_BUCKETS = 32
 FILE_BYTES = 128 << 20
 _BATCH, _BUCKET = T.StructField("batch_id", T.StringType(), False), T.StructField("bucket", T.IntegerType())
-_NO_BATCH = "none"
 
 
 def table_path(root: str, table: str) -> str:
@@ -43,17 +42,17 @@ def _batch_path(root: str, table: str, batch_id: str) -> str:
 
 def batches(spark: SparkSession, root: str, table: str) -> list[str]:
     """The batches in a table, the one written last at the end."""
-    names = [name.removeprefix("batch_id=") for name in folders(spark, table_path(root, table)) if name.startswith("batch_id=")]
-    return [name for name in names if name != _NO_BATCH]
+    names = folders(spark, table_path(root, table))
+    return [name.removeprefix("batch_id=") for name in names if name.startswith("batch_id=")]
 
 
 def ensure_tables(spark: SparkSession, root: str) -> None:
-    """Create the tables that do not exist yet, empty and typed, and end a broken-off compaction."""
-    for table, schema in TABLES.items():
-        if not folders(spark, table_path(root, table)):
-            empty = spark.createDataFrame([], schema)
-            folder = _batch_path(root, table, _NO_BATCH)
-            empty.write.mode("ignore").parquet(f"{folder}/bucket=0" if table == "listing_keys" else folder)
+    """Create the tables that do not exist yet, and end a broken-off compaction.
+
+    An empty table is an empty folder: every read states its schema.
+    """
+    for table in TABLES:
+        make_folder(spark, table_path(root, table))
     for name in folders(spark, f"{root.rstrip('/')}/_compactions"):
         if name.startswith("open-"):
             _finish_compaction(spark, root, name.removeprefix("open-"))
@@ -73,12 +72,13 @@ def key_bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
 
 
-def write_listings(listings: DataFrame, root: str, batch_id: str) -> None:
-    """Write a batch of listings, then the table of its ids."""
+def write_listings(listings: DataFrame, root: str, batch_id: str, ids: DataFrame | None = None) -> None:
+    """Write a batch of listings, then the table of its ids (``ids``, or read back)."""
     spark = listings.sparkSession
     write_batch(listings, root, "listings", batch_id)
-    written = spark.read.schema(LISTING_SCHEMA).parquet(_batch_path(root, "listings", batch_id))
-    _write_keys(written.select("id"), _batch_path(root, "listing_keys", batch_id))
+    if ids is None:
+        ids = spark.read.schema(LISTING_SCHEMA).parquet(_batch_path(root, "listings", batch_id))
+    _write_keys(ids.select("id"), _batch_path(root, "listing_keys", batch_id))
 
 
 def _write_keys(ids: DataFrame, path: str) -> None:
