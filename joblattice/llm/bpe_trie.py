@@ -119,14 +119,14 @@ class Node:
     __slots__ = ("children", "last", "before")
 
     def __init__(self, last: str = "", before: Node | None = None):
-        self.children: dict[str, Node] = {}
+        self.children: dict[str, Node] | None = None
         self.last, self.before = last, before  # the last token, and the node in front of it
 
 
 class WordTrie:
     """Encodings of words; ``kept`` nodes at most are held between two batches."""
 
-    def __init__(self, vocabulary: Vocabulary, kept: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, kept: int = 900_000):
         self.vocabulary, self.kept = vocabulary, kept
         self.root, self.size = Node(), 0
 
@@ -157,9 +157,11 @@ class WordTrie:
             del path[shared + 1 :]
             node = path[-1]
             for depth in range(shared, last):
-                following = node.children.get(word[depth])
+                following = node.children.get(word[depth]) if node.children else None
                 if following is None:
                     following = child(path, word[: depth + 1], "")
+                    if node.children is None:
+                        node.children = {}
                     node.children[word[depth]] = following
                     self.size += 1
                 path.append(following)
@@ -181,7 +183,7 @@ class TrieEncoder:
     What is known of pieces between white space, and of words, is kept, ``kept`` of each at most.
     """
 
-    def __init__(self, path: str, kept: int = 700_000):
+    def __init__(self, path: str, kept: int = 1_200_000):
         self.vocabulary = Vocabulary(path)
         self.trie = WordTrie(self.vocabulary)
         self.kept = kept
