@@ -1,15 +1,16 @@
 """Removal of later copies of repeated runs of lines.
 
 A text is its sequence of lines (cut at line feeds). The suffixes of all sequences are ranked by
-prefix doubling: the name of the 2w lines from a place is made of the names of the w lines from
-there and of the w lines after them. Names are hashes, so a doubling needs no exchange and equal
-prefixes have equal names in every task; a suffix interval with a common prefix of w lines is the
-set of places with one name. Doubling stops at ``min_lines``: every repeated run of more lines is
-a union of repeated runs of just so many, so deeper ranks change no deletion.
-
-Of each interval the first place stays, in order of id, then of row hash, then of line; null ids
-come first. At every later place the run's lines are deleted; runs that overlap or touch form one
-maximal run. An interval's size and first place are a partial aggregate, and its places meet them
+prefix doubling across rows: the name of the 2w lines from a place is made of the names of the w lines
+from there and of the w lines after them, which a join brings together. A name stands for a rank: equal
+names are an interval of the suffix array with a common prefix of w lines, and the sorted order within
+the array, which nothing depends on, is not made. Names are two hashes of 64 bits. Only places in an
+interval of two or more go on, since a longer prefix repeats only where both its parts do; doubling ends
+when no prefix repeats, after as many rounds as the logarithm of the longest repeated run.
+
+Of each interval of ``min_lines`` or more the first place stays, in order of id, then of row hash, then
+of line; null ids come first. At every later place the interval's lines are deleted; what overlaps or
+touches is one maximal run. An interval's first place is a partial aggregate, and its places meet it
 in a plain join, which Spark splits: a line that a third of all rows hold gathers nowhere.
 
 Everything runs as DataFrame expressions. Null and empty texts are one empty line. Repeated rows
@@ -20,6 +21,8 @@ white space) is a run as well, in texts of any number of lines. Extra columns ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +37,43 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def joined_names(names: Column, apart: int) -> Column:
-    """Names of each place's prefix with the prefix ``apart`` lines after it."""
-    later = F.slice(names, apart + 1, F.greatest(F.size(names) - apart, F.lit(0)))
-    pairs = F.zip_with(F.slice(names, 1, F.size(later)), later, lambda x, y: F.struct(
-        F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(y["b"], x["b"]).alias("b")))
-    return F.when(F.size(names) > apart, pairs).otherwise(F.slice(names, 1, 0))
+def line_names(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, line, a, b): the name of every line, two hashes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), lines_of(text_col).alias("lines"))
+    lines = rows.select("doc_id", "key", F.posexplode("lines").alias("line", "words"))
+    return lines.select("doc_id", "key", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
 
 
-def named_places(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, line, name) of every place with ``min_lines`` lines from it on."""
-    names = F.transform(lines_of(text_col), lambda x: F.struct(
-        F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), names.alias("names"))
-    width = 1
-    while width < min_lines:
-        apart = min(width, min_lines - width)
-        rows = rows.withColumn("names", joined_names(F.col("names"), apart))
+def in_intervals(names: DataFrame) -> DataFrame:
+    """The places of ``names`` whose prefix occurs at another place, with the first of its interval's places."""
+    place = F.struct("doc_id", "key", "line")
+    intervals = names.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    return names.join(intervals.drop("n"), ["a", "b"]).select("doc_id", "key", "line", "a", "b", "first")
+
+
+def doubled(inside: DataFrame, apart: int) -> DataFrame:
+    """Names of the prefixes made of one from a place and one ``apart`` lines on.
+
+    A longer prefix that repeats has both parts in intervals, so the other places are left out.
+    """
+    later = inside.select("key", (F.col("line") - apart).alias("line"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    joined = inside.join(later.dropDuplicates(["key", "line"]), ["key", "line"])  # repeated rows are one document
+    return joined.select("doc_id", "key", "line", F.xxhash64("a", "a2").alias("a"), F.xxhash64("b2", "b").alias("b"))
+
+
+def repeated_prefixes(docs: DataFrame, min_lines: int, id_col: str, text_col: str, scratch: Scratch) -> list[tuple[int, DataFrame]]:
+    """For each prefix length that doubling gives, from ``min_lines`` on, the places in intervals of it."""
+    width, found = 1, []
+    inside = scratch.table("inside1", in_intervals(scratch.table("names1", line_names(docs, id_col, text_col))))
+    scratch.drop("names1")
+    while not inside.isEmpty():
+        if width >= min_lines:
+            found.append((width, inside))
+        apart = min(width, min_lines - width) if width < min_lines else width
+        names = scratch.table(f"names{width + apart}", doubled(inside, apart))
         width += apart
-    places = rows.select("doc_id", "key", F.posexplode("names").alias("line", "name"))
-    return places.select("doc_id", "key", "line", F.col("name.a").alias("a"), F.col("name.b").alias("b"))
+        inside = scratch.table(f"inside{width}", in_intervals(names))
+    return found
 
 
 def long_lines(docs: DataFrame, long_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -64,18 +84,31 @@ def long_lines(docs: DataFrame, long_words: int, id_col: str, text_col: str) ->
     return lines.select("doc_id", "key", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
 
 
+def merged_spans(spans: Column) -> Column:
+    """Sorted spans (start, end) joined where they overlap or touch: the maximal runs."""
+    def add(runs: Column, span: Column) -> Column:
+        last = F.element_at(runs, -1)
+        grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))))
+        fresh = F.concat(runs, F.array(F.struct(span["start"].alias("start"), span["end"].alias("end"))))
+        return F.when((F.size(runs) > 0) & (span["start"] <= last["end"]), grown).otherwise(fresh)
+
+    return F.aggregate(spans, F.slice(spans, 1, 0), add)
+
+
 def deleted_lines(docs: DataFrame, min_lines: int, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
     """(key, gone): the deleted lines of each row that has any."""
     scratch = Scratch(docs.sparkSession)
-    places = named_places(docs, min_lines, id_col, text_col).withColumn("width", F.lit(min_lines))
+    found = repeated_prefixes(docs, min_lines, id_col, text_col, scratch)
     if long_words is not None and min_lines > 1:
-        places = places.union(long_lines(docs, long_words, id_col, text_col).withColumn("width", F.lit(1)))
-    places = scratch.table("places", places)
+        found.append((1, in_intervals(scratch.table("long", long_lines(docs, long_words, id_col, text_col)))))
     place = F.struct("doc_id", "key", "line")
-    intervals = places.groupBy("a", "b", "width").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
-    later = places.join(intervals, ["a", "b", "width"]).filter(place > F.col("first"))
-    lines = later.select("key", F.explode(F.sequence("line", F.col("line") + F.col("width") - 1)).alias("line"))
-    return scratch.table("gone", lines.groupBy("key").agg(F.collect_set("line").alias("gone")))
+    spans = [inside.filter(place > F.col("first")).select(
+        "key", F.struct(F.col("line").alias("start"), (F.col("line") + width).alias("end")).alias("span")) for width, inside in found]
+    none = docs.select(row_key(id_col, text_col).alias("key"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")).alias("span")).filter("false")
+    runs = reduce(DataFrame.union, spans, none).groupBy("key").agg(merged_spans(F.sort_array(F.collect_set("span"))).alias("runs"))
+    lines = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["end"] - 1)))
+    return scratch.table("gone", runs.select("key", lines.alias("gone")))
 
 
 def _kept(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -237,3 +237,21 @@ def test_long_line_between_lines_that_differ(spark):
     kept = line_runs.without_runs(documents(spark, texts), long_words=20)
     assert rows_of(kept, "doc_id", "text") == [(0, texts[0][1])] + [(i, f"a{i}\nb{i}\n{short}\nc{i}") for i in (1, 2)]
     assert kept.count() == 3
+
+
+def test_intervals_of_all_levels(spark):
+    """The places of each level are those whose prefix occurs elsewhere, and its first place is the least."""
+    draw = random.Random(8)
+    shared = [f"s{i}" for i in range(13)]
+    texts = [(i, "\n".join([f"own {i}", *shared[draw.randrange(4) : draw.randrange(6, 14)], *(draw.choice("abc") for _ in range(6))])) for i in range(30)]
+    texts += [(40, "\n".join(shared * 3))]
+    levels = line_runs.repeated_prefixes(documents(spark, texts), 2, "doc_id", "text", Scratch(spark))
+    lines = {i: t.split("\n") for i, t in texts}
+    assert [width for width, _ in levels] == [2, 4, 8, 16]
+    for width, inside in levels:
+        places = {}
+        for i, own in lines.items():
+            for at in range(len(own) - width + 1):
+                places.setdefault(tuple(own[at : at + width]), []).append((i, at))
+        expected = sorted((*p, *min(group)) for group in places.values() if len(group) > 1 for p in group)
+        assert sorted((r["doc_id"], r["line"], r["first"]["doc_id"], r["first"]["line"]) for r in inside.collect()) == expected
