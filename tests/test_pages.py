@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,15 @@ def test_hot_page_is_cut_into_slices(spark, records):
     expected = sorted((i, f"T-{u}" if u in names else None) for _, u, i in rows)
     got = sorted(((r["seq"], r["found_title"]) for r in joined.collect()), key=lambda p: p[0])
     assert got == expected
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Few long pages and many short ones fill the same memory."""
+
+    @F.pandas_udf("long")
+    def in_batch(html: pd.Series) -> pd.Series:
+        return pd.Series([int(html.str.len().sum())] * len(html))
+
+    pages_ = spark.range(300, numPartitions=1).select(F.repeat(F.lit("x"), 50_000).alias("html"))
+    most = pages_.select(in_batch("html").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 5_000_000
