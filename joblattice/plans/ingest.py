@@ -193,19 +193,48 @@ def ingest_batch(
     return tables.read_runs(spark, root).filter(F.col("run_id") == run_id)
 
 
+def first_rows(rows: DataFrame, scratch: str) -> DataFrame:
+    """(id, row) of the first of the numbered ``rows`` of every id, by ``ingested_at``, then ``description``.
+
+    Ids, times and numbers alone are compared; descriptions are sent only where an id's first time has
+    several rows.
+    """
+    at = F.unix_micros("ingested_at").alias("at")
+    times = rows.select("id", at, "row").groupBy("id", "at").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
+    first = _staged(first_arrival(times, order=("at",)), f"{scratch}/first")
+    tied = first.filter("copies > 1")
+    if tied.isEmpty():
+        return first.select("id", "row")
+    tied = tied.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("at").eqNullSafe(F.col("_at"))
+    copies = rows.select("id", at, "description", "row").join(tied, same, "left_semi")
+    settled = first_arrival(copies, order=("description", "row")).select("id", "row")
+    return first.filter("copies = 1").select("id", "row").unionByName(settled)
+
+
 def insert_if_absent(listings: DataFrame, root: str, batch_id: str | None = None) -> DataFrame:
     """Append finished listings whose id is new; returns every given id and ``inserted``.
 
-    Of several rows of an id in one call the first by ``ingested_at`` counts.
+    Of several rows of an id in one call the first by ``ingested_at`` counts. The listings are written
+    to the scratch folder once and numbered; what is decided of their ids, times and numbers is a
+    narrow table, and the texts move once more, to the rows that are stored.
     """
     spark = listings.sparkSession
     batch_id = batch_id or uuid.uuid4().hex
     tables.ensure_tables(spark, root)
-    first = first_arrival(listings, order=("ingested_at", "description"))
-    store = tables.read_keys(spark, root, tables.buckets_of(listings), without_batch=batch_id)
-    tables.write_listings(first.join(known_ids(first, store).distinct(), "id", "left_anti"), root, batch_id)
+    scratch = f"{scratch_dir(spark)}/insert-{batch_id}-{uuid.uuid4().hex}"
+    numbered = listings.select(*LISTING_COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    rows = _staged(numbered, f"{scratch}/rows")
+    given = _staged(first_rows(rows, scratch), f"{scratch}/given")
+    store = tables.read_keys(spark, root, tables.buckets_of(given), without_batch=batch_id)
+    chosen = _staged(given.join(known_ids(given, store).distinct(), "id", "left_anti"), f"{scratch}/chosen")
+    # the build side is one number a row; the texts are not sorted
+    new = rows.join(chosen.select("row").hint("shuffle_hash"), "row", "left_semi")
+    tables.write_listings(new, root, batch_id, chosen)
+    for name in ("rows", "first", "chosen"):
+        delete_folder(spark, f"{scratch}/{name}")
     inserted = tables.read_batch_keys(spark, root, batch_id).withColumn("inserted", F.lit(True))
-    return listings.select("id").distinct().join(inserted, "id", "left").withColumn("inserted", F.coalesce("inserted", F.lit(False)))
+    return given.select("id").join(inserted, "id", "left").withColumn("inserted", F.coalesce("inserted", F.lit(False)))
 
 
 def run_log_rows(counts: DataFrame, run_id: str, started_at: Column) -> DataFrame:

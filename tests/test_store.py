@@ -120,3 +120,32 @@ def test_captures_are_stored_by_source_and_kind(spark, tmp_path):
     assert os.path.isdir(f"{path}/source=a/kind=page")
     plan = found.filter("source = 'a' and kind = 'page'")._jdf.queryExecution().executedPlan().toString()
     assert "source" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_listings_to_insert_are_computed_once(spark, tmp_path):
+    """Ids are decided from a narrow table, not from the listings over and over."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = listings(spark, *[f"u{i}" for i in range(40)], "u1", "u2")
+    rows = rows.mapInArrow(counted, rows.schema)
+    flags = [r["inserted"] for r in insert_if_absent(rows, str(tmp_path / "store"), "b1").collect()]
+    assert flags == [True] * 40 and seen.value == 42
+
+
+def test_equal_times_go_by_description(spark, tmp_path):
+    root, at = str(tmp_path / "store"), F.timestamp_seconds(F.lit(5))
+    rows = listings(spark, "a", "b", "c").withColumn("ingested_at", at)
+    early = rows.filter("url = 'b'").withColumns({"ingested_at": F.timestamp_seconds(F.lit(4)), "description": F.lit("z")})
+    timeless = rows.filter("url = 'c'").withColumns({"ingested_at": F.lit(None).cast("timestamp"), "description": F.lit("y")})
+    unnamed = rows.withColumn("id", F.lit(None).cast("string")).withColumn("description", F.concat(F.lit("n"), "url"))
+    copies = rows.withColumn("description", F.lit("a text"))
+    all_rows = rows.union(copies).union(early).union(timeless).union(unnamed)
+    found = {r["id"]: r["inserted"] for r in insert_if_absent(all_rows, root, "b1").collect()}
+    assert len(found) == 4 and found.pop(None) is False and all(found.values())
+    kept = {(r["id"] is None, r["url"]): r["description"] for r in tables.read_listings(spark, root).collect()}
+    assert kept == {(False, "a"): "a text", (False, "b"): "z", (False, "c"): "y", (True, "a"): "na"}
