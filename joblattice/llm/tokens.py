@@ -9,9 +9,9 @@ and changes no result.
 from __future__ import annotations
 
 import os
-from itertools import accumulate, chain
+import re
+import struct
 
-import numpy as np
 from tokenizers import Tokenizer
 
 from joblattice.llm.common import held
@@ -22,6 +22,11 @@ ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 # Marks that follow letters as one token of their own; not the apostrophe, and not the start of a
 # special token.
 MARKS = ",.;:!?*#%&$()[]{}-_/|+=~^@"
+# Words of ASCII and Latin letters that are one code point in any normal form and in either case (not "\u0130").
+PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+# The byte-level signs: visible Latin-1 characters for themselves, the other bytes from 256 on.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 
 
 def load(path: str) -> Tokenizer:
@@ -32,6 +37,56 @@ def load(path: str) -> Tokenizer:
     return tokenizer
 
 
+class RunsOn(Exception):
+    """A piece ends with white space, so that it runs on into the next piece."""
+
+
+class KnownPieces(dict):
+    """Ids of pieces as bytes; a piece not met before is encoded when it is looked up.
+
+    A word of plain letters goes to the library's model, past its normalizer and pre-tokenizer, which
+    would lower its case (vocabulary without white space), spell its bytes and leave it whole. Letters and the marks after them are encoded apart, so "word" serves "word,"
+    and "word!!", and so are lines. All other pieces go through the whole library.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, keeps_space: bool):
+        super().__init__()
+        self.tokenizer, self.model, self.keeps_space = tokenizer, tokenizer.model, keeps_space
+        self.line_end = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, text: str) -> bytes:
+        if not self.keeps_space and text != (lower := text.lower()):
+            return self[lower]
+        spelled = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return _packed([t.id for t in self.model.tokenize(spelled)])
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.keeps_space:
+            if piece[-1:].isspace():
+                raise RunsOn
+            if "\n" in piece:
+                lines = piece.split("\n")
+                if all(lines) and not any(l[-1].isspace() for l in lines) and not any(l[0].isspace() for l in lines[1:]):
+                    return self.line_end.join(map(self.__getitem__, lines))
+        if PLAIN(piece):
+            ids = self.word(piece)
+        else:
+            body = piece.rstrip(MARKS)
+            if len(body) < len(piece) and body.lstrip(" ").isalpha():
+                ids = self[body] + self[piece[len(body) :]]
+            else:
+                ids = self.whole(piece)
+        self[piece] = ids
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Texts to little-endian unsigned 32-bit ids.
 
@@ -41,10 +96,7 @@ class PieceEncoder:
 
     def __init__(self, path: str, keeps_space: bool, kept: int = KEPT):
         self.tokenizer, self.keeps_space, self.kept = load(path), keeps_space, kept
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known = KnownPieces(self.tokenizer, keeps_space)
 
     def _pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or None if it has to be encoded as a whole."""
@@ -52,41 +104,17 @@ class PieceEncoder:
             return None if any(c in text for c in ODD_SPACES) else text.split()
         return None if "\0" in text else text.replace(" ", "\0 ").split("\0")
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Encode pieces; letters and the marks after them apart, so "word" serves "word," and "word!!"."""
-        known, cut, names = self.known, {}, set()
-        for piece in fresh:
-            body = piece.rstrip(MARKS)
-            if body.lstrip(" ").isalpha():
-                # a vocabulary without white space has lower case alone
-                head = body if self.keeps_space or not body.isascii() else body.lower()
-                cut[piece] = head, piece[len(body) :]
-                names.update(cut[piece])
-            else:
-                names.add(piece)
-        names = list(names - known.keys())
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
-        content = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = [4 * n for n in accumulate(map(len, found))]
-        known.update(zip(names, map(content.__getitem__, map(slice, [0, *ends], ends))))
-        for piece, (head, marks) in cut.items():
-            known[piece] = known[head] + known[marks] if marks else known[head]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, text: str) -> bytes:
         if len(self.known) > self.kept:
             self.known.clear()
-        self.known[""] = b""
-        split = list(map(self._pieces, texts))
-        fresh = set().union(*(pieces for pieces in split if pieces is not None)) - self.known.keys()
-        # a piece that ends with white space runs on into the next piece
-        running = {p for p in fresh if p[-1:].isspace()} if self.keeps_space else set()
-        if fresh - running:
-            self._learn(fresh - running)
-        known = self.known.__getitem__
-        return [
-            self._whole(text) if pieces is None or running and not running.isdisjoint(pieces) else b"".join(map(known, pieces))
-            for text, pieces in zip(texts, split)
-        ]
+        pieces = self._pieces(text)
+        try:
+            return self.known.whole(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
+        except RunsOn:
+            return self.known.whole(text)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return list(map(self._ids, texts))
 
 
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:

@@ -31,6 +31,50 @@ def test_pieces_equal_library(path, keeps_space):
         assert [np.frombuffer(i, "<u4").tolist() for i in own.ids(texts)] == expected
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.inner, self.model, self.seen = tokenizer, tokenizer.model, 0
+
+    def encode(self, text, **how):
+        self.seen += 1
+        return self.inner.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.seen += len(texts)
+        return self.inner.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("path,keeps_space", [(WORD, False), (BYTE, True)])
+def test_plain_words_go_to_the_model(monkeypatch, path, keeps_space):
+    draw = random.Random(4)
+    letters = "abcdefghijklmnoprstuvwyzABCDEÀÉÖßàçèéñöøÿĀıŁŉŒſ"
+    words = ["".join(draw.choice(letters) for _ in range(draw.randrange(1, 14))) for _ in range(3000)]
+    texts = []
+    for start in range(0, len(words), 30):
+        ends = [draw.choice([" ", " ", " ", ", ", ".\n", "\n", "!) "]) for _ in range(29)] + [""]
+        texts.append("".join(w + e for w, e in zip(words[start : start + 30], ends)))
+    library = tokens.load(path)
+    counting = Counting(library)
+    monkeypatch.setattr(tokens, "load", lambda path: counting)
+    own = tokens.PieceEncoder(path, keeps_space)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.ids(texts)] == expected
+    assert counting.seen <= 10
+
+
+@pytest.mark.parametrize("path,keeps_space", [(WORD, False), (BYTE, True)])
+def test_odd_words_and_lines(path, keeps_space):
+    texts = [
+        "İstanbul İ ŉaı ſtraße µ ª º × aµb ƒoo Ǆ ΑΣ éx́ e\u0301a\u0301 ﬁn K Å ①a ١٢ a١", "a\nb\n\nc\n d\n", "\na", "a\r\nb", "a\n\tb",
+        "x.\n'll y's\n<|endoftext|>\nz", "\n", " \n", "a \nb", "word\n" * 2000 + "word", "a,\nb!\x1c\nc", "a\u2028\nb\x85\nc", "don't\nDON'T,",
+    ]
+    library, own = tokens.load(path), tokens.PieceEncoder(path, keeps_space)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.ids(texts)] == expected
+
+
 def test_trie_equals_library():
     library, own = tokens.load(WORD), bpe_trie.TrieEncoder(WORD, kept=100)
     for start in range(0, len(odd_texts()), 40):
