@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import awkward_texts, clashing, documents, rows_of, sentence
 
 from joblattice.llm import line_runs, near_dup, repeats
@@ -179,6 +181,27 @@ def test_repeats_keep_whole_characters(spark):
     assert repeats.without_repeats(documents(spark, [])).count() == 0
 
 
+class Frame:
+    """Gives the function that a frame would run over its batches."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_memory_of_a_worker():
+    """Two tasks of an executor share what its heap leaves of 3,000 MB, in the pipeline after three operators."""
+    draw = random.Random(16)
+    content = [sentence(draw, 600).encode() for _ in range(1300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300), pa.int64()), pa.array(content)], names=["key", "content"])
+    assert batch.nbytes > 4 << 20  # the largest that Spark sends, see joblattice.session
+    coarse = repeats.coarse_blocks(Frame(), 400)
+    tracemalloc.start()
+    found = sum(part.num_rows for part in coarse(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 1300 and peak < 80 << 20
+
+
 def test_prefix_hashes():
     content = bytes(random.Random(11).randrange(256) for _ in range(500)) * 2
     prefixes = repeats.Prefixes(content)
