@@ -47,12 +47,14 @@ def met(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each query block beside each vector block, joined by groups of vector blocks.
 
     The query set is a stated one. It goes to every group of vector blocks, and there are about
-    as many groups as blocks, so that no task gets more than a few of either.
+    as many groups as blocks, so that no task gets more than a few of either. Spark takes the
+    repeated query blocks to be as small as the table they are repeated from; the hint keeps them
+    from being broadcast, which would send them through the driver.
     """
     groups = max(1, blocks.count())
     dealt = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     spread = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return spread.join(dealt, "group")
+    return spread.hint("merge").join(dealt, "group")
 
 
 def nearest(hits: DataFrame, k: int) -> DataFrame:

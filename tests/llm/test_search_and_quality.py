@@ -9,7 +9,7 @@ from helpers import awkward_texts, clashing, documents, rows_of, sentence
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from joblattice.llm import multi_index, quality, shards, va_file
+from joblattice.llm import multi_index, quality, shards, va_file, vector_blocks
 from joblattice.llm.common import Scratch
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -96,6 +96,15 @@ def test_multi_index_recall(spark):
     assert multi_index.search(spark.createDataFrame(rows[:3], VECTORS), F.col("id") % 20 == 0, k=20).count() == 2
 
 
+def test_repeated_query_blocks_stay_off_the_driver(spark):
+    scratch = Scratch(spark)
+    blocks = scratch.table("blocks", spark.range(40).withColumnRenamed("id", "block"))
+    queries = scratch.table("queries", spark.range(3).withColumnRenamed("id", "query_block"))
+    pairs = vector_blocks.met(queries, blocks)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(pairs, "query_block", "block") == sorted(((q, b) for q in range(3) for b in range(40)), key=repr)
+
+
 def test_cells_are_visited_in_order():
     draw = np.random.default_rng(4)
     a, b = draw.normal(size=7), draw.normal(size=5)
