@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,25 @@ def test_captures_are_stored_by_source_and_kind(spark, tmp_path):
     assert "source" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_captures_that_come_source_by_source_are_not_shuffled(spark, tmp_path):
+    def of(source, kind):
+        rows = [(source, kind, None, f"u{i}", f"body {i} " * 50, 1, i, None) for i in range(40)]
+        return spark.createDataFrame(rows, tables.CAPTURE_SCHEMA).coalesce(2)
+
+    captures = of("a", "page").union(of("b", "feed")).union(of("b", "search"))
+    path = str(tmp_path / "captures")
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("written", "captures")
+    tables.write_captures(captures, path, gather=False)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(seen.getJobInfo(job).stageIds) for job in seen.getJobIdsForGroup("written")] == [1]
+    assert sorted(map(tuple, tables.read_captures(spark, path).collect()), key=repr) == sorted(map(tuple, captures.collect()), key=repr)
+    for folder in ("source=a/kind=page", "source=b/kind=feed", "source=b/kind=search"):
+        files = [f"{path}/{folder}/{f}" for f in os.listdir(f"{path}/{folder}") if f.endswith(".parquet")]
+        groups = [pq.ParquetFile(f).metadata.row_group(0) for f in files]
+        assert len(files) == 2 and {g.column(i).compression for g in groups for i in range(g.num_columns)} == {"ZSTD"}
+
+
 def test_listings_to_insert_are_computed_once(spark, tmp_path):
     """Ids are decided from a narrow table, not from the listings over and over."""
     seen = spark.sparkContext.accumulator(0)
